@@ -67,3 +67,9 @@ def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[str],
     starts = df.groupBy(*group, bucket).agg(F.sum(value).alias("_sum")).select(*group, bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.join(starts, [*group, bucket]).withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_start")
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of so many rows at most, as texts may be long: bounds what a Python worker holds."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
