@@ -89,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: a row for each whole time that
     ``mix`` takes a document, the last partial time counting from half of its words on. Rows
-    without words are never taken. doc_id is taken to be a key here; rows that repeat one are
-    mixed as one row each by position in (doc_id, text) order."""
-    plan = mix(docs, **options).withColumn("_n", F.round(F.col("taken") / F.col("size")).cast("int")).where("_n > 0").groupBy("doc_id").agg(F.max("_n").alias("_n"))
-    return docs.join(plan, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    without words are never taken. Rows that share a doc_id share what the mix takes of them."""
+    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_mix_n")).where("_mix_n > 0")
+    rows = docs.join(plan, docs.doc_id.eqNullSafe(plan._mix_id)).where(words_in(F.col("text")) > 0)
+    return rows.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specloom.llm import fingerprints, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, toxicity, url_filters
+from specloom.llm import fingerprints, mixing, quality_classifier, quality_rules, sentencepiece_scan, sharding, simhash, suffix_dedup, toxicity, url_filters
 from specloom.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode_and_check(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}

@@ -370,7 +370,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     a cut goes through is cut out whole. Rows stay, those left without text too."""
     keyed = keyed_rows(docs).repartition("id", "th")
     spans = _spans(repeated_ranges(docs, keyed, length))
-    text_at = docs.columns.index("text")
+    names, text_at = docs.columns, docs.columns.index("text")
     kind = dict(docs.dtypes)["text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,8 +379,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for text, ranges in zip(batch.column(text_at), batch.column(batch.num_columns - 1)):
                 own = ranges.as_py()
                 texts.append(text.as_py() if not own else _kept(np.frombuffer(text.as_buffer(), np.uint8), own)[0].decode(errors="ignore"))
-            columns = [pa.array(texts, batch.schema.field(text_at).type) if i == text_at else batch.column(i) for i in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(texts, batch.schema.field(text_at).type) if i == text_at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.xxhash64(text)})
