@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specloom.llm.common import materialise
+
 #: The production rules: verdict, and host/path; longest wins.
 RULES: tuple[tuple[str, str], ...] = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Parts of host names that label a URL as bad, as a list of seeds would.
@@ -69,6 +71,7 @@ def template_tree(counts: DataFrame) -> DataFrame:
         similar = (F.col("_branches") > 1) & (F.abs(F.col("_bad") / F.col("_n") - rate) <= chance)
         named = child.join(pooled, ["host", "template", "_low", "_high"]).select("host", "template", own, F.when(similar, F.lit("*")).otherwise(F.col(own)).alias("_name"))
         tree = tree.join(named, ["host", "template", own], "left").withColumn("template", F.when(F.col("_name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_name"))).drop("_name")
+        tree = materialise(tree, "url-tree")  # each level reads the one before several times
     return tree
 
 
@@ -93,7 +96,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, seeds: t
     for term in seeds:
         bad = bad | F.col("host").contains(term)
     keys = ["host", *(f"s{i}" for i in range(1, LEVELS + 1))]
-    tree = template_tree(urls.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(bad.cast("long")).alias("bad")))
+    counts = urls.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(bad.cast("long")).alias("bad"))
+    tree = template_tree(materialise(counts, "url-counts"))
     judged = tree.join(purities(tree), ["host", "template"]).select(*keys, "template", "purity")
     name, verdict = rule_for(rules)
     # missing segments are null: a key that equals only itself stands for them in the join
