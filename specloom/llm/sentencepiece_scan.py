@@ -39,8 +39,8 @@ from specloom.llm.common import materialise, small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 16
 SPACE = "▁"
-#: Segments that a worker remembers, and the longest that it does.
-REMEMBERED, SHORT = 300_000, 48
+#: Segments of a generation that a worker remembers (it keeps two), and the longest that it does.
+REMEMBERED, SHORT = 200_000, 48
 NO_ID = -(1 << 63)
 
 
@@ -75,6 +75,7 @@ class Pieces:
         self.alone = set(alone)
         self._fits: dict[tuple[str, str], bool] = {}
         self._known: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, text: str) -> list[str]:
         """The greedy merges: best score first, leftmost of equals."""
@@ -115,14 +116,17 @@ class Pieces:
         return at == 0 or at == len(text) or text[at] in self.alone or text[at - 1] in self.alone or (self.splits and text[at] == SPACE and text[at - 1] != SPACE)
 
     def encode_segment(self, text: str) -> tuple[int, ...]:
-        """Ids of what stands between two borders."""
+        """Ids of what stands between two borders. Segments of the older generation that are met again
+        move to the newer one, so frequent ones stay when the newer becomes the older."""
         if (known := self._known.get(text)) is not None:
             return known
         if len(text) > SHORT:
             return tuple(self.piece_ids(self.best_path(text)))
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        ids = self._known[text] = tuple(self.piece_ids(self.merge(text)))
+        if len(self._known) >= REMEMBERED:
+            self._known, self._older = {}, self._known
+        if (ids := self._older.get(text)) is None:
+            ids = tuple(self.piece_ids(self.merge(text)))
+        self._known[text] = ids
         return ids
 
     def best_path(self, text: str) -> list[str]:
@@ -156,7 +160,11 @@ class Pieces:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        return list(chain.from_iterable(map(self.encode_segment, self.segment.findall(SPACE + text.replace(" ", SPACE)))))
+        segments = self.segment.findall(SPACE + text.replace(" ", SPACE))
+        parts = list(map(self._known.get, segments))
+        if None in parts:
+            parts = [self.encode_segment(s) if p is None else p for s, p in zip(segments, parts)]
+        return list(chain.from_iterable(parts))
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.text.__getitem__, ids)).decode(errors="replace")
@@ -224,6 +232,13 @@ def pieces_of(model: bytes) -> Pieces:
     return _loaded[key]
 
 
+def id_lists(ids: pa.ListArray) -> Iterator[list[int]]:
+    """The lists of a column, by way of one flat list; a null one is empty."""
+    flat = ids.values.to_numpy(zero_copy_only=False).tolist()
+    at = ids.offsets.to_numpy().tolist()
+    return (flat[a:b] for a, b in zip(at, at[1:]))
+
+
 def read_model(path: str = MODEL) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -332,7 +347,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.decode(x) for x in id_lists(b.column(1))], pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
@@ -346,7 +361,7 @@ def encode_and_check(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model.value)
         for b in batches:
-            texts = [pieces.decode(x) for x in b.column(1).to_pylist()]
+            texts = [pieces.decode(x) for x in id_lists(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()), pa.array(list(map(len, texts)), pa.int64()), b.column(1)], names=["doc_id", "decoded_sha256", "decoded_chars", "ids"])
 
     out = encoded.mapInArrow(run, "doc_id long, decoded_sha256 string, decoded_chars long, ids array<int>")
