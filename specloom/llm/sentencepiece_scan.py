@@ -40,7 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 16
 SPACE = "▁"
 #: Segments of a generation that a worker remembers (it keeps two), and the longest that it does.
-REMEMBERED, SHORT = 200_000, 48
+REMEMBERED, SHORT = 300_000, 48
 NO_ID = -(1 << 63)
 
 
@@ -79,16 +79,16 @@ class Pieces:
 
     def merge(self, text: str) -> list[str]:
         """The greedy merges: best score first, leftmost of equals."""
-        parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = scores.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, score, none = list(text), self.scores.get, float("-inf")
+        pairs = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) != none:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], none)
         return parts
 
     def fits(self, a: str, b: str) -> bool:
