@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes worked on at once. Arrays of 64-bit values over so many bytes stay small.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -40,7 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 16
 SPACE = "▁"
 #: Segments of a generation that a worker remembers (it keeps two), and the longest that it does.
-REMEMBERED, SHORT = 300_000, 48
+REMEMBERED, SHORT = 150_000, 48
 NO_ID = -(1 << 63)
 
 
@@ -94,7 +94,7 @@ class Pieces:
     def fits(self, a: str, b: str) -> bool:
         """Whether b may follow a: the weight of the step is 0."""
         if (a, b) not in self._fits:
-            if len(self._fits) > 4 * REMEMBERED:
+            if len(self._fits) > REMEMBERED:
                 self._fits.clear()
             self._fits[a, b] = self.merge(a + b) == [a, b]
         return self._fits[a, b]
@@ -320,24 +320,20 @@ def _long_texts(docs: DataFrame, model, chunk: int) -> DataFrame:
     return traced.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts")).select("id", "th", F.flatten("parts.ids").alias("ids"))
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """doc_id and ids of each row. The model's file, half a megabyte whatever the input, is read by
-    the driver and broadcast."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    model = spark.sparkContext.broadcast(read_model(model_path))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(model.value)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["id", "ids"])
 
-    short = rows.where(F.length("text") <= chunk).mapInArrow(run, "id long, ids array<int>")
+def _long_ids(rows: DataFrame, model, chunk: int) -> DataFrame:
+    """id, ids of each row longer than a chunk."""
     long = rows.where(F.length("text") > chunk).withColumn("th", F.xxhash64("text"))
-    found = long.select("id", "th").join(_long_texts(long.select("id", "th", "text"), model, chunk), ["id", "th"]).select("id", "ids")
-    return short.unionByName(found).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "ids")
+    return long.select("id", "th").join(_long_texts(long.select("id", "th", "text"), model, chunk), ["id", "th"]).select("id", "ids")
+
+
+def encode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+    """doc_id and ids of each row. The model's file, half a megabyte whatever the input, is read by
+    the driver and broadcast."""
+    return encode_and_check(docs, model_path, chunk).select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -354,15 +350,28 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
 
 def encode_and_check(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_chars, decoded_sha256: the encoding, and a digest of what it
-    decodes to."""
-    encoded = encode(docs, model_path, chunk)
-    model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
+    decodes to. Texts of one chunk are encoded and decoded in one step."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    model = spark.sparkContext.broadcast(read_model(model_path))
+    names = ["id", "ids", "decoded_sha256", "decoded_chars"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def results(pieces: Pieces, row_ids: pa.Array, ids: pa.Array, lists: Iterator[list[int]]) -> pa.RecordBatch:
+        texts = [pieces.decode(x) for x in lists]
+        return pa.RecordBatch.from_arrays([row_ids, ids, pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=names)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces_of(model.value)
+        for b in batches:
+            lists = [pieces.encode(t) for t in b.column(1).to_pylist()]
+            yield results(pieces, b.column(0), pa.array(lists, pa.list_(pa.int32())), iter(lists))
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model.value)
         for b in batches:
-            texts = [pieces.decode(x) for x in id_lists(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()), pa.array(list(map(len, texts)), pa.int64()), b.column(1)], names=["doc_id", "decoded_sha256", "decoded_chars", "ids"])
+            yield results(pieces, b.column(0), b.column(1), id_lists(b.column(1)))
 
-    out = encoded.mapInArrow(run, "doc_id long, decoded_sha256 string, decoded_chars long, ids array<int>")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "decoded_chars", "decoded_sha256", "ids")
+    rows, schema = _rows(docs), "id long, ids array<int>, decoded_sha256 string, decoded_chars long"
+    short = rows.where(F.length("text") <= chunk).mapInArrow(whole, schema)
+    both = short.unionByName(_long_ids(rows, model, chunk).mapInArrow(scanned, schema))
+    return both.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "decoded_chars", "decoded_sha256", "ids")

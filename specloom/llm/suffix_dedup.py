@@ -45,7 +45,7 @@ INDEX = 1 << 20
 #: Depth to which suffixes are sorted; at least the length asked for.
 DEPTH = 512
 #: Bytes of a text worked on at once; what is longer is worked on in overlapping parts.
-PART = 1 << 23
+PART = 1 << 21
 NO_ID = -(1 << 63)
 _V1, _V2, _BASE2 = B.byte_values(31), B.byte_values(32), 0xC2B2AE3D27D4EB4F
 _PLACE = np.uint64((1 << 24) - 1)
