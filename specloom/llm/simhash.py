@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.llm.common import materialise, small_batches
+from specloom.llm.common import fresh, materialise, small_batches
 
 RADIUS = 3
 SHINGLE = 3
@@ -84,7 +84,7 @@ def _tables(masks: list[int], fp: Column) -> Column:
 
 def spanning_links(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among distinct fingerprints: each one and its root."""
-    n = len(members)
+    n, bits = len(members), members.view(np.uint64)  # of signed values numpy counts the bits of the amount
     root = np.arange(n)
 
     def find(i: int) -> int:
@@ -95,7 +95,7 @@ def spanning_links(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
 
     step = max(1, (1 << 22) // n)
     for begin in range(0, n, step):
-        near = np.bitwise_count(members[begin : begin + step, None] ^ members[None, :]) <= radius
+        near = np.bitwise_count(bits[begin : begin + step, None] ^ bits[None, :]) <= radius
         for i, j in zip(*np.nonzero(np.triu(near, begin + 1))):
             a, b = find(begin + i), find(j)
             if a != b:
@@ -181,5 +181,8 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE)
     """``docs`` with one document of each group: the one with the least doc_id, and of rows that
     repeat it the first by text. Rows without doc_id stay."""
     keep = near_groups(docs, radius, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    place = fresh(docs, "_place")
+    others = [c for c, kind in docs.dtypes if not kind.startswith("map") and c not in ("doc_id", "text")]
+    first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(F.lit(0), *others))
+    once = docs.join(keep, "doc_id", "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
