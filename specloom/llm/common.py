@@ -73,3 +73,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of so many rows at most, as texts may be long: bounds what a Python worker holds."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

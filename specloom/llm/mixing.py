@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.llm.common import BUCKETS, materialise, running_sum, words_in
+from specloom.llm.common import BUCKETS, fresh, materialise, running_sum, words_in
 
 GOLDEN = 0.6180339887498949
 #: Slots ranked together in one window partition.
@@ -90,6 +90,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: a row for each whole time that
     ``mix`` takes a document, the last partial time counting from half of its words on. Rows
     without words are never taken. Rows that share a doc_id share what the mix takes of them."""
-    plan = mix(docs, **options).where("size > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_mix_n")).where("_mix_n > 0")
-    rows = docs.join(plan, docs.doc_id.eqNullSafe(plan._mix_id)).where(words_in(F.col("text")) > 0)
-    return rows.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)
+    key, n = fresh(docs, "_mix_id"), fresh(docs, "_mix_n")
+    plan = mix(docs, **options).where("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(n)).where(F.col(n) > 0)
+    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan[key])).where(words_in(F.col("text")) > 0)
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

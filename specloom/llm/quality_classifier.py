@@ -28,7 +28,8 @@ from specloom.llm.common import small_batches
 
 FEATURES = ("log_words", "word_bytes", "symbols", "exclamations", "capitals", "digits", "distinct_words", "distinct_trigrams", "same_neighbours", "short_words", "longest_word", "lines", "distinct_lines", "high_bytes", "punctuation")
 MAX_ROWS = 20_000
-TREES, DEPTH, BINS, RATE, LEAF, RIDGE = 60, 4, 64, 0.15, 20, 2.0
+#: LEAF and RIDGE by log loss inside the training fold: learnt on crc32 mod 3 = 0, measured on 2.
+TREES, DEPTH, BINS, RATE, LEAF, RIDGE = 60, 4, 64, 0.15, 5, 1.0
 _VALUES = B.byte_values(8)
 _CLASSES = {"symbols": b"#*$%&|<>", "exclamations": b"!", "capitals": bytes(range(65, 91)), "digits": b"0123456789", "lines": b"\n", "high_bytes": bytes(range(128, 192)), "punctuation": b".,;:?"}
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specloom.llm import bytesops as B
-from specloom.llm.common import materialise, small_batches
+from specloom.llm.common import fresh, materialise, small_batches
 
 LENGTH = 400
 GRAM = 128
@@ -382,8 +382,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(text_at).type) if i == text_at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.xxhash64(text)})
-    joined = rows.join(spans.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("ranges").alias("_ranges")).hint("shuffle_hash"), ["_id", "_th"], "left")
-    out = joined.select(*docs.columns, "_ranges").mapInArrow(run, docs.schema)
+    own_id, own_th, own_ranges = (fresh(docs, x) for x in ("_id", "_th", "_ranges"))
+    rows = docs.withColumns({own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), own_th: F.xxhash64(F.coalesce("text", F.lit("")))})
+    found = spans.select(F.col("id").alias(own_id), F.col("th").alias(own_th), F.col("ranges").alias(own_ranges))
+    out = rows.join(found.hint("shuffle_hash"), [own_id, own_th], "left").select(*names, own_ranges).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns and kind == "string" else out
