@@ -24,7 +24,7 @@ def read_folder(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """doc_id, body, source_name, priority of the files whose name ends in a number and .xml or .txt;
     one row a file."""
     ending = "xml" if kind == "xml" else "txt"
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", f"*.{ending}").text(path)
+    rows = spark.read.option("pathGlobFilter", f"*.{ending}").text(path, wholetext=True)
     number = F.regexp_extract(F.col("_metadata.file_name"), rf"(\d+)\.{ending}$", 1).try_cast("int")
     return rows.select(number.alias("doc_id"), F.col("value").alias("body"), F.lit("folder").alias("source_name"), F.lit(0).alias("priority")).where("doc_id IS NOT NULL")
 

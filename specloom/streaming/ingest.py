@@ -12,7 +12,7 @@ from specloom.operators.requirements import extract_requirements
 
 def document_stream(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, body of new .txt files; the name ends in the number."""
-    rows = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    rows = spark.readStream.schema("value string").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     number = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.txt$", 1).try_cast("int")
     return rows.select(number.alias("doc_id"), F.col("value").alias("body"), F.col("_metadata.file_modification_time").alias("arrived")).where("doc_id IS NOT NULL")
 
