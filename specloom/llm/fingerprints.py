@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specloom.llm import bytesops as B
-from specloom.llm.common import small_batches
+from specloom.llm.common import small_batches, trimmed
 
 SHINGLE = 5
 BINS = 256
@@ -96,7 +96,7 @@ def fingerprint(docs: DataFrame, bins: int = BINS, shingle: int = SHINGLE) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hexadecimal(*minhash(b.column(1), bins, shingle)), pa.string())], names=["doc_id", "fingerprint"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fingerprint string")
+    return rows.mapInArrow(trimmed(run), f"doc_id {dict(rows.dtypes)['doc_id']}, fingerprint string")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def with_next(docs: DataFrame) -> DataFrame:
             to = (home[edge] + 1) % max(len(edges), 1)  # descending: the range above is followed by this row
             yield pa.RecordBatch.from_arrays([*copies.columns, pa.array(to, pa.int32()), pa.array(np.ones(len(edge)), pa.int32())], names=["doc_id", "text", "_range", "_tail"])
 
-    return rows.mapInArrow(deal, "doc_id long, text string, _range int, _tail int")
+    return rows.mapInArrow(trimmed(deal), "doc_id long, text string, _range int, _tail int")
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
@@ -164,4 +164,4 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             yield results(ids, texts, following)
 
     dealt = with_next(docs).repartition("_range").sortWithinPartitions("_range", "_tail", F.desc_nulls_last("doc_id"), "text")
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(trimmed(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

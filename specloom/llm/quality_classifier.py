@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specloom.llm import bytesops as B
-from specloom.llm.common import small_batches
+from specloom.llm.common import small_batches, trimmed
 
 FEATURES = ("log_words", "word_bytes", "symbols", "exclamations", "capitals", "digits", "distinct_words", "distinct_trigrams", "same_neighbours", "short_words", "longest_word", "lines", "distinct_lines", "high_bytes", "punctuation")
 MAX_ROWS = 20_000
@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees
 
     # max_rows bounds what is broadcast; a doc_id's first row by text is the one learnt from
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
-    got = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, y double, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
+    got = rows.mapInArrow(trimmed(run), f"doc_id {dict(docs.dtypes)['doc_id']}, y double, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     return grow(np.stack(got.x.to_numpy()) if len(got) else np.zeros((0, len(FEATURES))), got.y.to_numpy())
 
 
@@ -181,7 +181,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees.score(statistics(b.column(1))))], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", in_fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -194,4 +194,4 @@ def accepted(docs: DataFrame, trees: Trees) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(trees.score(statistics(b.column(b.schema.get_field_index("text")))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import materialise, small_batches
+from specloom.llm.common import materialise, small_batches, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 16
@@ -313,10 +313,10 @@ def _long_texts(docs: DataFrame, model, chunk: int) -> DataFrame:
                 ids = pieces.trace_chunk(r["part"], r["begin"] - low, r["end"] - low, tuple(x - low for x in r["enter"]), tuple(x - low for x in r["leave"]))
                 yield pa.RecordBatch.from_pylist([{"id": r["id"], "th": r["th"], "k": r["k"], "ids": ids}], schema)
 
-    chunks = materialise(docs.dropDuplicates(["id", "th"]).mapInArrow(split, "id long, th long, k long, low long, begin long, end long, n long, part string"), "chunks")
-    matrices = chunks.repartition("id", "th", "k").mapInArrow(transfer, "id long, th long, k long, n long, entry array<array<long>>, leave array<array<long>>, matrix array<string>")
-    path = matrices.groupBy("id", "th").agg(F.collect_list(F.struct("k", "n", "entry", "leave", "matrix")).alias("rows")).mapInArrow(scan, "id long, th long, k long, enter array<long>, leave array<long>")
-    traced = chunks.join(path, ["id", "th", "k"]).mapInArrow(trace, "id long, th long, k long, ids array<int>")
+    chunks = materialise(docs.dropDuplicates(["id", "th"]).mapInArrow(trimmed(split), "id long, th long, k long, low long, begin long, end long, n long, part string"), "chunks")
+    matrices = chunks.repartition("id", "th", "k").mapInArrow(trimmed(transfer), "id long, th long, k long, n long, entry array<array<long>>, leave array<array<long>>, matrix array<string>")
+    path = matrices.groupBy("id", "th").agg(F.collect_list(F.struct("k", "n", "entry", "leave", "matrix")).alias("rows")).mapInArrow(trimmed(scan), "id long, th long, k long, enter array<long>, leave array<long>")
+    traced = chunks.join(path, ["id", "th", "k"]).mapInArrow(trimmed(trace), "id long, th long, k long, ids array<int>")
     return traced.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts")).select("id", "th", F.flatten("parts.ids").alias("ids"))
 
 
@@ -345,7 +345,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.decode(x) for x in id_lists(b.column(1))], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, text string")
 
 
 def encode_and_check(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
@@ -372,6 +372,6 @@ def encode_and_check(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUN
             yield results(pieces, b.column(0), b.column(1), id_lists(b.column(1)))
 
     rows, schema = _rows(docs), "id long, ids array<int>, decoded_sha256 string, decoded_chars long"
-    short = rows.where(F.length("text") <= chunk).mapInArrow(whole, schema)
-    both = short.unionByName(_long_ids(rows, model, chunk).mapInArrow(scanned, schema))
+    short = rows.where(F.length("text") <= chunk).mapInArrow(trimmed(whole), schema)
+    both = short.unionByName(_long_ids(rows, model, chunk).mapInArrow(trimmed(scanned), schema))
     return both.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "decoded_chars", "decoded_sha256", "ids")

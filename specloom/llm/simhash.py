@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.llm.common import fresh, materialise, small_batches
+from specloom.llm.common import fresh, materialise, small_batches, trimmed
 
 RADIUS = 3
 SHINGLE = 3
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], names=["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def covering_masks(bits: int, radius: int) -> list[int]:
@@ -93,7 +93,7 @@ def spanning_links(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
             i = root[i]
         return i
 
-    step = max(1, (1 << 22) // n)
+    step = max(1, (1 << 20) // n)
     for begin in range(0, n, step):
         near = np.bitwise_count(bits[begin : begin + step, None] ^ bits[None, :]) <= radius
         for i, j in zip(*np.nonzero(np.triu(near, begin + 1))):
@@ -143,7 +143,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield out(group)
 
     order = ["t", "key", "t2", "key2"]
-    inside = few.unionByName(many).repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    inside = few.unionByName(many).repartition(*order).sortWithinPartitions(*order).mapInArrow(trimmed(run), "a long, b long")
     return twos.unionByName(inside).distinct()
 
 

@@ -8,7 +8,7 @@ contents (128-bit hashes) are repeated as a whole. What is left are runs at the
 passages: their bytes, and those of one run of each repeated content beside them, go by anchor hash
 into run-length indexes.
 
-An index holds the run-compressed Burrows-Wheeler transform of about a megabyte of such bytes.
+An index holds the run-compressed Burrows-Wheeler transform of about half a megabyte of such bytes.
 Matching statistics are sampled where a BWT run begins or ends (and are known where suffixes agree
 beyond the depth that they are sorted to); inside a run the value falls by one for each step along
 the text, so one streaming pass from the samples gives all of them. Windows whose value reaches
@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specloom.llm import bytesops as B
-from specloom.llm.common import fresh, materialise, small_batches
+from specloom.llm.common import fresh, materialise, small_batches, trimmed
 
 LENGTH = 400
 GRAM = 128
 #: Different contents of one anchor hash that go into one index.
-HOT = 2000
+HOT = 1000
 #: Bytes of an index.
-INDEX = 1 << 20
+INDEX = 1 << 19
 #: Depth to which suffixes are sorted; at least the length asked for.
 DEPTH = 512
 #: Bytes of a text worked on at once; what is longer is worked on in overlapping parts.
@@ -123,7 +123,7 @@ def runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 columns = [ids[row], th[row], np.concatenate([a[lead], froms]) + offset, np.concatenate([b[lead], tos - 1]) + offset]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate([h[lead], pad]), mask=null), *(pa.array(np.concatenate([x, pad])) for x in (h1[lead], h2[lead], n))], names=[x.split()[0] for x in RUNS.split(", ")])
 
-    return docs.mapInArrow(run, RUNS)
+    return docs.mapInArrow(trimmed(run), RUNS)
 
 
 def _repeats(text: np.ndarray, h1: np.ndarray) -> bool:
@@ -276,7 +276,7 @@ def _contexts(keyed: DataFrame, need: DataFrame, length: int, windows: bool) ->
 
     grouped = need.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b", "h")).alias("need"))
     joined = keyed.join(grouped.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "need")
-    return joined.mapInArrow(run, "id long, th long, s long, w1 long, w2 long" if windows else "id long, th long, a long, h long, bytes binary")
+    return joined.mapInArrow(trimmed(run), "id long, th long, s long, w1 long, w2 long" if windows else "id long, th long, a long, h long, bytes binary")
 
 
 def _indexed(contexts: DataFrame, length: int) -> DataFrame:
@@ -301,7 +301,7 @@ def _indexed(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield out()
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, RANGES)
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(run), RANGES)
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
@@ -361,7 +361,7 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = keyed.join(_spans(repeated_ranges(docs, keyed, length)).hint("shuffle_hash"), ["id", "th"], "left")
-    out = joined.select("id", "text", "ranges").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = joined.select("id", "text", "ranges").mapInArrow(trimmed(run), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -385,5 +385,5 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     own_id, own_th, own_ranges = (fresh(docs, x) for x in ("_id", "_th", "_ranges"))
     rows = docs.withColumns({own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), own_th: F.xxhash64(F.coalesce("text", F.lit("")))})
     found = spans.select(F.col("id").alias(own_id), F.col("th").alias(own_th), F.col("ranges").alias(own_ranges))
-    out = rows.join(found.hint("shuffle_hash"), [own_id, own_th], "left").select(*names, own_ranges).mapInArrow(run, docs.schema)
+    out = rows.join(found.hint("shuffle_hash"), [own_id, own_th], "left").select(*names, own_ranges).mapInArrow(trimmed(run), docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns and kind == "string" else out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specloom.llm import bytesops as B
-from specloom.llm.common import small_batches
+from specloom.llm.common import small_batches, trimmed
 from specloom.llm.quality_classifier import in_fold, sampled_labels
 
 BITS = 20
@@ -106,7 +106,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Weigh
 
     # max_rows bounds what is broadcast; a doc_id's first row by features is the one learnt from
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
-    got = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, y double, x array<int>").toPandas()
+    got = rows.mapInArrow(trimmed(run), f"doc_id {dict(docs.dtypes)['doc_id']}, y double, x array<int>").toPandas()
     got = got.assign(k=[np.asarray(x).tobytes() for x in got.x]).sort_values(["doc_id", "k"]).drop_duplicates("doc_id") if len(got) else got
     order = np.random.default_rng(1).permutation(len(got))
     return ftrl([np.asarray(got.x.iloc[i], np.int64) for i in order], got.y.to_numpy()[order])
@@ -120,5 +120,5 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weights.score(b.column(1)))], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", in_fold(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -41,7 +41,7 @@ def repetitive(rng, n=40):
     return texts + texts[:3]
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
+@pytest.mark.parametrize("hot", [1000, 2])
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
     """Also where each anchor with more than two contents is counted window by window."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
