@@ -79,7 +79,8 @@ class Document:
         blocks += [{"type": "sourcecode", "language": x.get("type"), "content": inner_text(x)} for x in sec.findall("sourcecode") if not _is_empty(x)]
         blocks += [{"type": "artwork", "content": inner_text(x)} for x in sec.findall("artwork") if not _is_empty(x)]
         empty = {"style": None, "language": None, "content": None, "items": None, "tag_targets": None}
-        self.blocks += [{"doc_id": self.doc_id, "sec_seq": seq, "block_ord": i} | empty | b for i, b in enumerate(blocks)]
+        own_title = self.sections[-1]["title"]
+        self.blocks += [{"section_id": own, "section_title": own_title, "doc_id": self.doc_id, "sec_seq": seq, "block_ord": i} | empty | b for i, b in enumerate(blocks)]
         for child in sec.findall("section"):
             self._section(child, seq, depth + 1, own)
 

@@ -11,7 +11,7 @@ from specloom.functions import text as X
 
 DOCS = "doc_id int, source string, title string, number int, doc_name string"
 SECTIONS = "doc_id int, seq int, parent_seq int, depth int, number string, anchor string, section_id string, title string"
-BLOCKS = "doc_id int, sec_seq int, block_ord int, type string, style string, language string, content string, items array<string>, tag_targets array<string>"
+BLOCKS = "doc_id int, sec_seq int, block_ord int, type string, style string, language string, content string, items array<string>, tag_targets array<string>, section_id string, section_title string"
 REFS = "doc_id int, ref_ord int, kind string, anchor string, rfc_number int, title string, target string"
 DEFINITIONS = "doc_id int, def_ord int, term string, definition string, section string"
 
@@ -40,9 +40,10 @@ class Parsed:
             getattr(self, f.name).unpersist()
 
     def units(self) -> DataFrame:
-        """Texts that may hold requirements: text blocks whole, lists item by item."""
+        """Texts that may hold requirements: text blocks whole, lists item by item. They carry what is
+        said of their section, so that nothing is joined for it."""
         texts = F.when(F.col("type") == "text", F.array("content")).when(F.col("type") == "list", F.col("items"))
-        return self.blocks.select("doc_id", "sec_seq", "block_ord", F.col("type").alias("kind"), F.posexplode(texts).alias("item_ord", "text"))
+        return self.blocks.select("doc_id", "sec_seq", "block_ord", "section_id", "section_title", F.col("type").alias("kind"), F.posexplode(texts).alias("item_ord", "text"))
 
     def xrefs(self) -> DataFrame:
         """References of text blocks (lists have none)."""

@@ -34,19 +34,20 @@ def marked_units(units: DataFrame, level: str | None = None) -> DataFrame:
 
 
 def extract_requirements(parsed: Parsed, sections: Sequence[str] = (), level: str | None = None, with_subsections: bool = True, with_components: bool = True) -> DataFrame:
-    """The requirements of each document in order; ids count what the filters leave."""
-    wanted = parsed.sections.where(in_sections(F.col("section_id"), sections, with_subsections)).select("doc_id", F.col("seq").alias("sec_seq"), F.col("section_id").alias("section"), F.col("title").alias("section_title"))
-    return extract_from(wanted, parsed.units(), level, with_components)
+    """The requirements of each document in order; ids count what the filters leave. Sections are
+    filtered before their texts are searched."""
+    return extract_from(parsed.units().where(in_sections(F.col("section_id"), sections, with_subsections)), level, with_components)
 
 
-def extract_from(sections: DataFrame, units: DataFrame, level: str | None = None, with_components: bool = True) -> DataFrame:
-    rows = marked_units(units, level).join(sections, ["doc_id", "sec_seq"])
+def extract_from(units: DataFrame, level: str | None = None, with_components: bool = True) -> DataFrame:
+    """As extract_requirements, from units with section_id and section_title. One shuffle, by document."""
+    rows = marked_units(units, level)
     rows = rows.withColumn("req_text", F.when(F.col("kind") == "text", X.sentence(F.col("text"), F.col("pos"))).otherwise(X.trim(F.col("text"))))
     parts = X.components(F.when(F.col("kind") == "text", F.col("req_text")).otherwise(F.col("text")), F.col("level")) if with_components else {c: F.lit(None).cast("string") for c in ("subject", "action", "condition", "exception")}
     order = Window.partitionBy("doc_id").orderBy(*ORDER)
     rows = rows.withColumns(parts).withColumn("req_ord", F.row_number().over(order))
     return rows.select(
-        "doc_id", "req_ord", F.concat(F.lit("R-"), "section", F.lit("-"), F.col("req_ord").cast("string")).alias("id"), "level", F.col("req_text").alias("text"), "subject", "action", "condition", "exception", "section", "section_title", F.col("text").alias("full_context"),
+        "doc_id", "req_ord", F.concat(F.lit("R-"), "section_id", F.lit("-"), F.col("req_ord").cast("string")).alias("id"), "level", F.col("req_text").alias("text"), "subject", "action", "condition", "exception", F.col("section_id").alias("section"), "section_title", F.col("text").alias("full_context"),
     )
 
 

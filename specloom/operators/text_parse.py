@@ -62,9 +62,9 @@ def with_parents(sections: DataFrame) -> DataFrame:
 
 
 def paragraphs(sections: DataFrame) -> DataFrame:
-    """doc_id, sec_seq, block_ord, content: parts between blank lines, trimmed, empty ones left out."""
+    """doc_id, sec_seq, section_id, section_title, block_ord, content: parts between blank lines, trimmed, empty ones left out."""
     parts = F.filter(F.transform(F.split("content", rf"\n{X.S}*\n", -1), X.trim), lambda p: p != "")
-    return sections.select("doc_id", F.col("seq").alias("sec_seq"), F.posexplode(parts).alias("block_ord", "content"))
+    return sections.select("doc_id", F.col("seq").alias("sec_seq"), F.col("number").alias("section_id"), F.col("title").alias("section_title"), F.posexplode(parts).alias("block_ord", "content"))
 
 
 def cited(raw: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def parse_text(raw: DataFrame) -> Parsed:
     cut = sections_of(raw)
     null = F.lit(None).cast("string")
     sections = with_parents(cut.drop("content")).select("doc_id", "seq", "parent_seq", "depth", "number", null.alias("anchor"), F.col("number").alias("section_id"), "title")
-    blocks = paragraphs(cut).select("doc_id", "sec_seq", "block_ord", F.lit("text").alias("type"), null.alias("style"), null.alias("language"), "content", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<string>").alias("tag_targets"))
+    blocks = paragraphs(cut).select("doc_id", "sec_seq", "block_ord", F.lit("text").alias("type"), null.alias("style"), null.alias("language"), "content", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<string>").alias("tag_targets"), "section_id", "section_title")
     refs = cited(raw).select("doc_id", "ref_ord", F.lit("informative").alias("kind"), F.concat(F.lit("RFC"), "rfc_number").alias("anchor"), "rfc_number", F.concat(F.lit("RFC "), "rfc_number").alias("title"), null.alias("target"))
     docs = raw.select("doc_id", F.lit("text").alias("source"), title_of(lines_of(F.col("body")), F.col("doc_id")).alias("title"), F.col("doc_id").alias("number"), null.alias("doc_name"))
     return Parsed(docs, sections, blocks, refs, definition_lines(raw))

@@ -162,10 +162,9 @@ TREE = [("section-3", "The client MUST send data."), ("section-3.5", "The server
 )
 def test_section_filters(spark, options, n):
     options = dict(options)
-    sections = spark.createDataFrame([(1, i, s, "t") for i, (s, _) in enumerate(TREE)], "doc_id int, sec_seq int, section string, section_title string")
-    units = spark.createDataFrame([(1, i, 0, "text", 0, t) for i, (_, t) in enumerate(TREE)], "doc_id int, sec_seq int, block_ord int, kind string, item_ord int, text string")
-    wanted = sections.where(requirements.in_sections(F.col("section"), options.pop("sections", []), options.pop("with_subsections", True)))
-    assert requirements.extract_from(wanted, units, **options).count() == n
+    units = spark.createDataFrame([(1, i, 0, "text", 0, t, s, "t") for i, (s, t) in enumerate(TREE)], "doc_id int, sec_seq int, block_ord int, kind string, item_ord int, text string, section_id string, section_title string")
+    wanted = units.where(requirements.in_sections(F.col("section_id"), options.pop("sections", []), options.pop("with_subsections", True)))
+    assert requirements.extract_from(wanted, **options).count() == n
 
 
 REQS = [
