@@ -104,8 +104,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     the rows that come next after it in descending order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8
-    shares = [i / n for i in range(1, n)] + [1.0]
-    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 100 * n)).first()[0] or []))
+    found, largest = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], min(100 * n, 100_000)), F.max("doc_id")).first()
+    bounds = sorted({*(found or []), *([] if largest is None else [largest])})  # all of them are doc_ids
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array(bounds, np.int64)

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from specloom.llm import mixing, quality_rules, sharding, url_filters
+from specloom.llm import common, mixing, quality_rules, sharding, url_filters
 
 from .helpers import awkward, documents, rows_of
 
@@ -166,3 +166,12 @@ def test_rewrite_affected_leaves_other_shards(spark, tmp_path):
     affected = {s for r in plan.collect() if r.shard != r.old_shard for s in (r.shard, r.old_shard)}
     assert {r.shard for r in written} == affected
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == sum(r.rows for r in written)
+
+
+def test_written_tables_can_be_released(spark):
+    kept = common.materialise(spark.range(5), "numbers")
+    folder = f"{common.shared_dir(spark)}/specloom/{spark.sparkContext.applicationId}"
+    assert kept.count() == 5
+    common.release(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)
