@@ -6,6 +6,13 @@ gives a table whose mask holds the bits with an odd inner product with v. Up to
 bits span less than the whole vector space, so some v is orthogonal to them all: in its table the
 two fingerprints have equal keys. No pair within the radius is lost.
 
+A larger radius takes more tables than rows are long. Then the bits are dealt into ``parts``: of up to
+``radius`` differing bits one part holds radius // parts at most, and each part is covered for that
+many. Keys are shorter in return, so parts suit a corpus of up to some hundred million texts.
+
+Beyond the three bits of the fingerprint's own law a link can be checked: with ``similarity`` given, a
+link of more bits counts only if the two texts' sets of five-word shingles are at least so alike.
+
 Only distinct fingerprints are searched. A bucket of two is compared where it is counted. Larger
 buckets are compared in blocks inside one task, which returns a spanning forest of their links and
 no pairs. A bucket of more than BUCKET fingerprints is dealt again by a covering of the bits that
@@ -31,8 +38,13 @@ from specloom.llm.common import fresh, materialise, small_batches, trimmed
 
 RADIUS = 3
 SHINGLE = 3
+#: For dropping near copies from a corpus: texts with 0.8 of their five-word shingles in common are
+#: mostly within nine bits.
+WIDE, PARTS, SIMILARITY, CHECKED_SHINGLE = 9, 2, 0.8, 5
 #: Fingerprints of a bucket that one task compares without dealing them again.
 BUCKET = 4096
+#: Fingerprints of a bucket that is compared with others at once.
+SMALL = 8
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 14
 
@@ -66,12 +78,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
-def covering_masks(bits: int, radius: int) -> list[int]:
+def covering_masks(bits: int, radius: int, parts: int = 1) -> list[int]:
     """Masks over the set bits of ``bits``: any ``radius`` of these bits are outside some mask."""
-    size = (1 << (radius + 1)) - 1
     places = [i for i in range(64) if bits >> i & 1]
-    vectors = {i: k % size + 1 for k, i in enumerate(places)}
-    return [sum(1 << i for i in places if (vectors[i] & v).bit_count() & 1) for v in range(1, size + 1)]
+    size = (1 << (radius // parts + 1)) - 1
+    masks = []
+    for part in (places[k::parts] for k in range(parts)):
+        vectors = {i: k % size + 1 for k, i in enumerate(part)}
+        masks += [sum(1 << i for i in part if (vectors[i] & v).bit_count() & 1) for v in range(1, size + 1)]
+    return masks
 
 
 def _signed(x: int) -> int:
@@ -83,9 +98,9 @@ def _tables(masks: list[int], fp: Column) -> Column:
 
 
 def spanning_links(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints: each one and its root."""
+    """A spanning forest of the links among distinct fingerprints, each of its links one within the radius."""
     n, bits = len(members), members.view(np.uint64)  # of signed values numpy counts the bits of the amount
-    root = np.arange(n)
+    root, pairs = np.arange(n), []
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -94,20 +109,21 @@ def spanning_links(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
         return i
 
     step = max(1, (1 << 20) // n)
-    for begin in range(0, n, step):
-        near = np.bitwise_count(bits[begin : begin + step, None] ^ bits[None, :]) <= radius
-        for i, j in zip(*np.nonzero(np.triu(near, begin + 1))):
-            a, b = find(begin + i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    tops = np.array([find(i) for i in range(n)])
-    other = np.flatnonzero(tops != np.arange(n))
-    return members[other], members[tops[other]]
-
-
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    for least, most in ((0, RADIUS), (RADIUS + 1, radius)):  # the surer links first
+        for begin in range(0, n if least <= radius else 0, step):
+            apart = np.bitwise_count(bits[begin : begin + step, None] ^ bits[None, :])
+            for i, j in zip(*np.nonzero(np.triu((apart >= least) & (apart <= min(most, radius)), begin + 1))):
+                a, b = find(begin + i), find(j)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    pairs.append((begin + i, j))
+    one, other = np.array(pairs, np.int64).reshape(-1, 2).T
+    return members[one], members[other]
+
+
+def links(prints: DataFrame, radius: int = RADIUS, parts: int = 1) -> DataFrame:
     """``prints`` (fp, distinct) -> a, b: links that connect what lies within the radius."""
-    masks = covering_masks((1 << 64) - 1, radius)
+    masks = covering_masks((1 << 64) - 1, radius, parts)
     keyed = prints.select("fp", _tables(masks, F.col("fp"))).select("fp", "k.t", "k.key")
     buckets = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
@@ -115,32 +131,32 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     members = keyed.join(buckets.where("n > 2").select("t", "key", "n"), ["t", "key"])
     zero = F.lit(-1)
     few = members.where(F.col("n") <= BUCKET).select("t", "key", zero.alias("t2"), F.lit(0).cast("long").alias("key2"), "fp")
-    again = None
-    for t, m in enumerate(masks):
-        part = F.when(F.col("t") == t, F.array(*[F.struct(F.lit(u).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("key")) for u, x in enumerate(covering_masks(~m & ((1 << 64) - 1), radius))]))
-        again = part if again is None else F.coalesce(again, part)
-    many = members.where(F.col("n") > BUCKET).select("t", "key", "fp", F.explode(again).alias("k")).select("t", "key", F.col("k.t").alias("t2"), F.col("k.key").alias("key2"), "fp")
+    again = [(t, u, _signed(x)) for t, m in enumerate(masks) for u, x in enumerate(covering_masks(~m & ((1 << 64) - 1), radius, parts))]
+    again = prints.sparkSession.createDataFrame(again, "t int, t2 int, mask long")  # as many rows as there are tables, squared
+    many = members.where(F.col("n") > BUCKET).join(F.broadcast(again), "t").select("t", "key", "t2", F.col("fp").bitwiseAND(F.col("mask")).alias("key2"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(group: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = spanning_links(np.unique(np.concatenate(group)), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        last, group = None, []
+        def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+            sizes = np.diff(cuts)
+            group, small = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes <= SMALL, sizes)
+            bits, found = fps.view(np.uint64), []
+            for k in range(1, SMALL):  # small buckets all at once, each row against the k-th after it
+                pair = np.flatnonzero((group[k:] == group[:-k]) & small[k:])
+                pair = pair[np.bitwise_count(bits[pair] ^ bits[pair + k]) <= radius]
+                found.append((fps[pair], fps[pair + k]))
+            found += [spanning_links(fps[cuts[i] : cuts[i + 1]], radius) for i in np.flatnonzero(sizes > SMALL)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+
+        keys, fps = np.zeros((0, 4), np.int64), np.zeros(0, np.int64)  # of the bucket that isn't complete
         for b in batches:
-            keys = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[:4]], axis=1)
-            fps = b.column(4).to_numpy()
-            if not len(keys):
-                continue
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for i, j in zip(cuts, cuts[1:]):
-                if group and tuple(keys[i]) != last:
-                    yield out(group)
-                    group = []
-                last = tuple(keys[i])
-                group.append(fps[i:j])
-        if group:
-            yield out(group)
+            keys = np.concatenate([keys, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[:4]], axis=1)])
+            fps = np.concatenate([fps, b.column(4).to_numpy()])
+            if len(keys) and (done := len(keys) - int((keys[::-1] == keys[-1]).all(axis=1).argmin() or len(keys))):
+                yield out(keys[:done], fps[:done])
+                keys, fps = keys[done:], fps[done:]
+        if len(keys):
+            yield out(keys, fps)
 
     order = ["t", "key", "t2", "key2"]
     inside = few.unionByName(many).repartition(*order).sortWithinPartitions(*order).mapInArrow(trimmed(run), "a long, b long")
@@ -166,21 +182,55 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def shingles(text: str, size: int) -> set[bytes]:
+    """As for fingerprints: lower-cased words; one shingle of all of them if there are fewer."""
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + size]) for i in range(max(len(words) - size + 1, 1))} if words else set()
+
+
+def checked(found: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The links a, b of ``found`` without those of more than RADIUS bits whose texts aren't alike. A
+    fingerprint's text is that of its least doc_id; texts of linked fingerprints alone are moved."""
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    near, far = found.where(apart <= RADIUS), found.where(apart > RADIUS)
+    ends = far.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    first = distinct.join(ends, "fp").select("fp", F.col("_first").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(first, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
+    texts = materialise(texts, "linked-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                one, other = shingles(x, CHECKED_SHINGLE), shingles(y, CHECKED_SHINGLE)
+                common = len(one & other)
+                alike.append(common >= similarity * (len(one) + len(other) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    pairs = far.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
+    return near.unionByName(pairs.select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long"))
+
+
+def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, parts: int = 1, similarity: float | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint, component_id."""
+    small_batches(docs.sparkSession)
     prints = materialise(fingerprints(docs, shingle), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("_first"))
-    found = components(links(distinct.select("fp"), radius))
+    found = links(distinct.select("fp"), radius, parts)
+    if similarity is not None:
+        found = checked(materialise(found, "candidates"), docs, distinct, similarity)
+    found = components(found)
     rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "_first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group: the one with the least doc_id, and of rows that
+def deduplicated(docs: DataFrame, radius: int = WIDE, shingle: int = SHINGLE, parts: int = PARTS, similarity: float | None = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group (by default of links within WIDE bits, checked beyond
+    RADIUS): the one with the least doc_id, and of rows that
     repeat it the first by text. Rows without doc_id stay."""
-    keep = near_groups(docs, radius, shingle).where("doc_id = component_id").select("doc_id").distinct()
+    keep = near_groups(docs, radius, shingle, parts, similarity).where("doc_id = component_id").select("doc_id").distinct()
     place = fresh(docs, "_place")
     others = [c for c, kind in docs.dtypes if not kind.startswith("map") and c not in ("doc_id", "text")]
     first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(F.lit(0), *others))

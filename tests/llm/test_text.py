@@ -157,7 +157,7 @@ def fp_by_hand(text):
     return sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in h) > len(h))
 
 
-def components_by_hand(prints):
+def components_by_hand(prints, radius=3):
     prints, root = sorted(set(prints)), {}
 
     def find(x):
@@ -167,29 +167,49 @@ def components_by_hand(prints):
 
     for i, a in enumerate(prints):
         for b in prints[:i]:
-            if (a ^ b).bit_count() <= 3:
+            if (a ^ b).bit_count() <= radius:
                 root[find(a)] = find(b)
     return {p: find(p) for p in prints}
 
 
-@pytest.mark.parametrize("bucket", [4096, 3])
-def test_covering_search_loses_no_link(spark, monkeypatch, bucket):
-    """Chains at distance 3 and dense balls, also where all but the smallest buckets are dealt again."""
+@pytest.mark.parametrize(("bucket", "radius", "parts"), [(4096, 3, 1), (3, 3, 1), (4096, 7, 2), (3, 9, 2)])
+def test_covering_search_loses_no_link(spark, monkeypatch, bucket, radius, parts):
+    """Chains at the radius and dense balls, also where all but the smallest buckets are dealt again."""
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     rng = random.Random(bucket)
     prints = [rng.getrandbits(64) for _ in range(150)]
     for _ in range(250):
         x = rng.choice(prints)
-        for i in rng.sample(range(64), rng.choice([1, 2, 3, 3, 4, 5])):
+        for i in rng.sample(range(64), rng.choice([1, 2, radius - 1, radius, radius, radius + 1, radius + 2])):
             x ^= 1 << i
         prints.append(x)
     frame = spark.createDataFrame([(simhash._signed(p),) for p in set(prints)], "fp long")
-    found = {r.node & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in simhash.components(simhash.links(frame)).collect()}
-    want = components_by_hand(prints)
+    found = {r.node & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in simhash.components(simhash.links(frame, radius, parts)).collect()}
+    want = components_by_hand(prints, radius)
     groups = lambda f: sorted(map(sorted, {frozenset(q for q in want if f(q) == f(p)) for p in want}))
     assert groups(lambda p: found.get(p, p)) == groups(want.get)
 
 
+def test_wider_links_are_checked(spark):
+    """A copy with a few words changed goes; a text that only looks near by its fingerprint stays."""
+    rng = random.Random(11)
+    base = words(rng, 400).split()
+    rows = [(1, " ".join(base), "s")]
+    for i in range(2, 12):
+        other = list(base)
+        for k in rng.sample(range(400), 3):
+            other[k] = f"changed{k}x{i}"
+        rows.append((i, " ".join(other), "s"))
+    rows += [(i, words(rng, 300), "s") for i in range(20, 40)]
+    docs = documents(spark, rows)
+    kept = {r.doc_id for r in simhash.deduplicated(docs).collect()}
+    prints = {i: fp_by_hand(t) for i, t, _ in rows}
+    linked = {i for i in range(2, 12) if (prints[i] ^ prints[1]).bit_count() <= simhash.WIDE}
+    assert len(linked) >= 5 and kept == {1, *range(20, 40)} | ({*range(2, 12)} & kept) and not linked & kept
+    far = {r.doc_id for r in simhash.deduplicated(documents(spark, rows), radius=40, parts=11, similarity=0.8).collect()}
+    assert far == {1, *range(20, 40)}
+
+
 def test_simhash_groups_of_documents(spark):
     rows = awkward()
     out = simhash.near_groups(documents(spark, rows)).collect()
