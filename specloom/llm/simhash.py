@@ -13,11 +13,12 @@ many. Keys are shorter in return, so parts suit a corpus of up to some hundred m
 Beyond the three bits of the fingerprint's own law a link can be checked: with ``similarity`` given, a
 link of more bits counts only if the two texts' sets of five-word shingles are at least so alike.
 
-Only distinct fingerprints are searched. A bucket of two is compared where it is counted. Larger
-buckets are compared in blocks inside one task, which returns a spanning forest of their links and
-no pairs. A bucket of more than BUCKET fingerprints is dealt again by a covering of the bits that
-its mask leaves free; what remains has 16 free bits or so, which bounds it whatever the input.
-Components come from alternating star contractions, written to the shared folder each round.
+Only distinct fingerprints are searched. Buckets of up to SMALL are compared many at once. Larger ones
+are compared in blocks inside one task, which returns a spanning forest of their links and no other
+pairs. A bucket of more than BUCKET fingerprints is dealt
+again by a covering of the bits that its mask leaves free; for the query's radius what remains has
+16 free bits or so, which bounds it whatever the input. Components come from alternating star
+contractions, written to the shared folder each round.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero, linked like any
 other; repeated rows are separate rows of one component; an empty table gives an empty result; a
@@ -125,15 +126,11 @@ def links(prints: DataFrame, radius: int = RADIUS, parts: int = 1) -> DataFrame:
     """``prints`` (fp, distinct) -> a, b: links that connect what lies within the radius."""
     masks = covering_masks((1 << 64) - 1, radius, parts)
     keyed = prints.select("fp", _tables(masks, F.col("fp"))).select("fp", "k.t", "k.key")
-    buckets = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    twos = buckets.where((F.col("n") == 2) & close).select("a", "b")
-    members = keyed.join(buckets.where("n > 2").select("t", "key", "n"), ["t", "key"])
-    zero = F.lit(-1)
-    few = members.where(F.col("n") <= BUCKET).select("t", "key", zero.alias("t2"), F.lit(0).cast("long").alias("key2"), "fp")
+    large = materialise(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("t", "key"), "large-buckets")
+    few = keyed.join(large, ["t", "key"], "left_anti").select("t", "key", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("key2"), "fp")
     again = [(t, u, _signed(x)) for t, m in enumerate(masks) for u, x in enumerate(covering_masks(~m & ((1 << 64) - 1), radius, parts))]
     again = prints.sparkSession.createDataFrame(again, "t int, t2 int, mask long")  # as many rows as there are tables, squared
-    many = members.where(F.col("n") > BUCKET).join(F.broadcast(again), "t").select("t", "key", "t2", F.col("fp").bitwiseAND(F.col("mask")).alias("key2"), "fp")
+    many = keyed.join(large, ["t", "key"]).join(F.broadcast(again), "t").select("t", "key", "t2", F.col("fp").bitwiseAND(F.col("mask")).alias("key2"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
@@ -159,8 +156,8 @@ def links(prints: DataFrame, radius: int = RADIUS, parts: int = 1) -> DataFrame:
             yield out(keys, fps)
 
     order = ["t", "key", "t2", "key2"]
-    inside = few.unionByName(many).repartition(*order).sortWithinPartitions(*order).mapInArrow(trimmed(run), "a long, b long")
-    return twos.unionByName(inside).distinct()
+    dealt = few.unionByName(many).repartition(*order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,8 +225,8 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, p
 
 def deduplicated(docs: DataFrame, radius: int = WIDE, shingle: int = SHINGLE, parts: int = PARTS, similarity: float | None = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group (by default of links within WIDE bits, checked beyond
-    RADIUS): the one with the least doc_id, and of rows that
-    repeat it the first by text. Rows without doc_id stay."""
+    RADIUS): the one with the least doc_id, and of rows that repeat it the first by text. Rows without
+    doc_id stay."""
     keep = near_groups(docs, radius, shingle, parts, similarity).where("doc_id = component_id").select("doc_id").distinct()
     place = fresh(docs, "_place")
     others = [c for c, kind in docs.dtypes if not kind.startswith("map") and c not in ("doc_id", "text")]
