@@ -40,8 +40,8 @@ from specloom.llm.common import fresh, materialise, small_batches, trimmed
 RADIUS = 3
 SHINGLE = 3
 #: For dropping near copies from a corpus: texts with 0.8 of their five-word shingles in common are
-#: mostly within nine bits.
-WIDE, PARTS, SIMILARITY, CHECKED_SHINGLE = 9, 2, 0.8, 5
+#: mostly within eleven bits, which take 126 tables of two parts.
+WIDE, PARTS, SIMILARITY, CHECKED_SHINGLE = 11, 2, 0.8, 5
 #: Fingerprints of a bucket that one task compares without dealing them again.
 BUCKET = 4096
 #: Fingerprints of a bucket that is compared with others at once.

@@ -210,6 +210,32 @@ def test_wider_links_are_checked(spark):
     assert far == {1, *range(20, 40)}
 
 
+def near_pairs(rng, sizes, apart, wanted):
+    """Texts and copies with a few words changed that keep 0.8 of the shingles, so many bits apart."""
+    pairs = []
+    while len(pairs) < wanted:
+        base = words(rng, rng.randint(*sizes)).split()
+        other = list(base)
+        for k in rng.sample(range(len(base)), max(1, len(base) // 45)):
+            other[k] = words(rng, 2).replace(" ", "")
+        x, y = " ".join(base), " ".join(other)
+        if alike_by_hand(x, y) >= 0.8 and (fp_by_hand(x) ^ fp_by_hand(y)).bit_count() in apart:
+            pairs.append((x, y))
+    return pairs
+
+
+def alike_by_hand(x, y):
+    one, other = ({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (x.lower().split(), y.lower().split()))
+    return len(one & other) / len(one | other)
+
+
+def test_copies_ten_and_eleven_bits_apart_go(spark):
+    """All pairs of the fixture reach 0.8: 127 words and more, as at sf0.1."""
+    pairs = near_pairs(random.Random(7), (127, 248), (10, 11), 12)
+    docs = documents(spark, [(2 * i + k, t, "s") for i, p in enumerate(pairs) for k, t in enumerate(p)])
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == {2 * i for i in range(len(pairs))}
+
+
 def test_simhash_groups_of_documents(spark):
     rows = awkward()
     out = simhash.near_groups(documents(spark, rows)).collect()
