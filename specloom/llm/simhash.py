@@ -10,10 +10,11 @@ A larger radius takes more tables than rows are long. Then the bits are dealt in
 ``radius`` differing bits one part holds radius // parts at most, and each part is covered for that
 many. Keys are shorter in return, so parts suit a corpus of up to some hundred million texts.
 
-Beyond the three bits of the fingerprint's own law a link can be checked: with ``similarity`` given, a
-link of more bits counts only if the two texts' sets of five-word shingles are at least so alike.
+For dropping near copies a link counts only if the two texts' sets of five-word shingles are at least so
+alike, however near the fingerprints are. What is searched and compared then are distinct texts (by a
+64-bit hash of their words), also those of one fingerprint; only texts of equal words aren't compared.
 
-Only distinct fingerprints are searched. Buckets of up to SMALL are compared many at once. Larger ones
+For the groups by fingerprint alone only distinct fingerprints are searched. Buckets of up to SMALL are compared many at once. Larger ones
 are compared in blocks inside one task, which returns a spanning forest of their links and no other
 pairs. A bucket of more than BUCKET fingerprints is dealt
 again by a covering of the bits that its mask leaves free; for the query's radius what remains has
@@ -122,15 +123,20 @@ def spanning_links(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
     return members[one], members[other]
 
 
-def links(prints: DataFrame, radius: int = RADIUS, parts: int = 1) -> DataFrame:
-    """``prints`` (fp, distinct) -> a, b: links that connect what lies within the radius."""
-    masks = covering_masks((1 << 64) - 1, radius, parts)
-    keyed = prints.select("fp", _tables(masks, F.col("fp"))).select("fp", "k.t", "k.key")
+def _dealt(prints: DataFrame, radius: int, parts: int) -> DataFrame:
+    """``prints`` (fp and others), once for each table: with t, key, t2, key2, the names of its bucket."""
+    masks, kept = covering_masks((1 << 64) - 1, radius, parts), prints.columns
+    keyed = prints.select(*kept, _tables(masks, F.col("fp"))).select(*kept, "k.t", "k.key")
     large = materialise(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("t", "key"), "large-buckets")
-    few = keyed.join(large, ["t", "key"], "left_anti").select("t", "key", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("key2"), "fp")
+    few = keyed.join(large, ["t", "key"], "left_anti").select("t", "key", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("key2"), *kept)
     again = [(t, u, _signed(x)) for t, m in enumerate(masks) for u, x in enumerate(covering_masks(~m & ((1 << 64) - 1), radius, parts))]
     again = prints.sparkSession.createDataFrame(again, "t int, t2 int, mask long")  # as many rows as there are tables, squared
-    many = keyed.join(large, ["t", "key"]).join(F.broadcast(again), "t").select("t", "key", "t2", F.col("fp").bitwiseAND(F.col("mask")).alias("key2"), "fp")
+    many = keyed.join(large, ["t", "key"]).join(F.broadcast(again), "t").select("t", "key", "t2", F.col("fp").bitwiseAND(F.col("mask")).alias("key2"), *kept)
+    return few.unionByName(many)
+
+
+def links(prints: DataFrame, radius: int = RADIUS, parts: int = 1) -> DataFrame:
+    """``prints`` (fp, distinct) -> a, b: links that connect what lies within the radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
@@ -156,7 +162,7 @@ def links(prints: DataFrame, radius: int = RADIUS, parts: int = 1) -> DataFrame:
             yield out(keys, fps)
 
     order = ["t", "key", "t2", "key2"]
-    dealt = few.unionByName(many).repartition(*order).sortWithinPartitions(*order)
+    dealt = _dealt(prints, radius, parts).repartition(*order).sortWithinPartitions(*order)
     return dealt.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
@@ -185,14 +191,73 @@ def shingles(text: str, size: int) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(max(len(words) - size + 1, 1))} if words else set()
 
 
-def checked(found: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """The links a, b of ``found`` without those of more than RADIUS bits whose texts aren't alike. A
-    fingerprint's text is that of its least doc_id; texts of linked fingerprints alone are moved."""
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    near, far = found.where(apart <= RADIUS), found.where(apart > RADIUS)
-    ends = far.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    first = distinct.join(ends, "fp").select("fp", F.col("_first").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(first, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
+def text_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_hash, node (a hash of the text's words in lower case) and fp of each row."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.encode().lower().split())) for t in texts], np.uint64).view(np.int64)
+            prints = np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array(prints)], names=["doc_id", "text_hash", "node", "fp"])
+
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(trimmed(run), "doc_id long, text_hash long, node long, fp long")
+
+
+def pairs_within(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of the fingerprints that are within the radius."""
+    n, bits, found = len(fps), fps.view(np.uint64), []
+    step = max(1, (1 << 20) // n)
+    for begin in range(0, n, step):
+        i, j = np.nonzero(np.triu(np.bitwise_count(bits[begin : begin + step, None] ^ bits[None, :]) <= radius, begin + 1))
+        found.append((begin + i, j))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def candidates(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
+    """``nodes`` (node, fp; node distinct) -> a, b: the pairs within the radius, a < b."""
+    dealt = _dealt(nodes, radius, parts).select(F.xxhash64("t", "key", "t2", "key2").alias("bucket"), "node", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            keys, ids, fps = rows
+            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            sizes = np.diff(cuts)
+            group, small = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes <= SMALL, sizes)
+            bits, found = fps.view(np.uint64), []
+            for k in range(1, SMALL):  # small buckets all at once, each row against the k-th after it
+                pair = np.flatnonzero((group[k:] == group[:-k]) & small[k:])
+                pair = pair[np.bitwise_count(bits[pair] ^ bits[pair + k]) <= radius]
+                found.append((ids[pair], ids[pair + k]))
+            for i in np.flatnonzero(sizes > SMALL):
+                one, other = pairs_within(fps[cuts[i] : cuts[i + 1]], radius)
+                found.append((ids[cuts[i] + one], ids[cuts[i] + other]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+
+        rows = np.zeros((3, 0), np.int64)  # of the bucket that isn't complete
+        for b in batches:
+            rows = np.concatenate([rows, np.stack([c.to_numpy() for c in b.columns])], axis=1)
+            if rows.shape[1] and (done := int(np.searchsorted(rows[0], rows[0, -1]))):
+                yield out(rows[:, :done])
+                rows = rows[:, done:]
+        if rows.shape[1]:
+            yield out(rows)
+
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "node")
+    return dealt.mapInArrow(trimmed(run), "a long, b long").distinct()
+
+
+def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (a, b) with ``alike``: whether the shingles of the two nodes' texts are. A node's text is
+    that of its least doc_id; texts of paired nodes alone are moved."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    texts = texts.join(first, texts.doc_id.eqNullSafe(first._id) & (texts.text_hash == first._hash)).groupBy("node").agg(F.min("text").alias("text"))
     texts = materialise(texts, "linked-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,32 +267,40 @@ def checked(found: DataFrame, docs: DataFrame, distinct: DataFrame, similarity:
                 one, other = shingles(x, CHECKED_SHINGLE), shingles(y, CHECKED_SHINGLE)
                 common = len(one & other)
                 alike.append(common >= similarity * (len(one) + len(other) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], names=["a", "b", "alike"])
+
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long, alike boolean")
+
 
-    pairs = far.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
-    return near.unionByName(pairs.select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long"))
+def alike_groups(docs: DataFrame, radius: int, shingle: int, parts: int, similarity: float) -> DataFrame:
+    """doc_id, text_hash and root (equal within a group) of each row of ``docs``; groups are connected by
+    pairs within the radius that are alike."""
+    prints = materialise(text_prints(docs, shingle), "text-prints")
+    nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    nodes = materialise(nodes, "nodes")
+    pairs = materialise(candidates(nodes.select("node", "fp"), radius, parts), "candidates")
+    roots = components(checked(pairs, docs, nodes, similarity).where("alike").select("a", "b"))
+    return prints.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, parts: int = 1, similarity: float | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, parts: int = 1) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint, component_id."""
     small_batches(docs.sparkSession)
     prints = materialise(fingerprints(docs, shingle), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("_first"))
-    found = links(distinct.select("fp"), radius, parts)
-    if similarity is not None:
-        found = checked(materialise(found, "candidates"), docs, distinct, similarity)
-    found = components(found)
+    found = components(links(distinct.select("fp"), radius, parts))
     rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "_first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, radius: int = WIDE, shingle: int = SHINGLE, parts: int = PARTS, similarity: float | None = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group (by default of links within WIDE bits, checked beyond
-    RADIUS): the one with the least doc_id, and of rows that repeat it the first by text. Rows without
-    doc_id stay."""
-    keep = near_groups(docs, radius, shingle, parts, similarity).where("doc_id = component_id").select("doc_id").distinct()
+def deduplicated(docs: DataFrame, radius: int = WIDE, shingle: int = SHINGLE, parts: int = PARTS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of ``alike_groups``: the one with the least doc_id, and of
+    rows that repeat it the first by text. Rows without doc_id stay."""
+    groups = alike_groups(docs, radius, shingle, parts, similarity)
+    keep = groups.groupBy("root").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL").select("doc_id").distinct()
     place = fresh(docs, "_place")
     others = [c for c, kind in docs.dtypes if not kind.startswith("map") and c not in ("doc_id", "text")]
     first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(F.lit(0), *others))

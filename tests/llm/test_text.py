@@ -236,6 +236,16 @@ def test_copies_ten_and_eleven_bits_apart_go(spark):
     assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == {2 * i for i in range(len(pairs))}
 
 
+def test_unlike_texts_stay_however_near_their_fingerprints(spark):
+    """Repeated shingles decide the bits: other words beside them leave equal and near fingerprints."""
+    rng = random.Random(5)
+    same = " ".join(["alpha beta gamma"] * 200)
+    rows = [(i, f"{same} {words(rng, 60)}", "s") for i in range(1, 7)] + [(9, f"  {same.upper()}", "s"), (10, same, "s")]
+    assert len({fp_by_hand(t) for _, t, _ in rows[:6]}) == 1
+    assert all(alike_by_hand(x, y) < 0.8 for _, x, _ in rows[:6] for _, y, _ in rows[:6] if x != y)
+    assert {r.doc_id for r in simhash.deduplicated(documents(spark, rows)).collect()} == {1, 2, 3, 4, 5, 6, 9}
+
+
 def test_simhash_groups_of_documents(spark):
     rows = awkward()
     out = simhash.near_groups(documents(spark, rows)).collect()
