@@ -13,6 +13,8 @@ many. Keys are shorter in return, so parts suit a corpus of up to some hundred m
 For dropping near copies a link counts only if the two texts' sets of five-word shingles are at least so
 alike, however near the fingerprints are. What is searched and compared then are distinct texts (by a
 64-bit hash of their words), also those of one fingerprint; only texts of equal words aren't compared.
+A crowded bucket gives each text's nearest pairs first; those found alike become one component, and
+in further rounds the bucket gives more pairs between components, until it has given all of them.
 
 For the groups by fingerprint alone only distinct fingerprints are searched. Buckets of up to SMALL are compared many at once. Larger ones
 are compared in blocks inside one task, which returns a spanning forest of their links and no other
@@ -47,6 +49,8 @@ WIDE, PARTS, SIMILARITY, CHECKED_SHINGLE = 11, 2, 0.8, 5
 BUCKET = 4096
 #: Fingerprints of a bucket that is compared with others at once.
 SMALL = 8
+#: Pairs for each text that a bucket gives in the first round, and how many times more in each further one.
+NEAREST, MORE = 8, 8
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 14
 
@@ -207,37 +211,56 @@ def text_prints(docs: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(trimmed(run), "doc_id long, text_hash long, node long, fp long")
 
 
-def pairs_within(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places i < j of the fingerprints that are within the radius."""
-    n, bits, found = len(fps), fps.view(np.uint64), []
+def nearest_pairs(fps: np.ndarray, roots: np.ndarray, radius: int, nearest: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of pairs within the radius, of different roots: for each place its ``nearest`` ones, of equal
+    ones the first; and whether these are all pairs. A pair may come both ways round."""
+    n, bits, found, whole = len(fps), fps.view(np.uint64), [], True
     step = max(1, (1 << 20) // n)
     for begin in range(0, n, step):
-        i, j = np.nonzero(np.triu(np.bitwise_count(bits[begin : begin + step, None] ^ bits[None, :]) <= radius, begin + 1))
+        apart = np.bitwise_count(bits[begin : begin + step, None] ^ bits[None, :])
+        fits = (apart <= radius) & (roots[begin : begin + step, None] != roots[None, :])
+        over = np.flatnonzero(fits.sum(axis=1) > nearest)
+        if len(over):
+            rank = np.where(fits[over], apart[over], 255) * np.int64(n) + np.arange(n)
+            fits[over] &= rank <= np.partition(rank, nearest - 1, axis=1)[:, nearest - 1 : nearest]
+            whole = False
+        i, j = np.nonzero(fits)
         found.append((begin + i, j))
-    return tuple(np.concatenate(x) for x in zip(*found))
+    return *(np.concatenate(x) for x in zip(*found)), whole
 
 
-def candidates(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
-    """``nodes`` (node, fp; node distinct) -> a, b: the pairs within the radius, a < b."""
-    dealt = _dealt(nodes, radius, parts).select(F.xxhash64("t", "key", "t2", "key2").alias("bucket"), "node", "fp")
+def in_buckets(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
+    """``nodes`` (fp and others) with the hash of the name of each of its buckets."""
+    return _dealt(nodes, radius, parts).select(F.xxhash64("t", "key", "t2", "key2").alias("bucket"), *nodes.columns)
+
+
+def candidates(dealt: DataFrame, radius: int, nearest: int) -> DataFrame:
+    """``dealt`` (bucket, node, fp, root; node distinct in a bucket) -> a, b: pairs a < b within the radius
+    whose roots differ; and rows with null for both and a bucket that has more pairs to give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: np.ndarray) -> pa.RecordBatch:
-            keys, ids, fps = rows
+            keys, ids, fps, roots = rows
             cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
             sizes = np.diff(cuts)
             group, small = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes <= SMALL, sizes)
             bits, found = fps.view(np.uint64), []
             for k in range(1, SMALL):  # small buckets all at once, each row against the k-th after it
                 pair = np.flatnonzero((group[k:] == group[:-k]) & small[k:])
-                pair = pair[np.bitwise_count(bits[pair] ^ bits[pair + k]) <= radius]
+                pair = pair[(np.bitwise_count(bits[pair] ^ bits[pair + k]) <= radius) & (roots[pair] != roots[pair + k])]
                 found.append((ids[pair], ids[pair + k]))
+            more = []
             for i in np.flatnonzero(sizes > SMALL):
-                one, other = pairs_within(fps[cuts[i] : cuts[i + 1]], radius)
-                found.append((ids[cuts[i] + one], ids[cuts[i] + other]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
-
-        rows = np.zeros((3, 0), np.int64)  # of the bucket that isn't complete
+                one, other, whole = nearest_pairs(fps[cuts[i] : cuts[i + 1]], roots[cuts[i] : cuts[i + 1]], radius, nearest)
+                one, other = ids[cuts[i] + one], ids[cuts[i] + other]
+                found.append(np.unique([np.minimum(one, other), np.maximum(one, other)], axis=1))
+                more += [] if whole else [keys[cuts[i]]]
+            one, other = (np.concatenate(x) for x in zip(*found))
+            pairs, none = len(one), pa.nulls(len(more), pa.int64())
+            columns = [pa.concat_arrays([pa.array(x), none]) for x in (one, other)] + [pa.concat_arrays([pa.nulls(pairs, pa.int64()), pa.array(more, pa.int64())])]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "bucket"])
+
+        rows = np.zeros((4, 0), np.int64)  # of the bucket that isn't complete
         for b in batches:
             rows = np.concatenate([rows, np.stack([c.to_numpy() for c in b.columns])], axis=1)
             if rows.shape[1] and (done := int(np.searchsorted(rows[0], rows[0, -1]))):
@@ -246,8 +269,8 @@ def candidates(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
         if rows.shape[1]:
             yield out(rows)
 
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "node")
-    return dealt.mapInArrow(trimmed(run), "a long, b long").distinct()
+    dealt = dealt.select("bucket", "node", "fp", "root").repartition("bucket").sortWithinPartitions("bucket", "node")
+    return dealt.mapInArrow(trimmed(run), "a long, b long, bucket long").distinct()
 
 
 def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -279,8 +302,19 @@ def alike_groups(docs: DataFrame, radius: int, shingle: int, parts: int, similar
     prints = materialise(text_prints(docs, shingle), "text-prints")
     nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     nodes = materialise(nodes, "nodes")
-    pairs = materialise(candidates(nodes.select("node", "fp"), radius, parts), "candidates")
-    roots = components(checked(pairs, docs, nodes, similarity).where("alike").select("a", "b"))
+    dealt = in_buckets(nodes.select("node", "fp", F.col("node").alias("root")), radius, parts)
+    nearest, tried = NEAREST, None
+    while True:
+        found = materialise(candidates(dealt, radius, nearest), "candidates")
+        pairs, crowded = found.where("bucket IS NULL").select("a", "b"), found.where("bucket IS NOT NULL").select("bucket").distinct()
+        new = pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        new = materialise(checked(new, docs, nodes, similarity), "checked")
+        tried = new if tried is None else tried.unionByName(new)
+        roots = materialise(components(tried.where("alike").select("a", "b")), "roots")
+        if crowded.isEmpty():
+            break
+        rooted = nodes.select("node", "fp").join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
+        dealt, nearest = in_buckets(rooted, radius, parts).join(crowded, "bucket", "left_semi"), nearest * MORE
     return prints.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 

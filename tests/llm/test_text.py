@@ -246,6 +246,32 @@ def test_unlike_texts_stay_however_near_their_fingerprints(spark):
     assert {r.doc_id for r in simhash.deduplicated(documents(spark, rows)).collect()} == {1, 2, 3, 4, 5, 6, 9}
 
 
+@pytest.mark.parametrize(("nearest", "small"), [(8, 8), (1, 2)])
+def test_links_behind_links_that_fail_are_found(spark, monkeypatch, nearest, small):
+    """One crowded bucket, texts of almost one fingerprint: the unlike ones hide no pair that is alike,
+    whatever the bucket's size, the pairs given at first and the order of the rows."""
+    monkeypatch.setattr(simhash, "NEAREST", nearest)
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = random.Random(3)
+    same, texts = " ".join(["alpha beta gamma"] * 300), []
+    for _ in range(30):
+        own = words(rng, 150).split()
+        texts += [f"{same} {' '.join(own)}", f"{same} {' '.join(own[:-2])} {words(rng, 2)}"]
+    want = components_by_hand_of([[i for i in range(60) if alike_by_hand(x, texts[i]) >= 0.8] for x in texts])
+    assert want == set(range(0, 60, 2))
+    for _ in range(2):
+        rows = [(i, t, "s") for i, t in enumerate(texts)]
+        rng.shuffle(rows)
+        assert {r.doc_id for r in simhash.deduplicated(documents(spark, rows)).collect()} == want
+
+
+def components_by_hand_of(near):
+    least = list(range(len(near)))
+    for _ in near:
+        least = [min(least[j] for j in x) for x in near]
+    return set(least)
+
+
 def test_simhash_groups_of_documents(spark):
     rows = awkward()
     out = simhash.near_groups(documents(spark, rows)).collect()
