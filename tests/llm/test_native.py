@@ -1,11 +1,13 @@
 """Mixing, URL filters, quality rules, resharding."""
 
 import random
+import zlib
 import re
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from specloom.llm import common, mixing, quality_rules, sharding, url_filters
 
@@ -168,6 +170,21 @@ def test_rewrite_affected_leaves_other_shards(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == sum(r.rows for r in written)
 
 
+def test_rewrite_affected_beside_shards_already_there(spark, tmp_path):
+    """Shards 0 to 3 lie there; 0 loses a row to 1, 2 loses all of its rows, 3 keeps its own."""
+    rows = [(1, "a", 0, 0), (1, "b", 0, 1), (1, "b", 1, 1), (None, "c", 1, 1), (None, None, 0, 0), (5, "d", 2, 1), (6, "e", 3, 3)]
+    docs = documents(spark, [(i, t, "s") for i, t, _, _ in rows])
+    path = f"file://{tmp_path}/out"
+    docs.join(spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 2), ("e", 3)], "text string, shard int"), "text").withColumn("slot", F.lit(0).cast("long")).select(*docs.columns, "slot", "shard").write.partitionBy("shard").parquet(path)
+    before = {f.name for f in (tmp_path / "out" / "shard=3").iterdir()}
+    plan = [(i, 16 + len(t or ""), zlib.crc32((t or "").encode()), new, k, old) for k, (i, t, old, new) in enumerate(rows)]
+    plan = spark.createDataFrame(plan, "doc_id long, size long, text_crc32 long, shard int, slot long, old_shard int")
+    assert {(r.shard, r.rows) for r in sharding.rewrite_affected(docs, plan, path).collect()} == {(0, 2), (1, 4)}
+    out = Counter((r.doc_id, r.text, r.shard) for r in spark.read.parquet(path).collect())
+    assert out == Counter((i, t, new) for i, t, _, new in rows)
+    assert {f.name for f in (tmp_path / "out" / "shard=3").iterdir()} == before
+
+
 def test_written_tables_can_be_released(spark):
     kept = common.materialise(spark.range(5), "numbers")
     folder = f"{common.shared_dir(spark)}/specloom/{spark.sparkContext.applicationId}"
