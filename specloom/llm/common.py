@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or, only where
-    that is unset (tests, local mode), a temporary folder of this machine."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or, only where that is
+    unset in local mode (tests), a temporary folder of this machine. On a cluster executors would
+    write to their own disks, so there it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='specloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
         atexit.register(_remove, at.removeprefix("file://"))
@@ -79,10 +83,12 @@ def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[str],
     return df.join(starts, [*group, bucket]).withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_start")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of so many rows at most, as texts may be long: bounds what a Python worker holds."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of so many bytes at most, or of one row, as texts may be long: bounds what a Python
+    worker holds. Rows in a batch stay as the session has them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).removesuffix("b")) > size:
+        spark.conf.set(key, str(size))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -1,26 +1,29 @@
-"""Suffix-array dedup: find every byte that a repeated string of ``length`` bytes covers.
-
-Texts are first cut into runs so that any two equal strings meet. Each window of ``length`` bytes
-has an anchor, its least k-gram hash (leftmost of equals); the windows of a text that share an
-anchor form a run. Equal windows have equal anchors at equal places, so they are in runs with equal
-anchor hashes, and runs whose anchor hash occurs once are done. Of the rest, runs with equal whole
-contents (128-bit hashes) are repeated as a whole. What is left are runs at the borders of repeated
-passages: their bytes, and those of one run of each repeated content beside them, go by anchor hash
-into run-length indexes.
-
-An index holds the run-compressed Burrows-Wheeler transform of about half a megabyte of such bytes.
-Matching statistics are sampled where a BWT run begins or ends (and are known where suffixes agree
-beyond the depth that they are sorted to); inside a run the value falls by one for each step along
-the text, so one streaming pass from the samples gives all of them. Windows whose value reaches
-``length`` are marked. An anchor hash with more than HOT different contents isn't gathered into one
-index: its windows are counted by 128-bit hashes, pre-aggregated before the shuffle.
+"""Suffix-array dedup: find every byte that a repeated string covers.
+
+The strings are windows of ``length`` bytes, or, for passages, of ``words`` whole words with what
+stands between them. Texts are first cut into runs so that any two equal windows meet. A window has
+an anchor, its least gram hash (leftmost of equals); neighbouring windows of one anchor form a run.
+Equal windows have equal anchors at equal places, so they are in runs with equal anchor hashes, and
+runs whose anchor hash occurs once are done. The bytes of the others, each distinct run once with
+the number of its occurrences, go by anchor hash into run-length indexes.
+
+An index holds the run-compressed Burrows-Wheeler transform of about half a megabyte of such
+strings: equal suffixes of a string that occurs n times fill a BWT run of n, so it is entered once.
+Matching statistics are sampled where a BWT run begins or ends, and at the begin of each string that
+occurs again; inside a run the value falls by one for each step along the text, so one streaming
+pass from the samples gives all of them. Windows whose value reaches their length are marked.
+
+Anchors whose runs are too many bytes for one index are cut once more, by finer keys: the least gram
+of each quarter of a window, then the window itself. What is shared under a finer key goes into
+indexes of its own. Under the last key all strings are equal, so no index grows with the input, and
+no result comes by another way. Runs are the same only if 128-bit BLAKE2 digests of their bytes are.
 
 Nothing is capped or sampled, and no step gathers a group that grows with the input. Texts are
 shuffled once, by row; the exchange serves all joins with them.
 
-Defined cases: a null text is empty; a text shorter than ``length`` is kept whole; a string that
-overlaps its own repeat counts; rows that repeat doc_id and text repeat each other; a null doc_id
-stays null; an empty table gives an empty result; only doc_id and text are read.
+Defined cases: a null text is empty; a text without a window is kept whole; a string that overlaps
+its own repeat counts; rows that repeat doc_id and text repeat each other; a null doc_id stays null
+and is a row like others; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -30,26 +33,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specloom.llm import bytesops as B
 from specloom.llm.common import fresh, materialise, small_batches, trimmed
 
 LENGTH = 400
-GRAM = 128
-#: Different contents of one anchor hash that go into one index.
-HOT = 1000
+#: Words of a passage: over fifty.
+PASSAGE = 51
+#: Bytes of one anchor hash that go into one index; more are cut by finer keys.
+HOT = 1 << 20
 #: Bytes of an index.
 INDEX = 1 << 19
-#: Depth to which suffixes are sorted; at least the length asked for.
+#: Depth to which suffixes are sorted, if the windows asked for aren't longer.
 DEPTH = 512
 #: Bytes of a text worked on at once; what is longer is worked on in overlapping parts.
 PART = 1 << 21
-NO_ID = -(1 << 63)
-_V1, _V2, _BASE2 = B.byte_values(31), B.byte_values(32), 0xC2B2AE3D27D4EB4F
+#: Parts of a window whose anchors make its key, level by level; 0: the window itself.
+LEVELS = (1, 4, 0)
+_VALUES = B.byte_values(31)
 _PLACE = np.uint64((1 << 24) - 1)
-_SEPARATOR = 255  # no byte of UTF-8
+_SEPARATOR, _BEFORE, _AFTER = 255, 254, 253  # no bytes of UTF-8
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -63,72 +68,107 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:n], before[width - 1 : width - 1 + n])
 
 
-def runs_of(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For the texts data[at[i]:at[i + 1]]: of each run the text, its first and last window (from the
-    text's begin), the anchor's hash and the 128-bit hash of its content."""
-    none = np.zeros(0, np.int64)
-    sizes = np.diff(at)
-    if len(data) < length or not (sizes >= length).any():
-        return none, none, none, none, none, none
-    one, two = B.prefix_hash(_V1[data]), B.prefix_hash(_V2[data], _BASE2)
-    places = np.arange(len(data) - gram + 1)
-    grams = B.mixed(B.span_hash(one, places, places + gram))
-    anchor = (_least(grams & ~_PLACE | places.astype(np.uint64), length - gram + 1) & _PLACE).astype(np.int64)
-    text = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
+def units_of(data: np.ndarray, at: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of what windows are made of, bytes or words, and how many each text has."""
+    if words:
+        return B.word_spans(data, at)
+    places = np.arange(len(data))
+    return places, places + 1, np.diff(at)
+
+
+def runs_of(data: np.ndarray, at: np.ndarray, length: int, gram: int, words: bool = False, parts: int = 1) -> tuple[np.ndarray, ...]:
+    """For the texts data[at[i]:at[i + 1]]: of each run of windows of ``length`` units the text, the
+    begins of its first and last window and the end of the last one (from the text's begin), and its
+    key, from the anchors of ``parts`` parts of a window."""
+    starts, ends, sizes = units_of(data, at, words)
     counts = np.maximum(sizes - length + 1, 0)
-    window = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + at[text]
-    cut = np.ones(len(window), bool)
-    cut[1:] = (anchor[window[1:]] != anchor[window[:-1]]) | (text[1:] != text[:-1])
+    if not counts.any():
+        return (np.zeros(0, np.int64),) * 5
+    offsets = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(sizes)), counts)
+    window = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[text]
+    prefix = B.prefix_hash(_VALUES[data])
+    if parts:
+        part = -(-length // parts)
+        gram = min(gram, max(1, part // 3)) if parts > 1 else gram
+        places = np.arange(len(starts) - gram + 1)
+        grams = B.mixed(B.span_hash(prefix, starts[places], ends[places + gram - 1]))
+        least = (_least(grams & ~_PLACE | places.astype(np.uint64), part - gram + 1) & _PLACE).astype(np.int64)
+        cut, key = np.ones(len(window), bool), np.zeros(len(window), np.uint64)
+        anchors = [least[window + min(k * part, length - part)] for k in range(parts)]
+        cut[1:] = text[1:] != text[:-1]
+        for anchor in anchors:
+            cut[1:] |= anchor[1:] != anchor[:-1]
+            key = grams[anchor] if parts == 1 else B.mixed(key + grams[anchor])
+    else:
+        cut, key = np.ones(len(window), bool), B.mixed(B.span_hash(prefix, starts[window], ends[window + length - 1]))
     first = np.flatnonzero(cut)
     last = np.concatenate([first[1:], [len(window)]]) - 1
     a, b, text = window[first], window[last], text[first]
-    h1 = B.mixed(B.span_hash(one, a, b + length) + (b - a).astype(np.uint64))
-    h2 = B.mixed(B.span_hash(two, a, b + length, _BASE2) + (anchor[a] - a).astype(np.uint64))
-    return text, a - at[text], b - at[text], grams[anchor[a]].view(np.int64), h1.view(np.int64), h2.view(np.int64)
+    return text, starts[a] - at[text], starts[b] - at[text], ends[b + length - 1] - at[text], key[first].view(np.int64)
 
 
-RUNS = "id long, th long, a long, b long, h long, h1 long, h2 long, n long"
+def _digests(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    view, digest = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    joined = b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist())])
+    return tuple(np.frombuffer(joined, np.int64).reshape(-1, 2).T)
 
 
-def _parts(texts: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _parts(texts: pa.Array, length: int, words: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, offset in it, bytes, begins): whole texts, or parts of one long text that overlap
     by what a window needs."""
     for begin, end in B.pieces(texts):
         data, at = B.utf8(texts.slice(begin, end - begin))
         if end - begin > 1 or len(data) <= PART:
             yield begin, 0, data, at
-        else:
-            for i in range(0, max(1, len(data) - length + 1), PART - length + 1):
-                part = data[i : i + PART]
-                yield begin, i, part, np.array([0, len(part)])
+            continue
+        starts, ends, _ = units_of(data, np.array([0, len(data)]), words)
+        i = 0
+        while i == 0 or i + length <= len(starts):
+            # as many units as a part has room for, and those of one window at least
+            j = max(i + length, int(np.searchsorted(ends, starts[i] + PART, "right"))) if len(starts) else 0
+            j = min(j, len(starts))
+            part = data[starts[i] : ends[j - 1]] if j else data[:0]
+            yield begin, int(starts[i]) if j else 0, part, np.array([0, len(part)])
+            i = j - length + 1
+            if j >= len(starts):
+                break
+
+
+_RUNS = "s1 long, s2 long, a long, b long, h long, d1 long, d2 long, n long, more array<struct<a:long,b:long>>"
+_RANGES_TYPE = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
 
+def _range_lists(of: np.ndarray, froms: np.ndarray, tos: np.ndarray, n: int) -> pa.Array:
+    """Ranges, ordered by the row that they are of, as lists; null for rows without any."""
+    counts = np.bincount(of, minlength=n)
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(froms, pa.int64()), pa.array(tos, pa.int64())], names=["a", "b"])
+    return pa.ListArray.from_arrays(pa.array(offsets), pairs, mask=pa.array(counts == 0)) if n else pa.array([], _RANGES_TYPE)
 
-def runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``docs`` (id, th, text) -> RUNS. n: how often the content occurs in the text. What occurs
-    more often there is one row, and its ranges follow as rows with a null h."""
+
+def runs(sources: DataFrame, length: int, gram: int, words: bool, parts: int) -> DataFrame:
+    """``sources`` (s1, s2, w, data) -> _RUNS: the distinct runs of each text, by digest, with the bytes
+    [a, b) of the first; n: how often they occur, times w; more: all their ranges if over one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, th = (batch.column(i).to_numpy() for i in (0, 1))
-            for first, offset, data, at in _parts(batch.column(2), length):
-                text, a, b, h, h1, h2 = runs_of(data, at, length, gram)
+            s1, s2, w = (batch.column(i).to_numpy() for i in range(3))
+            for first, offset, data, at in _parts(batch.column(3), length, words):
+                text, a, _, b, h = runs_of(data, at, length, gram, words, parts)
                 if not len(text):
                     continue
-                _, lead, group, n = np.unique(np.stack([text, h1, h2], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True) if _repeats(text, h1) else (None, np.arange(len(text)), None, np.ones(len(text), np.int64))
-                again = np.flatnonzero(n[group.ravel()] > 1) if group is not None else np.zeros(0, np.int64)
-                froms, tos, of = merged(text[again], a[again], b[again] + 1)
-                row = np.concatenate([text[lead], of]) + first
-                null = np.concatenate([np.zeros(len(lead), bool), np.ones(len(of), bool)])
-                pad = np.zeros(len(of), np.int64)
-                columns = [ids[row], th[row], np.concatenate([a[lead], froms]) + offset, np.concatenate([b[lead], tos - 1]) + offset]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate([h[lead], pad]), mask=null), *(pa.array(np.concatenate([x, pad])) for x in (h1[lead], h2[lead], n))], names=[x.split()[0] for x in RUNS.split(", ")])
-
-    return docs.mapInArrow(trimmed(run), RUNS)
-
+                d1, d2 = _digests(data, a + at[text], b + at[text])
+                key = B.mixed(d1.view(np.uint64) ^ B.mixed(text.astype(np.uint64)))
+                _, lead, group, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                again = np.flatnonzero(n[group] > 1)
+                froms, tos, of = merged(group[again], a[again], b[again])
+                row = text[lead] + first
+                more = _range_lists(of, froms + offset, tos + offset, len(lead))
+                columns = [s1[row], s2[row], a[lead] + offset, b[lead] + offset, h[lead], d1[lead], d2[lead], n * w[row]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), more], names=["s1", "s2", "a", "b", "h", "d1", "d2", "n", "more"])
 
-def _repeats(text: np.ndarray, h1: np.ndarray) -> bool:
-    keys = np.sort(B.mixed(h1.view(np.uint64) + text.astype(np.uint64)))
-    return bool((keys[1:] == keys[:-1]).any())
+    return sources.select("s1", "s2", "w", "data").mapInArrow(trimmed(run), _RUNS)
 
 
 def merged(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,20 +186,21 @@ def merged(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 class RunLengthIndex:
-    """Run-compressed BWT of some strings, with the suffixes at its runs' ends and their longest
-    matches elsewhere (up to DEPTH) as samples."""
-
-    def __init__(self, strings: list[np.ndarray]) -> None:
-        sizes = np.array([len(s) + 1 for s in strings])
-        self.begins = np.cumsum(sizes) - sizes
-        text = np.full(int(sizes.sum()) + DEPTH + 16, _SEPARATOR, np.uint8)
+    """Run-compressed BWT of some strings that occur ``counts`` times, with the suffixes at its runs'
+    ends and their longest matches elsewhere (up to ``depth``) as samples."""
+
+    def __init__(self, strings: list[np.ndarray], counts: list[int] | None = None, depth: int = DEPTH) -> None:
+        self.sizes = np.array([len(s) + 1 for s in strings])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.depth = depth
+        n = self.n = int(self.sizes.sum())
+        text = np.full(n + depth + 16, _SEPARATOR, np.uint8)
         for at, s in zip(self.begins, strings):
             text[at : at + len(s)] = s
-        self.n = n = int(sizes.sum())
         self.text = text
-        words = np.zeros(n, np.uint64)
+        words = np.zeros(n + depth + 8, np.uint64)  # the eight bytes from each place on
         for i in range(8):
-            words = words << np.uint64(8) | text[i : i + n]
+            words[:] = words << np.uint64(8) | text[i : i + len(words)]
         order, rank = self._sorted(words)
         bwt = text[order - 1]
         bwt[order == 0] = _SEPARATOR
@@ -167,24 +208,28 @@ class RunLengthIndex:
         head[1:-1] = bwt[1:] != bwt[:-1]
         self.run_heads = np.flatnonzero(head[:-1])
         self.run_bytes = bwt[self.run_heads]
+        # how long runs are in the BWT of all occurrences
+        times = np.repeat(np.ones(len(strings), np.int64) if counts is None else np.asarray(counts, np.int64), self.sizes)
+        self.run_sizes = np.add.reduceat(times[order], self.run_heads) if n else np.zeros(0, np.int64)
         border = head[:-1] | head[1:] | (order == 0)
         tied = np.zeros(n + 1, bool)
         tied[1:-1] = rank[order[1:]] == rank[order[:-1]]
         wanted = np.zeros(n + 1, bool)  # of the neighbours i - 1 and i in order
         wanted[1:-1] = (border[1:] | border[:-1]) & ~tied[1:-1]
         match = np.zeros(n + 1, np.int64)
-        match[tied] = DEPTH
+        match[tied] = depth
         i = np.flatnonzero(wanted)
-        match[i] = self._common(order[i - 1], order[i])
+        match[i] = self._common(words, order[i - 1], order[i])
         sampled = border | tied[:-1] | tied[1:]
-        self.sample_at = order[sampled]
-        self.sample = np.maximum(match[:-1], match[1:])[sampled]
+        again = np.zeros(0, np.int64) if counts is None else np.flatnonzero(np.asarray(counts) > 1)
+        self.sample_at = np.concatenate([order[sampled], self.begins[again]])
+        self.sample = np.concatenate([np.maximum(match[:-1], match[1:])[sampled], self.sizes[again] - 1])
 
     def _sorted(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes in order of their first DEPTH bytes, and ranks, equal where these agree."""
+        """Suffixes in order of their first ``depth`` bytes, and ranks, equal where these agree."""
         n = self.n
-        order = np.argsort(words, kind="stable")
-        rank = np.zeros(n + DEPTH, np.int64)
+        order = np.argsort(words[:n])
+        rank = np.zeros(n + self.depth, np.int64)
 
         def rerank(places: np.ndarray, at: np.ndarray, fresh: np.ndarray) -> None:
             """places in order, their places in the whole order, and where a new rank begins."""
@@ -194,16 +239,17 @@ class RunLengthIndex:
         fresh = np.ones(n, bool)
         fresh[1:] = words[order[1:]] != words[order[:-1]]
         rerank(order, np.arange(n), fresh)
-        depth = 8
-        while depth < DEPTH:
-            same = np.zeros(n + 1, bool)
-            same[1:-1] = rank[order[1:]] == rank[order[:-1]]
-            at = np.flatnonzero(same[:-1] | same[1:])
+        depth, at = 8, np.arange(n)
+        while depth < self.depth:
+            ranks = rank[order[at]]
+            same = np.zeros(len(at) + 1, bool)
+            same[1:-1] = ranks[1:] == ranks[:-1]
+            at = at[same[:-1] | same[1:]]
             if not len(at):
                 break
             places = order[at]
             key = rank[places] << 32 | rank[places + depth]
-            by = np.argsort(key, kind="stable")
+            by = np.argsort(key)
             places, key = places[by], key[by]
             order[at] = places
             fresh = np.ones(len(at), bool)
@@ -212,126 +258,160 @@ class RunLengthIndex:
             depth *= 2
         return order, rank
 
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of the suffixes at a and b, DEPTH at most."""
-        out = np.zeros(len(a), np.int64)
+    def _common(self, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the suffixes at a and b, ``depth`` at most."""
+        out = np.full(len(a), self.depth, np.int64)
         live = np.arange(len(a))
-        step = np.arange(16)
-        for done in range(0, DEPTH, 16):
+        for done in range(0, self.depth, 8):
             if not len(live):
                 break
-            differs = self.text[np.minimum(a[live, None] + done + step, len(self.text) - 1)] != self.text[np.minimum(b[live, None] + done + step, len(self.text) - 1)]
-            some = differs.any(axis=1)
-            out[live] = done + np.where(some, differs.argmax(axis=1), 16)
+            apart = words[np.minimum(a[live] + done, len(words) - 1)] ^ words[np.minimum(b[live] + done, len(words) - 1)]
+            some = apart != 0
+            # the bytes before the first that differs: the exponent of a float has the highest bit
+            out[live[some]] = done + (63 - _high_bit(apart[some])) // 8
             live = live[~some]
         return out
 
     def matching_statistics(self) -> np.ndarray:
-        """For each place of the text, the longest match that starts elsewhere (up to DEPTH)."""
+        """For each place of the text, the longest match that starts elsewhere (up to ``depth``)."""
         value = np.zeros(self.n, np.int64)
-        value[self.sample_at] = self.sample
+        np.maximum.at(value, self.sample_at, self.sample)
         places = np.arange(self.n)
         return np.maximum.accumulate(value + places) - places
 
-    def repeated(self, length: int) -> list[np.ndarray]:
-        """For each string the begins of windows that occur elsewhere."""
-        ok = self.matching_statistics() >= length
-        ends = np.concatenate([self.begins[1:], [self.n]]) - 1
-        return [np.flatnonzero(ok[a : max(a, e - length + 1)]) for a, e in zip(self.begins, ends)]
-
 
-RANGES = "id long, th long, a long, b long"
+def _high_bit(x: np.ndarray) -> np.ndarray:
+    """Place of the highest bit that is set, of values that aren't 0."""
+    high = x >> np.uint64(32)
+    upper = high != 0
+    return np.frexp(np.where(upper, high, x).astype(np.float64))[1] - 1 + 32 * upper
 
 
-def _ranges(rows: list[tuple[int, int, int, np.ndarray]], length: int) -> pa.RecordBatch:
-    """rows: id, th, first window, repeated windows from there -> byte ranges, half open."""
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    for i, th, a, windows in rows:
-        if len(windows):
-            froms, tos, _ = merged(np.zeros(len(windows), np.int64), windows, windows + length)
-            for column, x in zip(out, (np.full(len(froms), i), np.full(len(froms), th), froms + a, tos + a)):
-                column.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], names=["id", "th", "a", "b"])
+_CONTEXTS = "h long, d1 long, d2 long, n long, size long, data binary"
+_MARKS = "d1 long, d2 long, marks array<struct<a:long,b:long>>"
 
 
-def _contexts(keyed: DataFrame, need: DataFrame, length: int, windows: bool) -> DataFrame:
-    """The bytes of the runs in ``need``, or the hashes of their windows one by one."""
+def _contexts(sources: DataFrame, need: DataFrame) -> DataFrame:
+    """``need`` (s1, s2, a, b, h, d1, d2, n, size) with the bytes [a, b) of its source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # rows that repeat a source give its bytes once
         for batch in batches:
-            ids, ths, texts, needs = (batch.column(i) for i in range(4))
-            for i in range(batch.num_rows):
-                data = np.frombuffer(texts[i].as_buffer(), np.uint8)
-                if windows:
-                    for x in needs[i].as_py():
-                        own = data[x["a"] : x["b"] + length]
-                        places = np.arange(len(own) - length + 1)
-                        one, two = B.mixed(B.span_hash(B.prefix_hash(_V1[own]), places, places + length)), B.mixed(B.span_hash(B.prefix_hash(_V2[own], _BASE2), places, places + length, _BASE2))
-                        n = len(places)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ids[i].as_py())), pa.array(np.full(n, ths[i].as_py())), pa.array(places + x["a"]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["id", "th", "s", "w1", "w2"])
-                else:
-                    own = needs[i].as_py()
-                    n = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * n, pa.int64()), pa.array([ths[i].as_py()] * n, pa.int64()), pa.array([x["a"] for x in own], pa.int64()), pa.array([x["h"] for x in own], pa.int64()), pa.array([data[x["a"] : x["b"] + length].tobytes() for x in own], pa.binary())], names=["id", "th", "a", "h", "bytes"])
-
-    grouped = need.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b", "h")).alias("need"))
-    joined = keyed.join(grouped.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "need")
-    return joined.mapInArrow(trimmed(run), "id long, th long, s long, w1 long, w2 long" if windows else "id long, th long, a long, h long, bytes binary")
-
-
-def _indexed(contexts: DataFrame, length: int) -> DataFrame:
-    """Runs' bytes -> ranges that repeat among the runs of an anchor hash."""
+            needs, datas = batch.column(3), batch.column(2)
+            flat, at = needs.values, needs.offsets.to_pylist()
+            a, b = (flat.field(x).to_numpy() for x in ("a", "b"))
+            out, places = [], []
+            for key, data, x, y in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), datas, at, at[1:]):
+                if key not in seen:
+                    seen.add(key)
+                    view = memoryview(data.as_buffer())
+                    out += [view[p:q].tobytes() for p, q in zip(a[x:y].tolist(), b[x:y].tolist())]
+                    places += range(x, y)
+            own = flat.take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(own.field(x) for x in ("h", "d1", "d2", "n", "size")), pa.array(out, pa.binary())], names=["h", "d1", "d2", "n", "size", "data"])
+
+    grouped = need.groupBy("s1", "s2").agg(F.collect_list(F.struct("a", "b", "h", "d1", "d2", "n", "size")).alias("need"))
+    return sources.join(grouped.hint("shuffle_hash"), ["s1", "s2"]).select("s1", "s2", "data", "need").mapInArrow(trimmed(run), _CONTEXTS)
+
+
+def repeated_windows(strings: list[np.ndarray], counts: list[int], length: int, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of strings and how often they occur: string, begin and end (from the string's begin) of each window
+    that occurs elsewhere in them."""
+    data, at = np.concatenate(strings), np.concatenate([[0], np.cumsum(list(map(len, strings)))])
+    starts, ends, sizes = units_of(data, at, words)
+    offsets, n = np.cumsum(sizes) - sizes, np.maximum(sizes - length + 1, 0)
+    of = np.repeat(np.arange(len(sizes)), n)
+    window = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + offsets[of]
+    last, begins, stops = window + length - 1, starts, ends
+    if words:
+        # words are indexed between two marks, so that they match as wholes; marks that touch mean one space
+        single = ends[:-1][(ends[:-1] + 1 == starts[1:]) & (data[np.minimum(ends[:-1], len(data) - 1)] == 32)]
+        keep = np.ones(len(data) + 1, bool)
+        keep[np.setdiff1d(single, at)] = False
+        gone = np.cumsum(~keep) - ~keep
+        order = np.arange(len(starts))
+        marked = np.insert(data[keep[:-1]], np.concatenate([ends - gone[ends], starts - gone[starts]]), np.repeat(np.array([_AFTER, _BEFORE], np.uint8), len(starts)))
+        begins, stops = starts - gone[starts] + 2 * order, ends - gone[ends] + 2 * order + 2
+        strings = [marked[begins[x] : stops[x + k - 1]] for x, k in zip(offsets, sizes)]
+    depth = DEPTH
+    while depth < (int((stops[last] - begins[window]).max(initial=0))):
+        depth *= 2
+    index = RunLengthIndex(strings, counts, depth)
+    place = begins[window] - begins[offsets[of]]
+    ok = index.matching_statistics()[index.begins[of] + place] >= stops[last] - begins[window]
+    return of[ok], (starts[window] - at[of])[ok], (ends[last] - at[of])[ok]
+
+
+def _indexed(contexts: DataFrame, length: int, words: bool) -> DataFrame:
+    """Contexts -> _MARKS: byte ranges, from a context's begin, that repeat among those of its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
 
         def out() -> pa.RecordBatch:
-            marks = RunLengthIndex([x[3] for x in held]).repeated(length)
-            return _ranges([(*x[:3], m) for x, m in zip(held, marks)], length)
+            of, begins, ends = repeated_windows([np.frombuffer(x[3].as_buffer(), np.uint8) for x in held], [x[2] for x in held], length, words)
+            froms, tos, of = merged(of, begins, ends)
+            some = np.unique(of)
+            lists = _range_lists(np.searchsorted(some, of), froms, tos, len(some))
+            return pa.RecordBatch.from_arrays([*(pa.array([held[i][k] for i in some], pa.int64()) for k in (0, 1)), lists], names=["d1", "d2", "marks"])
 
         for batch in batches:
-            for i, th, a, h, data in zip(*(batch.column(k) for k in range(5))):
-                if (h := h.as_py()) != last and size >= INDEX:  # a hash's runs stay together
+            for h, d1, d2, n, data in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(5)):
+                if h != last and size >= INDEX:  # a key's runs stay together
                     yield out()
                     held, size = [], 0
                 last = h
-                held.append((i.as_py(), th.as_py(), a.as_py(), np.frombuffer(data.as_buffer(), np.uint8)))
-                size += len(held[-1][3])
+                held.append((d1, d2, n, data))
+                size += len(data.as_buffer())
         if held:
             yield out()
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(run), RANGES)
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(run), _MARKS)
 
 
-def keyed_rows(docs: DataFrame) -> DataFrame:
-    """id, th, text: the rows by a key that also tells rows with the same doc_id apart."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+def _repeated(scan: DataFrame, dealt: DataFrame, length: int, gram: int, words: bool, level: int = 0) -> DataFrame:
+    """Sources (s1, s2, w, data) -> s1, s2, ranges: what repeated windows cover; ranges may overlap.
+    ``dealt`` are those of ``scan``, by s1 and s2."""
+    cut = materialise(runs(scan, length, gram, words, LEVELS[level]), "runs")
+    anchors = cut.groupBy("h").agg(F.sum("n").alias("_n")).where("_n > 1").select("h")
+    shared = materialise(cut.join(anchors, "h", "left_semi"), "shared-runs")
+    contents = materialise(shared.groupBy("h", "d1", "d2").agg(F.sum("n").alias("n"), F.min(F.struct("s1", "s2", "a", "b")).alias("r")), "contents")
+    sizes = contents.groupBy("h").agg(F.sum(F.col("r.b") - F.col("r.a")).alias("size"))
+    contexts = _contexts(dealt, contents.join(sizes, "h").select("h", "d1", "d2", "n", "size", "r.*"))
+    if level + 1 == len(LEVELS) or sizes.where(F.col("size") > HOT).isEmpty():
+        marks = _indexed(contexts, length, words)
+    else:
+        contexts = materialise(contexts, "contexts")
+        again = contexts.where(F.col("size") > HOT).select(F.col("d1").alias("s1"), F.col("d2").alias("s2"), F.col("n").alias("w"), "data")
+        finer = _spans(_repeated(again, again, length, gram, words, level + 1))
+        marks = _indexed(contexts.where(F.col("size") <= HOT), length, words).unionByName(finer.select(F.col("s1").alias("d1"), F.col("s2").alias("d2"), F.col("ranges").alias("marks")))
+    # a run that occurs twice in one text is repeated as a whole, at all its places
+    places = F.coalesce("more", F.transform("marks", lambda m: F.struct((m["a"] + F.col("a")).alias("a"), (m["b"] + F.col("a")).alias("b"))))
+    return shared.join(marks, ["d1", "d2"]).select("s1", "s2", places.alias("ranges"))
 
 
-def repeated_ranges(docs: DataFrame, keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """RANGES: half-open ranges of bytes that repeated strings cover; they may overlap."""
-    if length > DEPTH:
-        raise ValueError(f"a length of {DEPTH} at most")
-    small_batches(docs.sparkSession)
-    cut = materialise(runs(keyed_rows(docs), length, gram), "runs")
-    known = cut.where("h IS NULL").select("id", "th", "a", (F.col("b") + length).alias("b"))
-    anchors = cut.where("h IS NOT NULL").groupBy("h").agg(F.sum("n").alias("_n")).where("_n > 1").select("h")
-    shared = materialise(cut.where("h IS NOT NULL").join(anchors, "h", "left_semi"), "shared-runs")
-    contents = materialise(shared.groupBy("h", "h1", "h2").agg(F.sum("n").alias("n"), F.min(F.struct("id", "th", "a", "b")).alias("r")), "contents")
-    whole = shared.join(contents.where("n > 1").select("h", "h1", "h2"), ["h", "h1", "h2"], "left_semi").select("id", "th", "a", (F.col("b") + length).alias("b"))
-    mixed = contents.groupBy("h").agg(F.count("*").alias("_all"), F.count_if(F.col("n") == 1).alias("_single")).where("_all > 1 AND _single > 0").select("h", "_all")
-    need = materialise(contents.join(mixed, "h").select("h", "_all", "r.*"), "border-runs")
-    in_index = _indexed(_contexts(keyed, need.where(F.col("_all") <= HOT).drop("_all"), length, False), length)
-    windows = materialise(_contexts(keyed, need.where(F.col("_all") > HOT).drop("_all"), length, True), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    hot = windows.join(twice, ["w1", "w2"], "left_semi").select("id", "th", F.col("s").alias("a"), (F.col("s") + length).alias("b"))
-    return known.unionByName(whole).unionByName(in_index).unionByName(hot)
+def _spans(repeated: DataFrame) -> DataFrame:
+    """One row for each source; rows that repeat a source have given the same ranges."""
+    return repeated.groupBy("s1", "s2").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
+
 
+def _keys() -> dict[str, Column]:
+    """Two numbers that tell rows apart by doc_id (a null one too) and text."""
+    return {"s1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "s2": F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))}
 
-def _spans(ranges: DataFrame) -> DataFrame:
-    return ranges.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """s1, s2, w, data, doc_id: the rows by a key that also tells rows with the same doc_id apart."""
+    keys = _keys()
+    return docs.select(keys["s1"].alias("s1"), keys["s2"].alias("s2"), F.lit(1).cast("long").alias("w"), F.coalesce("text", F.lit("")).cast("binary").alias("data"), "doc_id")
+
+
+def repeated_ranges(docs: DataFrame, dealt: DataFrame, length: int = LENGTH, gram: int | None = None, words: bool = False) -> DataFrame:
+    """s1, s2, ranges: half-open ranges of bytes that repeated windows of ``length`` bytes, or words, cover;
+    one row for each row of ``docs`` that has any. ``dealt``: keyed_rows(docs), dealt by s1 and s2."""
+    small_batches(docs.sparkSession)
+    return _spans(_repeated(keyed_rows(docs), dealt, length, gram or max(1, length * 8 // 25), words))
 
 
 def _kept(data: np.ndarray, ranges: list | None) -> tuple[bytes, int, int]:
@@ -346,30 +426,35 @@ def _kept(data: np.ndarray, ranges: list | None) -> tuple[bytes, int, int]:
     return data[keep].tobytes(), len(froms), int((tos - froms).sum())
 
 
-def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    keyed = keyed_rows(docs).repartition("id", "th")
+def removals(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 for strings of
+    ``length`` bytes; n_passages and passage_bytes, the spans and bytes that repeated passages of
+    ``passage`` words cover (nothing is removed for these)."""
+    dealt = keyed_rows(docs).repartition("s1", "s2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, ranges in zip(batch.column(1), batch.column(2)):
+            for text, ranges, passages in zip(*(batch.column(k) for k in (1, 2, 3))):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 left, spans, gone = _kept(data, ranges.as_py())
-                rows.append((len(data), gone, spans, hashlib.sha256(left).hexdigest()))
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    joined = keyed.join(_spans(repeated_ranges(docs, keyed, length)).hint("shuffle_hash"), ["id", "th"], "left")
-    out = joined.select("id", "text", "ranges").mapInArrow(trimmed(run), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-
-
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with what repeats cut out of ``text``; ``n_chars``, if there, follows. A character that
-    a cut goes through is cut out whole. Rows stay, those left without text too."""
-    keyed = keyed_rows(docs).repartition("id", "th")
-    spans = _spans(repeated_ranges(docs, keyed, length))
+                rows.append((len(data), gone, spans, *_kept(data, passages.as_py())[1:], hashlib.sha256(left).hexdigest()))
+            columns = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.string())], names=names)
+
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "n_passages", "passage_bytes", "kept_sha256"]
+    found = repeated_ranges(docs, dealt, length).hint("shuffle_hash")
+    passages = repeated_ranges(docs, dealt, passage, words=True).withColumnRenamed("ranges", "passages").hint("shuffle_hash")
+    joined = dealt.join(found, ["s1", "s2"], "left").join(passages, ["s1", "s2"], "left").select(F.col("doc_id").cast("long"), "data", "ranges", "passages")
+    out = joined.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, n_passages long, passage_bytes long, kept_sha256 string")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes")
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, words: bool = False) -> DataFrame:
+    """``docs`` with what repeats (windows of ``length`` bytes, or of so many words) cut out of ``text``;
+    ``n_chars``, if there, follows. A character that a cut goes through is cut out whole. Rows stay,
+    those left without text too."""
+    spans = repeated_ranges(docs, keyed_rows(docs).repartition("s1", "s2"), length, words=words)
     names, text_at = docs.columns, docs.columns.index("text")
     kind = dict(docs.dtypes)["text"]
 
@@ -382,8 +467,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(text_at).type) if i == text_at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    own_id, own_th, own_ranges = (fresh(docs, x) for x in ("_id", "_th", "_ranges"))
-    rows = docs.withColumns({own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), own_th: F.xxhash64(F.coalesce("text", F.lit("")))})
-    found = spans.select(F.col("id").alias(own_id), F.col("th").alias(own_th), F.col("ranges").alias(own_ranges))
-    out = rows.join(found.hint("shuffle_hash"), [own_id, own_th], "left").select(*names, own_ranges).mapInArrow(trimmed(run), docs.schema)
+    one, two, own_ranges = (fresh(docs, x) for x in ("_s1", "_s2", "_ranges"))
+    keys = _keys()
+    rows = docs.withColumns({one: keys["s1"], two: keys["s2"]})
+    found = spans.select(F.col("s1").alias(one), F.col("s2").alias(two), F.col("ranges").alias(own_ranges))
+    out = rows.join(found.hint("shuffle_hash"), [one, two], "left").select(*names, own_ranges).mapInArrow(trimmed(run), docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns and kind == "string" else out

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -41,26 +42,67 @@ def repetitive(rng, n=40):
     return texts + texts[:3]
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
+@pytest.mark.parametrize("hot", [1 << 20, 1000, 2])
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
-    """Also where each anchor with more than two contents is counted window by window."""
+    """Also where anchors with more bytes are cut by finer keys, down to single windows."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "LENGTH", 60)
     texts = [*repetitive(random.Random(3)), None, "", "é" * 100]
     docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
-    keyed = suffix_dedup.keyed_rows(docs)
-    ranges = defaultdict(list)
-    for r in suffix_dedup.repeated_ranges(docs, keyed, 60, 16).collect():
-        ranges[r.id].append(r)
+    ranges = {r.s1: r.ranges for r in suffix_dedup.repeated_ranges(docs, suffix_dedup.keyed_rows(docs), 60, 16).collect()}
     for i, want in enumerate(removals_by_hand(texts, 60)):
         data = np.frombuffer((texts[i] or "").encode(), np.uint8)
-        left, spans, gone = suffix_dedup._kept(data, [x.asDict() for x in ranges[i]])
+        left, spans, gone = suffix_dedup._kept(data, ranges.get(i))
         assert (len(data), gone, spans, hashlib.sha256(left).hexdigest()) == want
 
 
+def passages_by_hand(texts, n):
+    """Bytes that windows of n words cover which also start elsewhere."""
+    found = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    windows = [[(w[i][0], w[i + n - 1][1]) for i in range(len(w) - n + 1)] for w in found]
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(b[x:y] for b, w in zip(data, windows) for x, y in w)
+    return [{k for x, y in w if seen[b[x:y]] > 1 for k in range(x, y)} for b, w in zip(data, windows)]
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 2])
+def test_repeated_passages_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "PART", 700)
+    rng = random.Random(13)
+    shared = [words(rng, 20).split() for _ in range(3)] + [["ab"] * 30]
+    texts = []
+    for _ in range(40):
+        parts = [words(rng, rng.randint(0, 30)).split(), rng.choice(shared)[: rng.randint(5, 30)], words(rng, rng.randint(0, 5)).split(), rng.choice(shared)]
+        rng.shuffle(parts)
+        texts.append(rng.choice([" ", "  ", "\n"]).join(w for p in parts for w in p))
+    texts += [texts[0], texts[1] + " end", None, "", "x" * 3000 + " " + " ".join(shared[0]), " ".join(words(rng, 1) * 200 for _ in range(12))] + ["many " + " ".join(shared[1]) + f" {i}" for i in range(30)]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.s1: {k for x in r.ranges for k in range(x.a, x.b)} for r in suffix_dedup.repeated_ranges(docs, suffix_dedup.keyed_rows(docs), 10, words=True).collect()}
+    assert [got.get(i, set()) for i in range(len(texts))] == passages_by_hand(texts, 10)
+
+
+def test_every_shared_passage_of_51_words_goes(spark):
+    """Words of one letter and long ones, inside texts and at their ends; 50 words stay."""
+    rng = random.Random(17)
+    passages = [[rng.choice("abcdefghij") for _ in range(51)], words(rng, 51).split(), ["".join(rng.choice("xyz") for _ in range(30)) for _ in range(51)], [rng.choice("abcdefghij") for _ in range(50)]]
+    texts = [f"{words(rng, rng.randint(0, 40))} {' '.join(p)} {words(rng, rng.randint(0, 40))}" for p in passages for _ in range(3)]
+    clean = [words(rng, 150) for _ in range(10)]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts + clean)])
+    out = {r.doc_id: r.text for r in suffix_dedup.deduplicated(docs, suffix_dedup.PASSAGE, words=True).collect()}
+    for i, t in enumerate(texts):
+        p = " ".join(passages[i // 3])
+        assert (p in out[i]) == (i // 3 == 3)
+        if i // 3 < 3:
+            assert out[i] == t.replace(p, "")
+    assert [out[i + len(texts)] for i in range(10)] == clean
+    marked = {r.doc_id: r.n_passages for r in suffix_dedup.removals(docs).collect()}
+    assert marked == {i: int(i < 9) for i in range(len(texts) + 10)}
+
+
 def test_suffix_dedup_awkward_rows(spark):
     rows = awkward()
-    got = sorted(tuple(r) for r in suffix_dedup.removals(documents(spark, rows)).fillna(-1, ["doc_id"]).collect())
+    rows.append((-(1 << 63), rows[0][1], "s"))
+    got = sorted(tuple(r)[:5] for r in suffix_dedup.removals(documents(spark, rows)).fillna(-1, ["doc_id"]).collect())
     assert got == sorted((-1 if i is None else i, *x) for (i, _, _), x in zip(rows, removals_by_hand([t for _, t, _ in rows], 400)))
     assert suffix_dedup.removals(documents(spark, [])).count() == 0
 
@@ -81,7 +123,7 @@ def test_long_texts_are_cut_in_overlapping_parts(monkeypatch):
     data = rng.integers(97, 101, 3000).astype(np.uint8).tobytes()
     seen = set()
     for _, offset, part, at in suffix_dedup._parts(pa.array([data.decode()]), 60):
-        text, a, b, *_ = suffix_dedup.runs_of(part, at, 60, 16)
+        text, a, b, _, _ = suffix_dedup.runs_of(part, at, 60, 16)
         seen |= {offset + i for x, y in zip(a, b) for i in range(x, y + 1)}
     assert seen == set(range(3000 - 60 + 1))
 
