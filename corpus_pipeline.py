@@ -25,8 +25,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur elsewhere too are cut out of the texts."""
-    return suffix_dedup.deduplicated(docs)
+    """Passages of over 50 words that occur elsewhere too are cut out of the texts."""
+    return suffix_dedup.deduplicated(docs, suffix_dedup.PASSAGE, words=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
