@@ -45,19 +45,40 @@ def _remove(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+#: Whether Spark deletes a job's shuffle files when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again. The lineage is cut there, so
-    a lost executor costs a re-read of the files and no recomputation."""
+    a lost executor costs a re-read of the files and no recomputation. The shuffle files behind it
+    are not needed any more and go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/specloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that ``materialise`` gave, once nothing will read them again."""
+    _delete(df.sparkSession, df._written_to)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete what ``materialise`` wrote for this application, once its results are no longer read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/specloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/specloom/{spark.sparkContext.applicationId}")
 
 
 def words_in(text: Column) -> Column:

@@ -7,7 +7,7 @@ Equal windows have equal anchors at equal places, so they are in runs with equal
 runs whose anchor hash occurs once are done. The bytes of the others, each distinct run once with
 the number of its occurrences, go by anchor hash into run-length indexes.
 
-An index holds the run-compressed Burrows-Wheeler transform of about half a megabyte of such
+An index holds the run-compressed Burrows-Wheeler transform of 128 KiB or so of such
 strings: equal suffixes of a string that occurs n times fill a BWT run of n, so it is entered once.
 Matching statistics are sampled where a BWT run begins or ends, and at the begin of each string that
 occurs again; inside a run the value falls by one for each step along the text, so one streaming
@@ -37,15 +37,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specloom.llm import bytesops as B
-from specloom.llm.common import fresh, materialise, small_batches, trimmed
+from specloom.llm.common import discard, fresh, materialise, small_batches, trimmed
 
 LENGTH = 400
 #: Words of a passage: over fifty.
 PASSAGE = 51
 #: Bytes of one anchor hash that go into one index; more are cut by finer keys.
 HOT = 1 << 20
-#: Bytes of an index.
-INDEX = 1 << 19
+#: Bytes of an index: its arrays stay in a core's cache.
+INDEX = 1 << 17
 #: Depth to which suffixes are sorted, if the windows asked for aren't longer.
 DEPTH = 512
 #: Bytes of a text worked on at once; what is longer is worked on in overlapping parts.
@@ -92,7 +92,10 @@ def runs_of(data: np.ndarray, at: np.ndarray, length: int, gram: int, words: boo
         part = -(-length // parts)
         gram = min(gram, max(1, part // 3)) if parts > 1 else gram
         places = np.arange(len(starts) - gram + 1)
-        grams = B.mixed(B.span_hash(prefix, starts[places], ends[places + gram - 1]))
+        if words:
+            grams = B.mixed(B.span_hash(prefix, starts[places], ends[places + gram - 1]))
+        else:
+            grams = B.mixed((prefix[gram:] - prefix[:-gram]) * B.powers(len(prefix))[1][: len(places)])
         least = (_least(grams & ~_PLACE | places.astype(np.uint64), part - gram + 1) & _PLACE).astype(np.int64)
         cut, key = np.ones(len(window), bool), np.zeros(len(window), np.uint64)
         anchors = [least[window + min(k * part, length - part)] for k in range(parts)]
@@ -187,9 +190,10 @@ def merged(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 class RunLengthIndex:
     """Run-compressed BWT of some strings that occur ``counts`` times, with the suffixes at its runs'
-    ends and their longest matches elsewhere (up to ``depth``) as samples."""
+    ends and their longest matches elsewhere (up to ``depth``) as samples. Matches of less than
+    ``least`` may be sampled as shorter than they are."""
 
-    def __init__(self, strings: list[np.ndarray], counts: list[int] | None = None, depth: int = DEPTH) -> None:
+    def __init__(self, strings: list[np.ndarray], counts: list[int] | None = None, depth: int = DEPTH, least: int = 0) -> None:
         self.sizes = np.array([len(s) + 1 for s in strings])
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.depth = depth
@@ -198,79 +202,71 @@ class RunLengthIndex:
         for at, s in zip(self.begins, strings):
             text[at : at + len(s)] = s
         self.text = text
-        words = np.zeros(n + depth + 8, np.uint64)  # the eight bytes from each place on
-        for i in range(8):
-            words[:] = words << np.uint64(8) | text[i : i + len(words)]
-        order, rank = self._sorted(words)
+        # the eight bytes from each place on, as numbers in the bytes' order
+        words = np.ndarray(n + depth + 8, ">u8", text, strides=(1,)).astype(np.uint64)
+        order, rank, common = self._sorted(words)
         bwt = text[order - 1]
         bwt[order == 0] = _SEPARATOR
         head = np.ones(n + 1, bool)
         head[1:-1] = bwt[1:] != bwt[:-1]
         self.run_heads = np.flatnonzero(head[:-1])
         self.run_bytes = bwt[self.run_heads]
-        # how long runs are in the BWT of all occurrences
-        times = np.repeat(np.ones(len(strings), np.int64) if counts is None else np.asarray(counts, np.int64), self.sizes)
-        self.run_sizes = np.add.reduceat(times[order], self.run_heads) if n else np.zeros(0, np.int64)
         border = head[:-1] | head[1:] | (order == 0)
-        tied = np.zeros(n + 1, bool)
-        tied[1:-1] = rank[order[1:]] == rank[order[:-1]]
-        wanted = np.zeros(n + 1, bool)  # of the neighbours i - 1 and i in order
-        wanted[1:-1] = (border[1:] | border[:-1]) & ~tied[1:-1]
-        match = np.zeros(n + 1, np.int64)
-        match[tied] = depth
-        i = np.flatnonzero(wanted)
-        match[i] = self._common(words, order[i - 1], order[i])
+        tied = common >= depth  # of the neighbours i - 1 and i in order
+        i = np.flatnonzero((border[1:] | border[:-1]) & ~tied[1:-1] & (2 * np.maximum(common[1:-1], 4) > least)) + 1
+        common[i] = self._common(words, order[i - 1], order[i], common[i])
         sampled = border | tied[:-1] | tied[1:]
         again = np.zeros(0, np.int64) if counts is None else np.flatnonzero(np.asarray(counts) > 1)
         self.sample_at = np.concatenate([order[sampled], self.begins[again]])
-        self.sample = np.concatenate([np.maximum(match[:-1], match[1:])[sampled], self.sizes[again] - 1])
+        self.sample = np.concatenate([np.maximum(common[:-1], common[1:])[sampled], self.sizes[again] - 1])
 
-    def _sorted(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes in order of their first ``depth`` bytes, and ranks, equal where these agree."""
+    def _sorted(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes in order of their first ``depth`` bytes; ranks, equal where these agree; and how many
+        bytes neighbours i - 1 and i agree in at least: 0, or a power of two that is over half of them."""
         n = self.n
         order = np.argsort(words[:n])
-        rank = np.zeros(n + self.depth, np.int64)
+        rank = np.zeros(n + self.depth, np.int32)
 
         def rerank(places: np.ndarray, at: np.ndarray, fresh: np.ndarray) -> None:
             """places in order, their places in the whole order, and where a new rank begins."""
-            lead = np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))
-            rank[places] = at[lead] + 1
+            rank[places] = np.maximum.accumulate(np.where(fresh, at, -1)) + 1
 
         fresh = np.ones(n, bool)
         fresh[1:] = words[order[1:]] != words[order[:-1]]
         rerank(order, np.arange(n), fresh)
+        common = np.zeros(n + 1, np.int64)
+        common[1:-1][~fresh[1:]] = 8
         depth, at = 8, np.arange(n)
         while depth < self.depth:
-            ranks = rank[order[at]]
-            same = np.zeros(len(at) + 1, bool)
-            same[1:-1] = ranks[1:] == ranks[:-1]
-            at = at[same[:-1] | same[1:]]
+            same = common == depth
+            at = np.flatnonzero(same[:-1] | same[1:])
             if not len(at):
                 break
             places = order[at]
-            key = rank[places] << 32 | rank[places + depth]
+            key = rank[places].astype(np.int64) << 32 | rank[places + depth]
             by = np.argsort(key)
             places, key = places[by], key[by]
             order[at] = places
             fresh = np.ones(len(at), bool)
             fresh[1:] = key[1:] != key[:-1]
             rerank(places, at, fresh)
+            common[at[~fresh]] = 2 * depth
             depth *= 2
-        return order, rank
+        return order, rank, common
 
-    def _common(self, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of the suffixes at a and b, ``depth`` at most."""
-        out = np.full(len(a), self.depth, np.int64)
+    def _common(self, words: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the suffixes at a and b, whose ``known`` first bytes are common."""
+        out = known.copy()
         live = np.arange(len(a))
-        for done in range(0, self.depth, 8):
-            if not len(live):
-                break
-            apart = words[np.minimum(a[live] + done, len(words) - 1)] ^ words[np.minimum(b[live] + done, len(words) - 1)]
+        while len(live):
+            apart = words[a[live] + out[live]] ^ words[b[live] + out[live]]
             some = apart != 0
             # the bytes before the first that differs: the exponent of a float has the highest bit
-            out[live[some]] = done + (63 - _high_bit(apart[some])) // 8
+            out[live[some]] += (63 - _high_bit(apart[some])) // 8
             live = live[~some]
-        return out
+            out[live] += 8
+            live = live[out[live] < self.depth]
+        return np.minimum(out, self.depth)
 
     def matching_statistics(self) -> np.ndarray:
         """For each place of the text, the longest match that starts elsewhere (up to ``depth``)."""
@@ -333,12 +329,11 @@ def repeated_windows(strings: list[np.ndarray], counts: list[int], length: int,
         marked = np.insert(data[keep[:-1]], np.concatenate([ends - gone[ends], starts - gone[starts]]), np.repeat(np.array([_AFTER, _BEFORE], np.uint8), len(starts)))
         begins, stops = starts - gone[starts] + 2 * order, ends - gone[ends] + 2 * order + 2
         strings = [marked[begins[x] : stops[x + k - 1]] for x, k in zip(offsets, sizes)]
-    depth = DEPTH
-    while depth < (int((stops[last] - begins[window]).max(initial=0))):
+    wanted, depth = stops[last] - begins[window], DEPTH
+    while depth < int(wanted.max(initial=0)):
         depth *= 2
-    index = RunLengthIndex(strings, counts, depth)
-    place = begins[window] - begins[offsets[of]]
-    ok = index.matching_statistics()[index.begins[of] + place] >= stops[last] - begins[window]
+    index = RunLengthIndex(strings, counts, depth, int(wanted.min(initial=depth)))
+    ok = index.matching_statistics()[index.begins[of] + begins[window] - begins[offsets[of]]] >= wanted
     return of[ok], (starts[window] - at[of])[ok], (ends[last] - at[of])[ok]
 
 
@@ -372,10 +367,11 @@ def _indexed(contexts: DataFrame, length: int, words: bool) -> DataFrame:
 
 def _repeated(scan: DataFrame, dealt: DataFrame, length: int, gram: int, words: bool, level: int = 0) -> DataFrame:
     """Sources (s1, s2, w, data) -> s1, s2, ranges: what repeated windows cover; ranges may overlap.
-    ``dealt`` are those of ``scan``, by s1 and s2."""
+    ``dealt`` are s1, s2, data of ``scan``."""
     cut = materialise(runs(scan, length, gram, words, LEVELS[level]), "runs")
     anchors = cut.groupBy("h").agg(F.sum("n").alias("_n")).where("_n > 1").select("h")
     shared = materialise(cut.join(anchors, "h", "left_semi"), "shared-runs")
+    discard(cut)
     contents = materialise(shared.groupBy("h", "d1", "d2").agg(F.sum("n").alias("n"), F.min(F.struct("s1", "s2", "a", "b")).alias("r")), "contents")
     sizes = contents.groupBy("h").agg(F.sum(F.col("r.b") - F.col("r.a")).alias("size"))
     contexts = _contexts(dealt, contents.join(sizes, "h").select("h", "d1", "d2", "n", "size", "r.*"))
@@ -384,7 +380,7 @@ def _repeated(scan: DataFrame, dealt: DataFrame, length: int, gram: int, words:
     else:
         contexts = materialise(contexts, "contexts")
         again = contexts.where(F.col("size") > HOT).select(F.col("d1").alias("s1"), F.col("d2").alias("s2"), F.col("n").alias("w"), "data")
-        finer = _spans(_repeated(again, again, length, gram, words, level + 1))
+        finer = _spans(_repeated(again, again.drop("w"), length, gram, words, level + 1))
         marks = _indexed(contexts.where(F.col("size") <= HOT), length, words).unionByName(finer.select(F.col("s1").alias("d1"), F.col("s2").alias("d2"), F.col("ranges").alias("marks")))
     # a run that occurs twice in one text is repeated as a whole, at all its places
     places = F.coalesce("more", F.transform("marks", lambda m: F.struct((m["a"] + F.col("a")).alias("a"), (m["b"] + F.col("a")).alias("b"))))
@@ -397,21 +393,22 @@ def _spans(repeated: DataFrame) -> DataFrame:
 
 
 def _keys() -> dict[str, Column]:
-    """Two numbers that tell rows apart by doc_id (a null one too) and text."""
-    return {"s1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "s2": F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))}
+    """Two numbers that tell rows apart by doc_id and text; s2 is odd where doc_id is null."""
+    none = F.col("doc_id").isNull().cast("long")
+    return {"s1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "s2": F.shiftleft(F.xxhash64(F.coalesce("text", F.lit(""))), 1).bitwiseOR(none)}
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
-    """s1, s2, w, data, doc_id: the rows by a key that also tells rows with the same doc_id apart."""
+    """s1, s2, data: the rows by a key that also tells rows with the same doc_id apart."""
     keys = _keys()
-    return docs.select(keys["s1"].alias("s1"), keys["s2"].alias("s2"), F.lit(1).cast("long").alias("w"), F.coalesce("text", F.lit("")).cast("binary").alias("data"), "doc_id")
+    return docs.select(keys["s1"].alias("s1"), keys["s2"].alias("s2"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
 
 
 def repeated_ranges(docs: DataFrame, dealt: DataFrame, length: int = LENGTH, gram: int | None = None, words: bool = False) -> DataFrame:
     """s1, s2, ranges: half-open ranges of bytes that repeated windows of ``length`` bytes, or words, cover;
     one row for each row of ``docs`` that has any. ``dealt``: keyed_rows(docs), dealt by s1 and s2."""
     small_batches(docs.sparkSession)
-    return _spans(_repeated(keyed_rows(docs), dealt, length, gram or max(1, length * 8 // 25), words))
+    return _spans(_repeated(keyed_rows(docs).withColumn("w", F.lit(1).cast("long")), dealt, length, gram or max(1, length * 8 // 25), words))
 
 
 def _kept(data: np.ndarray, ranges: list | None) -> tuple[bytes, int, int]:
@@ -445,7 +442,7 @@ def removals(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> D
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "n_passages", "passage_bytes", "kept_sha256"]
     found = repeated_ranges(docs, dealt, length).hint("shuffle_hash")
     passages = repeated_ranges(docs, dealt, passage, words=True).withColumnRenamed("ranges", "passages").hint("shuffle_hash")
-    joined = dealt.join(found, ["s1", "s2"], "left").join(passages, ["s1", "s2"], "left").select(F.col("doc_id").cast("long"), "data", "ranges", "passages")
+    joined = dealt.join(found, ["s1", "s2"], "left").join(passages, ["s1", "s2"], "left").select(F.when(F.col("s2").bitwiseAND(1) == 0, F.col("s1")).alias("doc_id"), "data", "ranges", "passages")
     out = joined.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, n_passages long, passage_bytes long, kept_sha256 string")
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes")
 
