@@ -49,7 +49,7 @@ INDEX = 1 << 17
 #: Depth to which suffixes are sorted, if the windows asked for aren't longer.
 DEPTH = 512
 #: Bytes of a text worked on at once; what is longer is worked on in overlapping parts.
-PART = 1 << 21
+PART = 1 << 19
 #: Parts of a window whose anchors make its key, level by level; 0: the window itself.
 LEVELS = (1, 4, 0)
 _VALUES = B.byte_values(31)
@@ -366,7 +366,7 @@ def _indexed(contexts: DataFrame, length: int, words: bool) -> DataFrame:
 
 
 def _repeated(scan: DataFrame, dealt: DataFrame, length: int, gram: int, words: bool, level: int = 0) -> DataFrame:
-    """Sources (s1, s2, w, data) -> s1, s2, ranges: what repeated windows cover; ranges may overlap.
+    """Sources (s1, s2, w, data) -> s1, s2, ranges, a row for each source: what repeated windows cover.
     ``dealt`` are s1, s2, data of ``scan``."""
     cut = materialise(runs(scan, length, gram, words, LEVELS[level]), "runs")
     anchors = cut.groupBy("h").agg(F.sum("n").alias("_n")).where("_n > 1").select("h")
@@ -376,20 +376,22 @@ def _repeated(scan: DataFrame, dealt: DataFrame, length: int, gram: int, words:
     sizes = contents.groupBy("h").agg(F.sum(F.col("r.b") - F.col("r.a")).alias("size"))
     contexts = _contexts(dealt, contents.join(sizes, "h").select("h", "d1", "d2", "n", "size", "r.*"))
     if level + 1 == len(LEVELS) or sizes.where(F.col("size") > HOT).isEmpty():
-        marks = _indexed(contexts, length, words)
+        marks = materialise(_indexed(contexts, length, words), "marks")
     else:
         contexts = materialise(contexts, "contexts")
         again = contexts.where(F.col("size") > HOT).select(F.col("d1").alias("s1"), F.col("d2").alias("s2"), F.col("n").alias("w"), "data")
-        finer = _spans(_repeated(again, again.drop("w"), length, gram, words, level + 1))
-        marks = _indexed(contexts.where(F.col("size") <= HOT), length, words).unionByName(finer.select(F.col("s1").alias("d1"), F.col("s2").alias("d2"), F.col("ranges").alias("marks")))
+        finer = _repeated(again, again.drop("w"), length, gram, words, level + 1)
+        marks = materialise(_indexed(contexts.where(F.col("size") <= HOT), length, words).unionByName(finer.select(F.col("s1").alias("d1"), F.col("s2").alias("d2"), F.col("ranges").alias("marks"))), "marks")
+        discard(contexts)
+    discard(contents)
     # a run that occurs twice in one text is repeated as a whole, at all its places
     places = F.coalesce("more", F.transform("marks", lambda m: F.struct((m["a"] + F.col("a")).alias("a"), (m["b"] + F.col("a")).alias("b"))))
-    return shared.join(marks, ["d1", "d2"]).select("s1", "s2", places.alias("ranges"))
-
-
-def _spans(repeated: DataFrame) -> DataFrame:
-    """One row for each source; rows that repeat a source have given the same ranges."""
-    return repeated.groupBy("s1", "s2").agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
+    found = shared.join(marks, ["d1", "d2"]).select("s1", "s2", places.alias("ranges"))
+    # rows that repeat a source have given the same ranges
+    spans = materialise(found.groupBy("s1", "s2").agg(F.flatten(F.collect_set("ranges")).alias("ranges")), "spans")
+    discard(shared)
+    discard(marks)
+    return spans
 
 
 def _keys() -> dict[str, Column]:
@@ -408,7 +410,7 @@ def repeated_ranges(docs: DataFrame, dealt: DataFrame, length: int = LENGTH, gra
     """s1, s2, ranges: half-open ranges of bytes that repeated windows of ``length`` bytes, or words, cover;
     one row for each row of ``docs`` that has any. ``dealt``: keyed_rows(docs), dealt by s1 and s2."""
     small_batches(docs.sparkSession)
-    return _spans(_repeated(keyed_rows(docs).withColumn("w", F.lit(1).cast("long")), dealt, length, gram or max(1, length * 8 // 25), words))
+    return _repeated(keyed_rows(docs).withColumn("w", F.lit(1).cast("long")), dealt, length, gram or max(1, length * 8 // 25), words)
 
 
 def _kept(data: np.ndarray, ranges: list | None) -> tuple[bytes, int, int]:
