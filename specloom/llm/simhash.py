@@ -47,8 +47,10 @@ SHINGLE = 3
 WIDE, PARTS, SIMILARITY, CHECKED_SHINGLE = 11, 2, 0.8, 5
 #: Fingerprints of a bucket that one task compares without dealing them again.
 BUCKET = 4096
+#: The same for the wide search: dealing a row again costs as much as comparing it with some 100,000.
+WIDE_BUCKET = 1 << 15
 #: Fingerprints of a bucket that is compared with others at once.
-SMALL = 8
+SMALL = 24
 #: Pairs for each text that a bucket gives in the first round, and how many times more in each further one.
 NEAREST, MORE = 8, 8
 #: Shingles whose bits are unpacked at once.
@@ -230,39 +232,59 @@ def nearest_pairs(fps: np.ndarray, roots: np.ndarray, radius: int, nearest: int)
 
 
 def in_buckets(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
-    """``nodes`` (fp and others) with the hash of the name of each of its buckets."""
-    return _dealt(nodes, radius, parts).select(F.xxhash64("t", "key", "t2", "key2").alias("bucket"), *nodes.columns)
+    """``nodes`` (fp and others), once for each table: with table t, key, and bucket, a hash of the two."""
+    keyed = nodes.select(*nodes.columns, _tables(covering_masks((1 << 64) - 1, radius, parts), F.col("fp")))
+    return keyed.select(F.xxhash64("k.t", "k.key").alias("bucket"), "k.t", "k.key", *nodes.columns)
 
 
-def candidates(dealt: DataFrame, radius: int, nearest: int) -> DataFrame:
+def dealt_again(dealt: DataFrame, large: DataFrame, radius: int, parts: int) -> DataFrame:
+    """The rows of the ``large`` buckets by a covering of the bits that their masks leave free."""
+    masks = covering_masks((1 << 64) - 1, radius, parts)
+    again = [(t, u, _signed(x)) for t, m in enumerate(masks) for u, x in enumerate(covering_masks(~m & ((1 << 64) - 1), radius, parts))]
+    again = dealt.sparkSession.createDataFrame(again, "t int, t2 int, mask long")  # as many rows as there are tables, squared
+    rows = dealt.join(large, "bucket", "left_semi").join(F.broadcast(again), "t")
+    return rows.select(F.xxhash64("t", "key", "t2", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "node", "fp", "root")
+
+
+def candidates(dealt: DataFrame, radius: int, nearest: int, limit: int | None = None) -> DataFrame:
     """``dealt`` (bucket, node, fp, root; node distinct in a bucket) -> a, b: pairs a < b within the radius
-    whose roots differ; and rows with null for both and a bucket that has more pairs to give."""
+    whose roots differ; and rows with null for both, for a bucket that has more pairs to give, or that
+    has over ``limit`` rows, all of them left (large)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: np.ndarray) -> pa.RecordBatch:
             keys, ids, fps, roots = rows
             cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
             sizes = np.diff(cuts)
-            group, small = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes <= SMALL, sizes)
-            bits, found = fps.view(np.uint64), []
+            after = np.repeat(cuts[1:], sizes)
+            bits, found = fps.view(np.uint64), [(ids[:0], ids[:0])]
+            live = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
             for k in range(1, SMALL):  # small buckets all at once, each row against the k-th after it
-                pair = np.flatnonzero((group[k:] == group[:-k]) & small[k:])
-                pair = pair[(np.bitwise_count(bits[pair] ^ bits[pair + k]) <= radius) & (roots[pair] != roots[pair + k])]
+                live = live[live + k < after[live]]
+                if not len(live):
+                    break
+                pair = live[(np.bitwise_count(bits[live] ^ bits[live + k]) <= radius) & (roots[live] != roots[live + k])]
                 found.append((ids[pair], ids[pair + k]))
-            more = []
+            more, large = [], []
             for i in np.flatnonzero(sizes > SMALL):
+                if limit and sizes[i] > limit:
+                    large.append(keys[cuts[i]])
+                    continue
                 one, other, whole = nearest_pairs(fps[cuts[i] : cuts[i + 1]], roots[cuts[i] : cuts[i + 1]], radius, nearest)
                 one, other = ids[cuts[i] + one], ids[cuts[i] + other]
                 found.append(np.unique([np.minimum(one, other), np.maximum(one, other)], axis=1))
                 more += [] if whole else [keys[cuts[i]]]
             one, other = (np.concatenate(x) for x in zip(*found))
-            pairs, none = len(one), pa.nulls(len(more), pa.int64())
-            columns = [pa.concat_arrays([pa.array(x), none]) for x in (one, other)] + [pa.concat_arrays([pa.nulls(pairs, pa.int64()), pa.array(more, pa.int64())])]
-            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "bucket"])
+            pairs, none = len(one), pa.nulls(len(more) + len(large), pa.int64())
+            columns = [pa.concat_arrays([pa.array(x), none]) for x in (one, other)] + [pa.concat_arrays([pa.nulls(pairs, pa.int64()), pa.array(more + large, pa.int64())]), pa.array([False] * (pairs + len(more)) + [True] * len(large), pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "bucket", "large"])
 
         rows = np.zeros((4, 0), np.int64)  # of the bucket that isn't complete
         for b in batches:
-            rows = np.concatenate([rows, np.stack([c.to_numpy() for c in b.columns])], axis=1)
+            new = np.stack([c.to_numpy() for c in b.columns])
+            if limit and rows.shape[1] > 2 * limit:  # it is large already, so its rows needn't be held
+                rows = rows[:, : limit + 1] if new[0, 0] == rows[0, -1] else rows
+            rows = np.concatenate([rows, new], axis=1)
             if rows.shape[1] and (done := int(np.searchsorted(rows[0], rows[0, -1]))):
                 yield out(rows[:, :done])
                 rows = rows[:, done:]
@@ -270,7 +292,7 @@ def candidates(dealt: DataFrame, radius: int, nearest: int) -> DataFrame:
             yield out(rows)
 
     dealt = dealt.select("bucket", "node", "fp", "root").repartition("bucket").sortWithinPartitions("bucket", "node")
-    return dealt.mapInArrow(trimmed(run), "a long, b long, bucket long").distinct()
+    return dealt.mapInArrow(trimmed(run), "a long, b long, bucket long, large boolean").distinct()
 
 
 def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -303,18 +325,26 @@ def alike_groups(docs: DataFrame, radius: int, shingle: int, parts: int, similar
     nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     nodes = materialise(nodes, "nodes")
     dealt = in_buckets(nodes.select("node", "fp", F.col("node").alias("root")), radius, parts)
-    nearest, tried = NEAREST, None
+    found = materialise(candidates(dealt, radius, NEAREST, WIDE_BUCKET), "candidates")
+    large = found.where("large").select("bucket")
+    rows = dealt.select("bucket", "node", "fp", "root")
+    if not large.isEmpty():
+        again = dealt_again(dealt, large, radius, parts)
+        found, rows = found.where("NOT large").unionByName(materialise(candidates(again, radius, NEAREST), "candidates")), rows.unionByName(again)
+    nearest, tried, crowded = NEAREST, None, None
     while True:
-        found = materialise(candidates(dealt, radius, nearest), "candidates")
-        pairs, crowded = found.where("bucket IS NULL").select("a", "b"), found.where("bucket IS NOT NULL").select("bucket").distinct()
+        pairs, more = found.where("bucket IS NULL").select("a", "b").distinct(), found.where("bucket IS NOT NULL").select("bucket").distinct()
         new = pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         new = materialise(checked(new, docs, nodes, similarity), "checked")
         tried = new if tried is None else tried.unionByName(new)
         roots = materialise(components(tried.where("alike").select("a", "b")), "roots")
-        if crowded.isEmpty():
+        if more.isEmpty():
             break
-        rooted = nodes.select("node", "fp").join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
-        dealt, nearest = in_buckets(rooted, radius, parts).join(crowded, "bucket", "left_semi"), nearest * MORE
+        # only rows of crowded buckets are dealt once more, with the roots found so far
+        crowded = materialise((rows if crowded is None else crowded).join(more, "bucket", "left_semi").select("bucket", "node", "fp"), "crowded")
+        rooted = crowded.join(roots, "node", "left").select("bucket", "node", "fp", F.coalesce("root", "node").alias("root"))
+        nearest *= MORE
+        found = materialise(candidates(rooted, radius, nearest), "candidates")
     return prints.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
