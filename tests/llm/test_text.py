@@ -435,7 +435,7 @@ def chunked(pieces, text, chunk):
     for at in range(0, len(own), chunk):
         low, end = max(0, at - pieces.longest), min(len(own), at + chunk)
         part = own[low : end + pieces.longest]
-        entry, leave, m = pieces.transfer(part, at - low, end - low)
+        entry, leave, m, *_ = pieces.transfer(part, at - low, end - low)
         matrices.append(([(a + low, b + low) for a, b in entry], [(a + low, b + low) for a, b in leave], m))
         parts.append((part, low, at, end))
     out = []
@@ -455,6 +455,35 @@ def test_encoding_equals_the_library(models):
         assert pieces.decode(want) == text.replace("▁", " ")
 
 
+def test_merges_of_many_at_once(models):
+    pieces, _ = models
+    rng = random.Random(9)
+    segments = ["".join(rng.choice(PARTS).replace(" ", "▁") for _ in range(rng.randint(1, 9))) for _ in range(500)] + ["", "a", "\ud800"[:0], "aaaaaaa", "🎉🎉"]
+    assert pieces.merge_all(segments) == [tuple(pieces.piece_ids(pieces.merge(s))) for s in segments]
+    assert pieces.merge_all([]) == []
+
+
+@pytest.mark.parametrize("size", [1, 3, 16, 100])
+def test_chunks_of_any_size_give_the_same_ids(models, monkeypatch, size):
+    """Ordinary texts go through the matrices of their chunks, with and without borders in them."""
+    monkeypatch.setattr(sentencepiece_scan, "CHUNK", size)
+    pieces, library = models
+    rng = random.Random(size)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(1, 60))) for _ in range(150)] + ["z" * 300, "unbelievable" * 30, "", "a"]
+    assert pieces.encode_texts(texts) == [library.encode(t) for t in texts]
+
+
+def test_path_through_the_tree_equals_the_chain(models):
+    pieces, _ = models
+    own = "▁" + "unbelievableness the ".replace(" ", "▁") * 9
+    for size in (5, 7, 13, 64):
+        ms = [pieces.transfer(own, at, min(len(own), at + size)) for at in range(0, len(own), size)]
+        path = sentencepiece_scan.states_on_path(ms, len(own))
+        assert all(x[1] == y[0] for x, y in zip(path, path[1:])) and path[-1][1][1] == len(own)
+        got = [i for at, (x, y) in zip(range(0, len(own), size), path) for i in pieces.trace_chunk(own, at, min(len(own), at + size), x, y)]
+        assert got == pieces.piece_ids(pieces.best_path(own))
+
+
 def test_matrices_combine_associatively(models):
     pieces, _ = models
     own = "▁" + "unbelievableness" * 6
