@@ -87,13 +87,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def covering_masks(bits: int, radius: int, parts: int = 1) -> list[int]:
-    """Masks over the set bits of ``bits``: any ``radius`` of these bits are outside some mask."""
+    """Masks over the set bits of ``bits``: any ``radius`` of these bits are outside some mask. A part of
+    few bits gets vectors with a common bit, which leaves no mask with less than half of the bits (they
+    are a first-order Reed-Muller code, if the bits are as many as the vectors)."""
     places = [i for i in range(64) if bits >> i & 1]
-    size = (1 << (radius // parts + 1)) - 1
+    half = 1 << radius // parts
     masks = []
     for part in (places[k::parts] for k in range(parts)):
-        vectors = {i: k % size + 1 for k, i in enumerate(part)}
-        masks += [sum(1 << i for i in part if (vectors[i] & v).bit_count() & 1) for v in range(1, size + 1)]
+        vectors = {i: half + k if len(part) <= half else k % (2 * half - 1) + 1 for k, i in enumerate(part)}
+        masks += [sum(1 << i for i in part if (vectors[i] & v).bit_count() & 1) for v in range(1, 2 * half)]
     return masks
 
 

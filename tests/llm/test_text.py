@@ -232,6 +232,16 @@ def test_covering_search_loses_no_link(spark, monkeypatch, bucket, radius, parts
     assert groups(lambda p: found.get(p, p)) == groups(want.get)
 
 
+def test_masks_cover_and_keep_enough_bits():
+    rng = random.Random(1)
+    for radius, parts, least in ((simhash.RADIUS, 1, 30), (simhash.WIDE, simhash.PARTS, 16)):
+        masks = simhash.covering_masks((1 << 64) - 1, radius, parts)
+        assert min(m.bit_count() for m in masks) >= least
+        for _ in range(300):
+            apart = sum(1 << i for i in rng.sample(range(64), radius))
+            assert any(not m & apart for m in masks)
+
+
 def test_wider_links_are_checked(spark):
     """A copy with a few words changed goes; a text that only looks near by its fingerprint stays."""
     rng = random.Random(11)
