@@ -157,6 +157,22 @@ def test_url_rules_and_parts(spark):
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_one_host_has_kept_and_rejected_templates(spark):
+    """No rule fits the rows asked about: on a mixed host one template goes by its labelled neighbours."""
+    urls = [f"https://mixed.example.com/{p}/{i}" for i in range(40) for p in ("news", "promo")]
+    urls += [f"https://other.example.com/{p}/{i}" for i in range(40) for p in ("news", "promo")]
+    urls += [f"https://new.example.com/{p}/{i}" for i in range(3) for p in ("news", "promo")] + [f"https://downloads-alphabets.org/a/{i}" for i in range(5)] + ["https://free-bets.org/a/1"]
+    rules = (("block", "mixed.example.com/promo/"), ("block", "other.example.com/promo/"), ("allow", "other.example.com/news/"))
+    out = url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    open_ = {(r.host, r.path.split("/")[1]): r.verdict for r in out if r.rule is None}
+    assert open_ == {("mixed.example.com", "news"): "allow", ("new.example.com", "news"): "allow", ("new.example.com", "promo"): "block", ("downloads-alphabets.org", "a"): "allow", ("free-bets.org", "a"): "block"}
+
+
+def test_null_page_ids_are_judged(spark):
+    out = url_filters.judge(spark.createDataFrame([(None, "https://a.net/x"), (None, None), (None, None)], "page_id long, url string")).collect()
+    assert Counter((r.page_id, r.host, r.verdict) for r in out) == {(None, "a.net", "block"): 1, (None, "", "allow"): 2}
+
+
 def test_url_templates_agree_with_sql(spark):
     rng = random.Random(2)
     rows = [(i, f"https://{rng.choice(['a', 'bets', 'c'])}{rng.randint(0, 3)}.example.{rng.choice(['com', 'org'])}/{rng.choice(['en', 'fr', 'x'])}/{rng.choice(['news', 'tag', str(rng.randint(0, 99)), 'deadbeef01'])}/{rng.randint(0, 9)}.html") for i in range(600)]
