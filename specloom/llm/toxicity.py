@@ -10,7 +10,8 @@ Learning takes a bounded sample of labelled rows (``max_rows``, those with the l
 from the training fold: rows whose crc32(doc_id as text) mod 4 is not 2.
 
 Defined cases: a null text is empty and scores as the bias alone; rows with a null label or doc_id
-aren't learnt from; repeated labels of a doc_id count once, the lowest; without labelled rows every
+aren't learnt from; a very long text is learnt from by ``MAX_FEATURES`` features and scored by all;
+repeated labels of a doc_id count once, the lowest; without labelled rows every
 score is 0.5; repeated rows score alike; an empty table gives an empty result; only doc_id and text
 are read.
 """
@@ -31,6 +32,8 @@ from specloom.llm.quality_classifier import in_fold, sampled_labels
 
 BITS = 20
 MAX_ROWS = 6_000
+#: Features of a row that are learnt from, those with the least place: bounds what the driver gets.
+MAX_FEATURES = 16_384
 #: Chosen by log loss inside the training fold: learnt on crc32 mod 4 in (0, 1), measured on 3.
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 12.0, 1.0, 5
 _VALUES = B.byte_values(9)
@@ -101,13 +104,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Weigh
                 pairs = np.unique((rows << BITS) | found)
                 cuts = np.searchsorted(pairs >> BITS, np.arange(int(pairs[-1] >> BITS) + 2)) if len(pairs) else [0]
                 for i, (a, c) in enumerate(zip(cuts, cuts[1:])):
-                    own[begin + i] = (pairs[a:c] & ((1 << BITS) - 1)).astype(np.int32)
+                    own[begin + i] = (pairs[a : min(c, a + MAX_FEATURES)] & ((1 << BITS) - 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
 
     # max_rows bounds what is broadcast; a doc_id's first row by features is the one learnt from
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
-    got = rows.mapInArrow(trimmed(run), f"doc_id {dict(docs.dtypes)['doc_id']}, y double, x array<int>").toPandas()
-    got = got.assign(k=[np.asarray(x).tobytes() for x in got.x]).sort_values(["doc_id", "k"]).drop_duplicates("doc_id") if len(got) else got
+    seen = rows.mapInArrow(trimmed(run), f"doc_id {dict(docs.dtypes)['doc_id']}, y double, x array<int>")
+    got = seen.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     order = np.random.default_rng(1).permutation(len(got))
     return ftrl([np.asarray(got.x.iloc[i], np.int64) for i in order], got.y.to_numpy()[order])
 

@@ -429,6 +429,36 @@ def test_toxicity_holds_out(spark):
     assert again == {i: r.score for i, r in out.items()}
 
 
+def test_ftrl_equals_plain_updates():
+    """One coordinate at a time, in a dict, as the method is written down."""
+    rng = random.Random(3)
+    rows = [np.array(sorted(rng.sample(range(40), 8))) for _ in range(300)]
+    y = np.array([float(3 in r or (7 in r and 9 not in r)) for r in rows])
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, l1, l2):
+        return 0.0 if abs(z[i]) <= l1 else (np.sign(z[i]) * l1 - z[i]) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + l2)
+
+    for _ in range(toxicity.EPOCHS):
+        for r, label in zip(rows, y):
+            w = {i: weight(i, toxicity.L1, toxicity.L2) for i in r.tolist()} | {"bias": weight("bias", 0, 0)}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in w:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    got = toxicity.ftrl(rows, y)
+    want = {i: weight(i, toxicity.L1, toxicity.L2) for i in range(40) if abs(z[i]) > toxicity.L1}
+    assert want and got.place.tolist() == sorted(want) and np.allclose(got.weight, [want[i] for i in sorted(want)], rtol=1e-4)
+    assert got.bias == pytest.approx(weight("bias", 0, 0), rel=1e-6)
+
+
+def test_toxicity_learns_once_from_a_repeated_doc_id(spark):
+    rows, _, labels = labelled(spark, random.Random(4), "toxic")
+    one = toxicity.learn(documents(spark, rows), labels)
+    again = toxicity.learn(documents(spark, rows + rows[:200]), labels)
+    assert one.place.tolist() == again.place.tolist() and (one.weight == again.weight).all() and one.bias == again.bias
+
+
 @pytest.fixture(scope="module")
 def models():
     model = sentencepiece_scan.read_model()
