@@ -44,10 +44,12 @@ from specloom.llm.common import materialise, small_batches, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, and of the part of a text that one task scans.
-CHUNK, SPREAD = 1 << 11, 1 << 16
+CHUNK, SPREAD = 1 << 12, 1 << 16
 SPACE = "▁"
 #: Segments of a generation that a worker remembers (it keeps two), and the longest that it does.
 REMEMBERED, SHORT = 200_000, 48
+#: Segments that are merged at once: their arrays stay in a core's cache.
+AT_ONCE = 4096
 
 
 class Segments(NamedTuple):
@@ -163,7 +165,8 @@ class Pieces:
         older = self._older
         self._known.update((s, older[s]) for s in new if s in older)
         new = [s for s in new if s not in older and len(s) <= SHORT]
-        self._known.update(zip(new, self.merge_all(new)))
+        for i in range(0, len(new), AT_ONCE):
+            self._known.update(zip(new[i : i + AT_ONCE], self.merge_all(new[i : i + AT_ONCE])))
 
     def merge(self, text: str) -> list[str]:
         """The greedy merges: best score first, leftmost of equals."""
@@ -208,9 +211,9 @@ class Pieces:
             ids = self._older.get(text) or tuple(self.piece_ids(self.merge(text) if len(text) <= SHORT else self.best_path(text)))
         return ids
 
-    def segmented(self, text: str) -> Segments:
+    def segmented(self, text: str, found: list[str] | None = None) -> Segments:
         """A text's borders and what stands between them, encoded."""
-        found = self.segment.findall(text)
+        found = found or self.segment.findall(text)
         ids = list(map(self._known.get, found))
         if None in ids:
             ids = [self.encode_segment(s) if x is None else x for s, x in zip(found, ids)]
@@ -249,8 +252,9 @@ class Pieces:
 
     def encode_texts(self, texts: list[str]) -> list[list[int]]:
         own = [marked(t) for t in texts]
-        self.learn(set(chain.from_iterable(map(self.segment.findall, own))))
-        return [self.trace(x, 0, len(x), (0, 0), None) if x else [] for x in own]
+        found = list(map(self.segment.findall, own))
+        self.learn(set(chain.from_iterable(found)))
+        return [self.trace(x, 0, len(x), (0, 0), None, self.segmented(x, f)) if x else [] for x, f in zip(own, found)]
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.text.__getitem__, ids)).decode(errors="replace")
@@ -288,9 +292,9 @@ class Pieces:
         states = [self.states_at(text, x, borders) for x in cuts]
         return [self.transfer(text, a, b, borders, x, y) for a, b, x, y in zip(cuts, cuts[1:], states, states[1:])]
 
-    def trace(self, text: str, begin: int, end: int, enter: tuple[int, int], leave: tuple[int, int] | None) -> list[int]:
+    def trace(self, text: str, begin: int, end: int, enter: tuple[int, int], leave: tuple[int, int] | None, segments: Segments | None = None) -> list[int]:
         """Ids of the pieces that begin in a part, given its states at both ends (at a text's end None)."""
-        segments = self.segmented(text)
+        segments = segments or self.segmented(text)
         chunks = self.leaves(text, begin, end, segments.borders)
         out: list[int] = []
         for a, chunk, (x, y) in zip(range(begin, end, CHUNK), chunks, states_between(chunks, enter, leave or end)):
