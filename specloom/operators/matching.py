@@ -1,17 +1,21 @@
 """Statements against requirements: scores, best matches, conflicts, validity.
 
 Both sides meet by ``doc_id``. Many statements on one document are many pairs by nature (the score
-is of substrings, which no index answers); Spark picks the join by size.
+is of substrings, which no index answers); a document's requirements are dealt over parts, so that one
+document's pairs are spread over as many tasks. Spark picks the join by size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom import dims
 from specloom.functions import text as X
 
+#: Parts of a document's requirements; each statement meets all of them.
+PARTS = 16
+
 
 def analysed(statements: DataFrame) -> DataFrame:
     """``statements`` (stmt_id, doc_id, statement) with stmt_level, stmt_subject and keywords."""
@@ -21,13 +25,16 @@ def analysed(statements: DataFrame) -> DataFrame:
 
 def scored(statements: DataFrame, requirements: DataFrame) -> DataFrame:
     """Each pair of one document with score, matched keywords and what gave a bonus."""
-    pairs = analysed(statements).join(_with_subject(requirements), "doc_id")
-    text = F.lower(F.concat("text", F.lit(" "), F.coalesce("full_context", F.lit(""))))
-    hits = X.let(text, lambda t: F.filter("keywords", lambda k: t.contains(k["keyword"])))
+    part = F.coalesce(F.pmod("req_ord", F.lit(PARTS)), F.lit(0)).cast("int")
+    text = F.lower(F.concat("text", F.lit(" "), F.coalesce("full_context", F.lit(""))))  # once a requirement, before pairs
+    wanted = _with_subject(requirements).withColumns({"_part": part, "_text": text})
+    said = analysed(statements).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    pairs = said.join(wanted, ["doc_id", "_part"])
+    hits = F.filter("keywords", lambda k: F.col("_text").contains(k["keyword"]))
     rows = pairs.withColumns({"_hits": hits, "subject_match": F.coalesce(F.col("req_subject") == F.col("stmt_subject"), F.lit(False)), "level_match": F.coalesce(F.col("level") == F.col("stmt_level"), F.lit(False))})
     base = F.aggregate("_hits", F.lit(0), lambda a, k: a + k["weight"])
     score = base + F.col("subject_match").cast("int") * dims.SUBJECT_BONUS + F.col("level_match").cast("int") * dims.LEVEL_BONUS
-    return rows.withColumns({"score": score, "matched_keywords": F.transform("_hits", lambda k: k["keyword"])}).drop("_hits")
+    return rows.withColumns({"score": score, "matched_keywords": F.transform("_hits", lambda k: k["keyword"])}).drop("_hits", "_part", "_text")
 
 
 def _with_subject(requirements: DataFrame) -> DataFrame:
@@ -40,9 +47,8 @@ def best_matches(pairs: DataFrame, top: int = dims.TOP_MATCHES) -> DataFrame:
     return pairs.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def conflicts(statements: DataFrame, requirements: DataFrame) -> DataFrame:
-    """Pairs that conflict, one row each, with reason. Statements without a subject have none."""
-    pairs = analysed(statements).where("stmt_subject IS NOT NULL").join(_with_subject(requirements).withColumnRenamed("req_subject", "stmt_subject"), ["doc_id", "stmt_subject"])
+def _reason() -> Column:
+    """Why a pair of one subject conflicts, or null."""
     overlap = X.let(F.lower("text"), lambda t: F.size(F.filter("keywords", lambda k: t.contains(k["keyword"]))))
     opposed = F.lit(False)
     for level, others in dims.CONFLICTS.items():
@@ -51,20 +57,26 @@ def conflicts(statements: DataFrame, requirements: DataFrame) -> DataFrame:
     said, action = F.lower("statement"), F.coalesce("action", "text")
     must, must_not = F.col("level").isin("MUST", "SHALL", "REQUIRED"), F.col("level").isin("MUST NOT", "SHALL NOT")
     forbidden = X.trim(F.regexp_replace(action, "(?i)must not|shall not", ""))
-    reason = (
+    return (
         F.when(by_level, F.concat(F.lit('Statement uses "'), "stmt_level", F.lit('" but requirement uses "'), "level", F.lit('"')))
         .when(must & X.contradict(said, F.lower(action)), F.concat(F.lit('Statement action contradicts "'), "level", F.lit('" requirement: "'), action, F.lit('"')))
         .when(must_not & X.does_forbidden(said, F.lower(forbidden)), F.concat(F.lit('Statement does what "'), "level", F.lit('" forbids: "'), forbidden, F.lit('"')))
     )
-    return pairs.withColumn("reason", reason).where("reason IS NOT NULL")
+
+
+def conflicts(statements: DataFrame, requirements: DataFrame) -> DataFrame:
+    """Pairs that conflict, one row each, with reason. Statements without a subject have none."""
+    pairs = analysed(statements).where("stmt_subject IS NOT NULL").join(_with_subject(requirements).withColumnRenamed("req_subject", "stmt_subject"), ["doc_id", "stmt_subject"])
+    return pairs.withColumn("reason", _reason()).where("reason IS NOT NULL")
 
 
 def validity(statements: DataFrame, requirements: DataFrame) -> DataFrame:
-    """stmt_id, doc_id, n_matches (up to the limit), n_conflicts, is_valid and suggestions."""
-    pairs = scored(statements, requirements)
-    matched = pairs.groupBy("stmt_id", "doc_id").agg(F.least(F.count_if(F.col("score") > 0), F.lit(dims.TOP_MATCHES)).alias("n_matches"))
-    against = conflicts(statements, requirements).groupBy("stmt_id", "doc_id").agg(F.count("*").alias("n_conflicts"))
-    rows = analysed(statements).join(matched, ["stmt_id", "doc_id"], "left").join(against, ["stmt_id", "doc_id"], "left").fillna(0, ["n_matches", "n_conflicts"])
+    """stmt_id, doc_id, n_matches (up to the limit), n_conflicts, is_valid and suggestions. The pairs are made and
+    read once: matches and conflicts are counted in one aggregate."""
+    matches = F.least(F.count_if(F.col("score") > 0), F.lit(dims.TOP_MATCHES))
+    against = F.count_if(F.when(F.col("subject_match"), _reason().isNotNull()))
+    found = scored(statements, requirements).groupBy("stmt_id", "doc_id").agg(matches.alias("n_matches"), against.alias("n_conflicts"))
+    rows = analysed(statements).join(found, ["stmt_id", "doc_id"], "left").fillna(0, ["n_matches", "n_conflicts"])
     hints = F.array_compact(
         F.array(
             F.when(F.col("n_matches") == 0, "No matching requirements found. Try different keywords."),

@@ -218,6 +218,11 @@ def definitions_fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).definitions
 
 
+@query(f"WITH {C.TEXT_SQL}, {_DEF} SELECT doc_id, count(*) AS n_definitions FROM df GROUP BY doc_id")
+def definition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).definitions.groupBy("doc_id").agg(F.count("*").alias("n_definitions"))
+
+
 @query(f"WITH {C.TEXT_SQL}, {_DEF} SELECT * FROM df WHERE contains(lower(term), 'host') OR contains(lower(definition), 'host')")
 def definitions_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.search_definitions(_parsed(spark, sf_dir).definitions, "HOST")
@@ -256,7 +261,9 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Answers of three sources, some of them invalid, by event type."""
-    rows = C.table(spark, sf_dir, "events").groupBy(((F.col("user_id") % 50) * 300 + 1).cast("int").alias("doc_id"), "event_type").agg(F.min("event_id").alias("e"))
+    user = F.col("user_id")  # one document a user; even ones from XML_FROM on, odd ones before
+    number = dims.XML_FROM + F.when(user % 2 == 0, user).otherwise(-user)
+    rows = C.table(spark, sf_dir, "events").groupBy(number.cast("int").alias("doc_id"), "event_type").agg(F.min("event_id").alias("e"))
     good = "concat('<rfc number=', e, '>')" if kind == "xml" else "concat('RFC ', e)"
     bad = "e % 3 = 0" if kind == "xml" else "e % 5 = 0"
     return rows.select("doc_id", F.col("event_type").alias("source_name"), F.dense_rank().over(_by_type()).alias("priority"), F.expr(f"CASE WHEN NOT ({bad}) THEN 'not found' ELSE {good} END").alias("body"), F.lit(None).cast("string").alias("error"))
@@ -268,7 +275,7 @@ def _by_type():
     return Window.partitionBy("doc_id").orderBy("event_type")
 
 
-_CANDIDATES = """k0 AS (SELECT ((user_id % 50) * 300 + 1)::INTEGER AS doc_id, event_type, min(event_id) AS e FROM events GROUP BY 1, 2),
+_CANDIDATES = f"""k0 AS (SELECT ({dims.XML_FROM} + CASE WHEN user_id % 2 = 0 THEN user_id ELSE -user_id END)::INTEGER AS doc_id, event_type, min(event_id) AS e FROM events GROUP BY 1, 2),
 kx AS (SELECT doc_id, min_by(event_type, event_type) FILTER (e % 3 = 0) AS source_name, min_by('<rfc number=' || e || '>', event_type) FILTER (e % 3 = 0) AS body FROM k0 GROUP BY doc_id),
 kt AS (SELECT doc_id, min_by(event_type, event_type) FILTER (e % 5 = 0) AS source_name, min_by('RFC ' || e, event_type) FILTER (e % 5 = 0) AS body FROM k0 GROUP BY doc_id)"""
 
