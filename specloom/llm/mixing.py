@@ -81,7 +81,8 @@ def _laid_out(docs: DataFrame, weights: tuple[float, ...], share: float, cap: fl
     slots = materialise(schedule(sources.select("skey", "target"), n_slots, n_sources, points), "mix-schedule")
     ends = slots.groupBy("skey").agg(((F.max("block") + 1) * block_words).alias("words"))
     # a pass lays out the source's rows once, in an order of its own; only those are needed that slots reach
-    known = sources.select("skey", "source_size").join(ends, "skey")
+    # written, so that Spark knows its size, one row a source, and needn't shuffle the rows by source
+    known = materialise(sources.select("skey", "source_size").join(ends, "skey"), "mix-ends")
     passes = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(cap) - 1))).alias("_pass")
     laid = rows.where("size > 0").join(known, "skey").select("rid", "doc_id", "_text", "skey", "size", "source_size", "words", passes).where(F.col("_pass") * F.col("source_size") < F.col("words"))
     laid = laid.withColumns({"_hash": F.xxhash64(F.lit(seed), "_pass", "doc_id"), "_bucket": F.pmod(F.xxhash64("doc_id", F.lit(seed), "_pass"), F.lit(BUCKETS))})
