@@ -55,12 +55,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     are not needed any more and go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/specloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
+    before = spark.conf.get(_CLEAN, None)
+    if before:
+        spark.conf.set(_CLEAN, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        if before:
+            spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

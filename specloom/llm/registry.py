@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specloom.llm import fingerprints, mixing, quality_classifier, quality_rules, sentencepiece_scan, sharding, simhash, suffix_dedup, toxicity, url_filters
+from specloom.llm import centroids, exact_dedup, filter_audit, fingerprints, mixing, quality_classifier, quality_rules, sentencepiece_scan, sharding, simhash, suffix_dedup, toxicity, url_filters
 from specloom.llm.common import table
 
 
@@ -52,10 +52,22 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encode_and_check(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filters.JUDGE_SQL, "op5_quality_rules": quality_rules.JUDGE_SQL}
+    return {"op2_url_filters": url_filters.JUDGE_SQL, "op5_quality_rules": quality_rules.JUDGE_SQL, "op11_filter_audit": filter_audit.AUDIT_SQL, "op12_delta_lloyd": centroids.CLUSTER_SQL, "op13_exact_dedup": exact_dedup.MARK_SQL}
