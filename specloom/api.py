@@ -194,10 +194,11 @@ class Engine:
 
     def validate_statement(self, rfc: int, statement: str) -> dict:
         parsed, source = self.document(rfc)
-        found = requirements.extract_requirements(parsed)
+        at = matching.index(requirements.extract_requirements(parsed))
+        found = at.requirements
         said = self.spark.createDataFrame([(0, rfc, statement)], "stmt_id int, doc_id int, statement string")
-        about = _rows(matching.validity(said, found))[0]
-        matches = [self._requirement(r) | {"_matchScore": r["score"], "_matchedKeywords": r["matched_keywords"], "_subjectMatch": r["subject_match"], "_levelMatch": r["level_match"]} for r in _rows(matching.best_matches(matching.scored(said, found)).orderBy("rank"))]
+        about = _rows(matching.validity(said, at))[0]
+        matches = [self._requirement(r) | {"_matchScore": r["score"], "_matchedKeywords": r["matched_keywords"], "_subjectMatch": r["subject_match"], "_levelMatch": r["level_match"]} for r in _rows(matching.best_matches(matching.scored(said, at, dims.TOP_MATCHES)).orderBy("rank"))]
         against = [{"requirement": self._requirement(r), "reason": r["reason"]} for r in _rows(matching.conflicts(said, found).orderBy("req_ord"))]
         out = {"rfc": rfc, "statement": statement, "analysis": {"detectedLevel": about["stmt_level"], "detectedSubject": about["stmt_subject"]}, "isValid": about["is_valid"], "matchingRequirements": matches, "conflicts": against}
         return out | ({"suggestions": about["suggestions"]} if about["suggestions"] else {}) | self._source(source, "validation")

@@ -38,15 +38,35 @@ def nonempty(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
+#: Values that a running sum adds up anew for each of them; longer arrays go in parts of so many.
+RUN = 32
+
+
+def sums_before(values: Column, levels: int = 3) -> Column:
+    """For each of an array's numbers the sum of those before it. Sums of parts come first, then those inside
+    the parts, so the work grows with the length, up to RUN ** (levels + 1) numbers."""
+
+    def total(x: Column, start: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(x, start, n), F.lit(0), lambda a, y: a + y)
+
+    short = let(values, lambda v: F.transform(v, lambda x, i: total(v, F.lit(1), i)))
+    if not levels:
+        return short
+
+    def long(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda b: total(v, b * RUN + 1, F.lit(RUN)))
+        return let(sums_before(parts, levels - 1), lambda s: F.transform(v, lambda x, i: F.get(s, F.floor(i / RUN).cast("int")) + total(v, i - i % RUN + 1, i % RUN)))
+
+    return F.when(F.size(values) <= RUN, short).otherwise(let(values, long))
+
+
 def markers(text: Column) -> Column:
     """array<struct<level, pos>>: all keywords with their offsets, left to right. An offset is the
     length of the pieces between keywords, and of keywords, before it."""
 
     def place(z: Column) -> Column:
-        def total(x: Column, n: Column) -> Column:
-            return F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda a, y: a + F.length(y))
-
-        return F.transform(z["k"], lambda k, i: F.struct(k.alias("level"), (total(z["s"], i + 1) + total(z["k"], i)).alias("pos")))
+        lengths = F.transform(z["s"], lambda s, i: F.length(s) + F.coalesce(F.length(F.get(z["k"], i)), F.lit(0)))
+        return let(sums_before(lengths), lambda at: F.transform(z["k"], lambda k, i: F.struct(k.alias("level"), (F.get(at, i) + F.length(F.get(z["s"], i))).alias("pos"))))
 
     pieces = F.struct(F.regexp_extract_all(text, F.lit(LEVEL), F.lit(1)).alias("k"), F.split(text, LEVEL, -1).alias("s"))
     return F.when(text.rlike(LEVEL), let(pieces, place)).otherwise(F.array().cast("array<struct<level:string,pos:int>>"))
@@ -123,8 +143,18 @@ def keyword_weight(word: Column) -> Column:
 
 
 def keywords(text: Column) -> Column:
-    """array<struct<keyword, weight>> by first occurrence; repeats add up."""
-    return let(keyword_words(text), lambda ws: F.transform(F.array_distinct(ws), lambda w: F.struct(w.alias("keyword"), (keyword_weight(w) * F.size(F.filter(ws, lambda x: x == w))).alias("weight"))))
+    """array<struct<keyword, weight>> by first occurrence; repeats add up. Sorted, equal words are runs."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (F.get(s, k)["w"] != F.get(s, k - 1)["w"]))
+
+        def counted(at: Column) -> Column:
+            each = F.transform(at, lambda k, i: F.struct(F.get(s, k)["i"].alias("i"), F.get(s, k)["w"].alias("w"), (F.coalesce(F.get(at, i + 1), F.size(s)) - k).alias("n")))
+            return F.transform(F.sort_array(each), lambda x: F.struct(x["w"].alias("keyword"), (keyword_weight(x["w"]) * x["n"]).alias("weight")))
+
+        return F.when(F.size(s) > 0, let(starts, counted)).otherwise(F.array().cast("array<struct<keyword:string,weight:int>>"))
+
+    return let(F.sort_array(F.transform(keyword_words(text), lambda w, i: F.struct(w.alias("w"), i.alias("i")))), runs)
 
 
 def _any_of(text: Column, parts) -> Column:

@@ -1,20 +1,39 @@
 """Statements against requirements: scores, best matches, conflicts, validity.
 
-Both sides meet by ``doc_id``. Many statements on one document are many pairs by nature (the score
-is of substrings, which no index answers); a document's requirements are dealt over parts, so that one
-document's pairs are spread over as many tasks. Spark picks the join by size.
+A pair scores above zero only if the two share a keyword, the subject or the level. So pairs come from
+equi-joins, never from all statements with all requirements. A keyword counts wherever a requirement's
+text contains it, inside words too; for that there is an inverted index: words of the texts with the
+requirements that have them, in blocks of BLOCK, and the words' 3-grams. A keyword goes by its rarest
+3-gram to the words with that gram, and what contains it brings its requirements.
+
+Statements are matched within their document, or, with ``corpus=True``, with all documents. Keys of many
+pairs are split by their measured sizes (``joins.sized_join``).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom import dims
 from specloom.functions import text as X
+from specloom.operators.joins import sized_join
+from specloom.storage import materialise
+
+#: Requirements in a block of a word's list, and such blocks that meet in one part of a join.
+BLOCK, BLOCKS = 1024, 128
+GRAM = dims.MIN_KEYWORD  # no keyword is shorter
+WORD = f"[a-z0-9]{{{GRAM},}}"
+
+
+@dataclass(frozen=True)
+class Index:
+    """``requirements`` with req_subject; ``words``: doc_id, token, block, ords."""
 
-#: Parts of a document's requirements; each statement meets all of them.
-PARTS = 16
+    requirements: DataFrame
+    words: DataFrame
 
 
 def analysed(statements: DataFrame) -> DataFrame:
@@ -23,28 +42,108 @@ def analysed(statements: DataFrame) -> DataFrame:
     return statements.select("stmt_id", "doc_id", "statement", X.level_of(s).alias("stmt_level"), X.subject_of(s).alias("stmt_subject"), X.keywords(s).alias("keywords"))
 
 
-def scored(statements: DataFrame, requirements: DataFrame) -> DataFrame:
-    """Each pair of one document with score, matched keywords and what gave a bonus."""
-    part = F.coalesce(F.pmod("req_ord", F.lit(PARTS)), F.lit(0)).cast("int")
-    text = F.lower(F.concat("text", F.lit(" "), F.coalesce("full_context", F.lit(""))))  # once a requirement, before pairs
-    wanted = _with_subject(requirements).withColumns({"_part": part, "_text": text})
-    said = analysed(statements).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    pairs = said.join(wanted, ["doc_id", "_part"])
-    hits = F.filter("keywords", lambda k: F.col("_text").contains(k["keyword"]))
-    rows = pairs.withColumns({"_hits": hits, "subject_match": F.coalesce(F.col("req_subject") == F.col("stmt_subject"), F.lit(False)), "level_match": F.coalesce(F.col("level") == F.col("stmt_level"), F.lit(False))})
-    base = F.aggregate("_hits", F.lit(0), lambda a, k: a + k["weight"])
-    score = base + F.col("subject_match").cast("int") * dims.SUBJECT_BONUS + F.col("level_match").cast("int") * dims.LEVEL_BONUS
-    return rows.withColumns({"score": score, "matched_keywords": F.transform("_hits", lambda k: k["keyword"])}).drop("_hits", "_part", "_text")
-
-
-def _with_subject(requirements: DataFrame) -> DataFrame:
-    return requirements.withColumn("req_subject", F.coalesce(F.lower("subject"), X.subject_of(F.col("text"))))
-
-
-def best_matches(pairs: DataFrame, top: int = dims.TOP_MATCHES) -> DataFrame:
+def prepared(requirements: DataFrame) -> DataFrame:
+    """With req_subject, as a table: several joins read it, and requirements are costly to extract."""
+    if "req_subject" in requirements.columns:
+        return requirements
+    return materialise(requirements.withColumn("req_subject", F.coalesce(F.lower("subject"), X.subject_of(F.col("text")))), "requirements")
+
+
+def _searched() -> Column:
+    """What a requirement is searched in."""
+    return F.lower(F.concat("text", F.lit(" "), F.coalesce("full_context", F.lit(""))))
+
+
+def index(requirements: DataFrame) -> Index:
+    wanted = prepared(requirements)
+    tokens = F.explode(F.array_distinct(F.regexp_extract_all(_searched(), F.lit(WORD), F.lit(0)))).alias("token")
+    block = F.floor(F.col("req_ord") / BLOCK).cast("int").alias("block")
+    words = wanted.select("doc_id", "req_ord", tokens).groupBy("doc_id", "token", block).agg(F.collect_list("req_ord").alias("ords"))
+    return Index(wanted, materialise(words, "words"))
+
+
+def grams(word: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - (GRAM - 1)), lambda i: F.substring(word, i, F.lit(GRAM))))
+
+
+def gram_pairs(keywords: DataFrame, words: DataFrame, scope: list[str]) -> DataFrame:
+    """``scope``, keyword, token: what is compared, words that have the keyword's rarest gram. There are
+    no more grams than 36 ** 3, so their counts are small enough to broadcast."""
+    spelt = words.select(*scope, "token").distinct().select(*scope, "token", F.explode(grams(F.col("token"))).alias("gram"))
+    rarity = F.broadcast(spelt.groupBy("gram").agg(F.count("*").alias("n")))
+    wanted = keywords.select(*scope, "keyword").distinct().select(*scope, "keyword", F.explode(grams(F.col("keyword"))).alias("gram"))
+    rarest = wanted.join(rarity, "gram", "left").groupBy(*scope, "keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    return rarest.where("g.n > 0").select(*scope, "keyword", "g.gram").join(spelt, [*scope, "gram"]).drop("gram")
+
+
+def keyword_lists(keywords: DataFrame, words: DataFrame, scope: list[str]) -> DataFrame:
+    """doc_id, keyword, block, ords: the requirements that contain a keyword, each once, in blocks as those
+    of ``words``. However many statements share a keyword, its list is made once."""
+    found = gram_pairs(keywords, words, scope).where(F.col("token").contains(F.col("keyword")))
+    lists = found.join(words, [*scope, "token"]).groupBy("doc_id", "keyword", "block").agg(F.array_distinct(F.flatten(F.collect_list("ords"))).alias("ords"))
+    return materialise(lists, "keyword-lists")
+
+
+def keyword_hits(said: DataFrame, words: DataFrame, scope: list[str]) -> DataFrame:
+    """stmt_id, doc_id, req_ord, weight: a row for each keyword of a statement that a requirement contains."""
+    keywords = said.select("stmt_id", *scope, F.explode("keywords").alias("k")).select("stmt_id", *scope, "k.keyword", "k.weight")
+    return sized_join(keywords, keyword_lists(keywords, words, scope), [*scope, "keyword"], BLOCKS).select("stmt_id", "doc_id", F.explode("ords").alias("req_ord"), "weight")
+
+
+def _order(scope: list[str]) -> list[Column]:
+    return [F.desc("score"), *([] if scope else [F.col("doc_id")]), F.col("req_ord")]
+
+
+def _ranked(pairs: DataFrame, scope: list[str], top: int) -> DataFrame:
+    """With rank, of each statement up to ``top`` rows; before the shuffle each task leaves so many."""
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("stmt_id", *scope).orderBy(*_order(scope)))).where(F.col("rank") <= top)
+
+
+def _plain_pairs(said: DataFrame, wanted: DataFrame, scope: list[str], top: int | None) -> list[DataFrame]:
+    """stmt_id, doc_id, req_ord of equal subject or level. For the ``top`` ones the first requirements of each
+    key suffice: without a keyword those of one key score alike, and the earlier ones are better."""
+    sides = {"subject": ("stmt_subject",), "level": ("stmt_level",)} | ({"both": ("stmt_subject", "stmt_level")} if top else {})
+    out = []
+    for keys in sides.values():
+        own = said.select("stmt_id", *scope, *keys).dropna(subset=list(keys))
+        others = wanted.select("doc_id", "req_ord", F.col("req_subject").alias("stmt_subject"), F.col("level").alias("stmt_level")).select("doc_id", "req_ord", *keys)
+        on = [*scope, *keys]
+        if top:
+            first = Window.partitionBy(*on).orderBy("doc_id", "req_ord")
+            heads = others.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= top).drop("_place")
+            pairs = own.join(heads, on)
+        else:
+            pairs = sized_join(own, others, on)
+        out.append(pairs.select("stmt_id", "doc_id", "req_ord"))
+    return out
+
+
+def scored(statements: DataFrame, requirements: DataFrame | Index, top: int | None = None, corpus: bool = False) -> DataFrame:
+    """Each pair that scores above zero, with score, matched keywords and what gave a bonus; with ``top`` only the
+    best of each statement, of equal ones the first in document order. With ``corpus`` statements
+    meet every document's requirements; doc_id is the requirement's."""
+    at = requirements if isinstance(requirements, Index) else index(requirements)
+    scope = [] if corpus else ["doc_id"]
+    said = materialise(analysed(statements).drop(*(["doc_id"] if corpus else [])), "statements")
+    hits = keyword_hits(said, at.words, scope)
+    for pairs in _plain_pairs(said, at.requirements, scope, top):
+        hits = hits.unionByName(pairs.withColumn("weight", F.lit(0)))
+    pairs = hits.groupBy("stmt_id", "doc_id", "req_ord").agg(F.sum("weight").alias("_base"))
+    slim = at.requirements.select("doc_id", "req_ord", "level", "req_subject")
+    about = pairs.join(slim, ["doc_id", "req_ord"]).join(said.select("stmt_id", *scope, "stmt_level", "stmt_subject"), ["stmt_id", *scope])
+    about = about.withColumns({"subject_match": F.coalesce(F.col("req_subject") == F.col("stmt_subject"), F.lit(False)), "level_match": F.coalesce(F.col("level") == F.col("stmt_level"), F.lit(False))})
+    score = F.col("_base").cast("int") + F.col("subject_match").cast("int") * dims.SUBJECT_BONUS + F.col("level_match").cast("int") * dims.LEVEL_BONUS
+    rows = about.select("stmt_id", "doc_id", "req_ord", "subject_match", "level_match", score.alias("score"))
+    if top:
+        rows = _ranked(rows, scope, top).drop("rank")
+    rows = rows.join(at.requirements, ["doc_id", "req_ord"]).join(said, ["stmt_id", *scope])
+    named = X.let(_searched(), lambda t: F.transform(F.filter("keywords", lambda k: t.contains(k["keyword"])), lambda k: k["keyword"]))
+    return rows.withColumn("matched_keywords", named)
+
+
+def best_matches(pairs: DataFrame, top: int = dims.TOP_MATCHES, corpus: bool = False) -> DataFrame:
     """Up to ``top`` rows of each statement by score; equal scores keep document order."""
-    order = Window.partitionBy("stmt_id", "doc_id").orderBy(F.desc("score"), "req_ord")
-    return pairs.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return _ranked(pairs.where("score > 0"), [] if corpus else ["doc_id"], top)
 
 
 def _reason() -> Column:
@@ -65,18 +164,20 @@ def _reason() -> Column:
 
 
 def conflicts(statements: DataFrame, requirements: DataFrame) -> DataFrame:
-    """Pairs that conflict, one row each, with reason. Statements without a subject have none."""
-    pairs = analysed(statements).where("stmt_subject IS NOT NULL").join(_with_subject(requirements).withColumnRenamed("req_subject", "stmt_subject"), ["doc_id", "stmt_subject"])
+    """Pairs that conflict, one row each, with reason. Statements without a subject have none. Levels that
+    nothing of can conflict aren't joined."""
+    able = sorted({x for others in dims.CONFLICTS.values() for x in others} | {"MUST", "SHALL", "REQUIRED", "MUST NOT", "SHALL NOT"})
+    wanted = prepared(requirements).where(F.col("level").isin(able)).withColumnRenamed("req_subject", "stmt_subject")
+    pairs = sized_join(analysed(statements).where("stmt_subject IS NOT NULL"), wanted, ["doc_id", "stmt_subject"])
     return pairs.withColumn("reason", _reason()).where("reason IS NOT NULL")
 
 
-def validity(statements: DataFrame, requirements: DataFrame) -> DataFrame:
-    """stmt_id, doc_id, n_matches (up to the limit), n_conflicts, is_valid and suggestions. The pairs are made and
-    read once: matches and conflicts are counted in one aggregate."""
-    matches = F.least(F.count_if(F.col("score") > 0), F.lit(dims.TOP_MATCHES))
-    against = F.count_if(F.when(F.col("subject_match"), _reason().isNotNull()))
-    found = scored(statements, requirements).groupBy("stmt_id", "doc_id").agg(matches.alias("n_matches"), against.alias("n_conflicts"))
-    rows = analysed(statements).join(found, ["stmt_id", "doc_id"], "left").fillna(0, ["n_matches", "n_conflicts"])
+def validity(statements: DataFrame, requirements: DataFrame | Index) -> DataFrame:
+    """stmt_id, doc_id, n_matches (up to the limit), n_conflicts, is_valid and suggestions."""
+    at = requirements if isinstance(requirements, Index) else index(requirements)
+    matches = scored(statements, at, dims.TOP_MATCHES).groupBy("stmt_id", "doc_id").agg(F.count("*").alias("n_matches"))
+    against = conflicts(statements, at.requirements).groupBy("stmt_id", "doc_id").agg(F.count("*").alias("n_conflicts"))
+    rows = analysed(statements).join(matches, ["stmt_id", "doc_id"], "left").join(against, ["stmt_id", "doc_id"], "left").fillna(0, ["n_matches", "n_conflicts"])
     hints = F.array_compact(
         F.array(
             F.when(F.col("n_matches") == 0, "No matching requirements found. Try different keywords."),

@@ -139,6 +139,9 @@ def checklist_markdown_client(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- statements
 
+#: What scores, and what conflicts, are made of: nothing else is extracted.
+_SCORED, _OPPOSED = ("doc_id", "req_ord", "level", "text", "subject", "full_context"), ("doc_id", "req_ord", "level", "text", "subject", "action")
+
 
 @query(rf"""WITH b AS (SELECT item_id, {C.keyword_list_sql("text")} AS kl FROM benchmark), k AS (SELECT item_id, unnest(kl) AS keyword, unnest(range(0, len(kl))) AS i FROM b),
 g AS (SELECT item_id, keyword, min(i) AS i, count(*) * {C.weight_sql("keyword")} AS weight FROM k GROUP BY item_id, keyword)
@@ -161,19 +164,34 @@ def stmt_level_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_matched(f"SELECT * FROM (SELECT stmt_id, doc_id, (row_number() OVER (PARTITION BY stmt_id, doc_id ORDER BY score DESC, req_ord))::INTEGER AS rank, req_ord, score, matched FROM sc WHERE score > 0) WHERE rank <= {dims.TOP_MATCHES}"))
 def stmt_match_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = matching.scored(C.statements(spark, sf_dir), _requirements(spark, sf_dir))
+    pairs = matching.scored(C.statements(spark, sf_dir), _requirements(spark, sf_dir).select(*_SCORED), dims.TOP_MATCHES)
     return matching.best_matches(pairs).select("stmt_id", "doc_id", "rank", "req_ord", F.col("score").cast("long").alias("score"), F.array_join("matched_keywords", " ").alias("matched"))
 
 
+_CORPUS = f"""qs AS (SELECT stmt_id, stmt_level, stmt_subject FROM sa WHERE stmt_id % 50 = 0), qk AS (SELECT kw.* FROM kw JOIN qs ON kw.stmt_id = qs.stmt_id),
+dt AS (SELECT doc_id, req_ord, level, req_subject, lower(text || ' ' || full_context) AS x FROM rq),
+qh AS (SELECT stmt_id, doc_id, req_ord, sum(weight) AS base, string_agg(keyword, ' ' ORDER BY i) AS matched FROM qk, dt WHERE contains(x, keyword) GROUP BY stmt_id, doc_id, req_ord),
+qp AS (SELECT qs.stmt_id, dt.doc_id, dt.req_ord, (coalesce(req_subject = stmt_subject, false)::INTEGER * {dims.SUBJECT_BONUS} + coalesce(level = stmt_level, false)::INTEGER * {dims.LEVEL_BONUS}) AS bonus FROM qs, dt),
+qc AS (SELECT qp.stmt_id, qp.doc_id, qp.req_ord, (bonus + coalesce(base, 0))::BIGINT AS score, coalesce(matched, '') AS matched FROM qp LEFT JOIN qh ON qp.stmt_id = qh.stmt_id AND qp.doc_id = qh.doc_id AND qp.req_ord = qh.req_ord)"""
+
+
+@query(f"WITH {C.TEXT_SQL}, {C.STATEMENTS_SQL}, {_CORPUS} SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY stmt_id ORDER BY score DESC, doc_id, req_ord))::INTEGER AS rank FROM qc WHERE score > 0) WHERE rank <= {dims.TOP_MATCHES}")
+def stmt_match_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th statement is searched for in the requirements of all documents."""
+    searched = C.statements(spark, sf_dir).where("stmt_id % 50 = 0")
+    pairs = matching.scored(searched, _requirements(spark, sf_dir).select(*_SCORED), dims.TOP_MATCHES, corpus=True)
+    return matching.best_matches(pairs, corpus=True).select("stmt_id", "doc_id", "rank", "req_ord", F.col("score").cast("long").alias("score"), F.array_join("matched_keywords", " ").alias("matched"))
+
+
 @query(_matched("SELECT stmt_id, doc_id, req_ord, level, reason FROM cf WHERE starts_with(reason, 'Statement uses')", True))
 def stmt_conflicts_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.conflicts(C.statements(spark, sf_dir), _requirements(spark, sf_dir))
+    found = matching.conflicts(C.statements(spark, sf_dir), _requirements(spark, sf_dir).select(*_OPPOSED))
     return found.where("startswith(reason, 'Statement uses')").select("stmt_id", "doc_id", "req_ord", "level", "reason")
 
 
 @query(_matched("SELECT stmt_id, doc_id, req_ord, level, reason FROM cf WHERE NOT starts_with(reason, 'Statement uses')", True))
 def stmt_conflicts_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.conflicts(C.statements(spark, sf_dir), _requirements(spark, sf_dir))
+    found = matching.conflicts(C.statements(spark, sf_dir), _requirements(spark, sf_dir).select(*_OPPOSED))
     return found.where("NOT startswith(reason, 'Statement uses')").select("stmt_id", "doc_id", "req_ord", "level", "reason")
 
 
@@ -181,7 +199,7 @@ def stmt_conflicts_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 array_to_string(list_filter([CASE WHEN coalesce(m.n, 0) = 0 THEN 'No matching requirements found. Try different keywords.' END, CASE WHEN coalesce(c.n, 0) > 0 THEN 'Potential conflicts detected. Review the requirement levels (MUST/SHOULD/MAY) carefully.' END, CASE WHEN stmt_level IS NOT NULL AND stmt_subject IS NULL THEN 'Consider specifying the subject (e.g., "client", "server") for better matching.' END], lambda x: x IS NOT NULL), ' ') AS suggestions
 FROM sa LEFT JOIN (SELECT stmt_id, least(count(*), {dims.TOP_MATCHES}) AS n FROM sc WHERE score > 0 GROUP BY stmt_id) m ON sa.stmt_id = m.stmt_id LEFT JOIN (SELECT stmt_id, count(*) AS n FROM cf GROUP BY stmt_id) c ON sa.stmt_id = c.stmt_id""", True))
 def stmt_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matching.validity(C.statements(spark, sf_dir), _requirements(spark, sf_dir))
+    rows = matching.validity(C.statements(spark, sf_dir), _requirements(spark, sf_dir).select(*_SCORED, "action"))
     return rows.select("stmt_id", "doc_id", F.col("n_matches").cast("long").alias("n_matches"), F.col("n_conflicts").cast("long").alias("n_conflicts"), "is_valid", F.coalesce(F.array_join("suggestions", " "), F.lit("")).alias("suggestions"))
 
 
