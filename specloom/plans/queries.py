@@ -312,8 +312,8 @@ def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- marked-up documents
 
 
-def _markup(spark: SparkSession, sf_dir: str) -> Parsed:
-    return markup_parse.parse_markup(C.markup_documents(spark, sf_dir))
+def _markup(spark: SparkSession, sf_dir: str, once: bool = False) -> Parsed:
+    return markup_parse.parse_markup(C.markup_documents(spark, sf_dir), once)
 
 
 @query(f"WITH {C.EVENTS_SQL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a))::INTEGER AS seq, 'section-' || a AS number, 'part' || a AS anchor, 'Part ' || a AS title FROM (SELECT DISTINCT doc_id, 1 + e % 9 AS a FROM ev)")
@@ -346,7 +346,7 @@ def xml_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {C.EVENTS_SQL}, t AS (SELECT DISTINCT doc_id, 1 + e % 9 AS a, 'section-' || (1 + e % 9) AS own, u FROM (SELECT *, unnest([(1 + e % 9) || '.' || (1 + e % 4) || '.', (1 + e % 7)::VARCHAR]) AS u FROM ev WHERE e % 8 = 2 AND e % 5 <> 0)), s AS (SELECT DISTINCT doc_id, (1 + e % 9)::VARCHAR AS n FROM ev) SELECT t.doc_id, own AS section_id, u AS related_number, CASE WHEN s.n IS NULL THEN 'Unknown' ELSE 'Part ' || s.n END AS related_title FROM t LEFT JOIN s ON t.doc_id = s.doc_id AND t.u = s.n")
 def xml_related_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.related_sections(_markup(spark, sf_dir)).select("doc_id", "section_id", "related_number", "related_title")
+    return relations.related_sections(_markup(spark, sf_dir, once=True)).select("doc_id", "section_id", "related_number", "related_title")
 
 
 _TAGS = " UNION ALL ".join(f"SELECT page_id, '{t}' AS tag, unnest(range(0, len(x))) AS ord, unnest(x) AS y FROM (SELECT page_id, regexp_extract_all(html, '(?s)<{t}>(.*?)</{t}>', 1) AS x FROM pages)" for t in ("h1", "p", "li"))

@@ -28,17 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again. The lineage is cut there, so
     a lost executor costs a re-read of the files and no recomputation. The shuffle files behind it
-    are not needed any more and go at once."""
+    are not needed any more and go at once. Rows are in a folder for each value of ``by``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/specloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, None)
     if before:
         spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     finally:
         if before:
             spark.conf.set(_CLEAN, before)
