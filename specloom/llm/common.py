@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from specloom.storage import discard, materialise, release, shared_dir  # noqa: F401  operators take them from here
+
 #: A word is a run of characters other than these six (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -25,64 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or, only where that is
-    unset in local mode (tests), a temporary folder of this machine. On a cluster executors would
-    write to their own disks, so there it must be set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='specloom-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-        atexit.register(_remove, at.removeprefix("file://"))
-    return at
-
-
-def _remove(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
-#: Whether Spark deletes a job's shuffle files when it ends.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again. The lineage is cut there, so
-    a lost executor costs a re-read of the files and no recomputation. The shuffle files behind it
-    are not needed any more and go at once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/specloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    if before:
-        spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before:
-            spark.conf.set(_CLEAN, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a frame that ``materialise`` gave, once nothing will read them again."""
-    _delete(df.sparkSession, df._written_to)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what ``materialise`` wrote for this application, once its results are no longer read."""
-    _delete(spark, f"{shared_dir(spark)}/specloom/{spark.sparkContext.applicationId}")
-
-
 def words_in(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

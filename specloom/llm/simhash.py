@@ -11,10 +11,12 @@ A larger radius takes more tables than rows are long. Then the bits are dealt in
 many. Keys are shorter in return, so parts suit a corpus of up to some hundred million texts.
 
 For dropping near copies a link counts only if the two texts' sets of five-word shingles are at least so
-alike, however near the fingerprints are. What is searched and compared then are distinct texts (by a
-64-bit hash of their words), also those of one fingerprint; only texts of equal words aren't compared.
-A crowded bucket gives each text's nearest pairs first; those found alike become one component, and
-in further rounds the bucket gives more pairs between components, until it has given all of them.
+alike, however near the fingerprints are. What is compared are distinct texts (by a 64-bit hash of their
+words); texts of equal words are one. Fingerprints are searched once each, and a bucket gives all its pairs
+within the radius, unless a fingerprint has over NEAREST of them there. Such crowded fingerprints, those that
+several texts have, and short texts are joined exactly instead, by their rarest shingles
+(``rare_pairs``): boilerplate that many texts share makes no pairs there. What is found alike before counts as
+one, and pairs inside it aren't made again.
 
 For the groups by fingerprint alone only distinct fingerprints are searched. Buckets of up to SMALL are compared many at once. Larger ones
 are compared in blocks inside one task, which returns a spanning forest of their links and no other
@@ -39,6 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom.llm.common import fresh, materialise, small_batches, trimmed
+from specloom.operators.joins import sized_join
 
 RADIUS = 3
 SHINGLE = 3
@@ -47,12 +50,14 @@ SHINGLE = 3
 WIDE, PARTS, SIMILARITY, CHECKED_SHINGLE = 11, 2, 0.8, 5
 #: Fingerprints of a bucket that one task compares without dealing them again.
 BUCKET = 4096
-#: The same for the wide search: dealing a row again costs as much as comparing it with some 100,000.
-WIDE_BUCKET = 1 << 15
+#: Fingerprints of a bucket of the wide search that are compared at all; those of larger ones, and those with
+#: more than NEAREST near ones in a bucket, go by rare shingles.
+WIDE_BUCKET, NEAREST = 1 << 14, 8
+#: Texts of fewer words all go by rare shingles: a few changed words move their fingerprints too far. Of texts
+#: that are alike the longer one has at most a quarter more shingles, so pairs of up to 128 words are whole.
+SHORT = 164
 #: Fingerprints of a bucket that is compared with others at once.
 SMALL = 24
-#: Pairs for each text that a bucket gives in the first round, and how many times more in each further one.
-NEAREST, MORE = 8, 8
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 14
 
@@ -200,112 +205,115 @@ def shingles(text: str, size: int) -> set[bytes]:
 
 
 def text_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the text's words in lower case) and fp of each row."""
+    """doc_id, text_hash, node (a hash of the text's words in lower case), n_words and fp of each row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.encode().lower().split())) for t in texts], np.uint64).view(np.int64)
-            prints = np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array(prints)], names=["doc_id", "text_hash", "node", "fp"])
+            said = [t.encode().lower().split() for t in b.column(2).to_pylist()]
+            nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in said], np.uint64).view(np.int64)
+            prints = np.array([simhash(t, shingle) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array(list(map(len, said)), pa.int64()), pa.array(prints)], names=["doc_id", "text_hash", "node", "n_words", "fp"])
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(trimmed(run), "doc_id long, text_hash long, node long, fp long")
+    return rows.mapInArrow(trimmed(run), "doc_id long, text_hash long, node long, n_words long, fp long")
 
 
-def nearest_pairs(fps: np.ndarray, roots: np.ndarray, radius: int, nearest: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Places of pairs within the radius, of different roots: for each place its ``nearest`` ones, of equal
-    ones the first; and whether these are all pairs. A pair may come both ways round."""
-    n, bits, found, whole = len(fps), fps.view(np.uint64), [], True
+def nearest_pairs(fps: np.ndarray, radius: int, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs within the radius, for each place its ``nearest`` ones, of equal ones the first; and the
+    places that have more. A pair may come both ways round. A pair that is left out has more at both ends."""
+    n, bits, found, more = len(fps), fps.view(np.uint64), [], []
     step = max(1, (1 << 20) // n)
     for begin in range(0, n, step):
         apart = np.bitwise_count(bits[begin : begin + step, None] ^ bits[None, :])
-        fits = (apart <= radius) & (roots[begin : begin + step, None] != roots[None, :])
+        fits = apart <= radius
+        fits[np.arange(len(fits)), begin + np.arange(len(fits))] = False
         over = np.flatnonzero(fits.sum(axis=1) > nearest)
         if len(over):
             rank = np.where(fits[over], apart[over], 255) * np.int64(n) + np.arange(n)
             fits[over] &= rank <= np.partition(rank, nearest - 1, axis=1)[:, nearest - 1 : nearest]
-            whole = False
+            more.append(begin + over)
         i, j = np.nonzero(fits)
         found.append((begin + i, j))
-    return *(np.concatenate(x) for x in zip(*found)), whole
+    return *(np.concatenate(x) for x in zip(*found)), np.concatenate([np.zeros(0, np.int64), *more])
 
 
-def in_buckets(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
-    """``nodes`` (fp and others), once for each table: with table t, key, and bucket, a hash of the two."""
-    keyed = nodes.select(*nodes.columns, _tables(covering_masks((1 << 64) - 1, radius, parts), F.col("fp")))
-    return keyed.select(F.xxhash64("k.t", "k.key").alias("bucket"), "k.t", "k.key", *nodes.columns)
+def in_buckets(prints: DataFrame, radius: int, parts: int) -> DataFrame:
+    """``prints`` (fp, distinct), once for each table: bucket, a hash of the table and of its key, and fp."""
+    keyed = prints.select("fp", _tables(covering_masks((1 << 64) - 1, radius, parts), F.col("fp")))
+    return keyed.select(F.xxhash64("k.t", "k.key").alias("bucket"), "fp")
 
 
-def dealt_again(dealt: DataFrame, large: DataFrame, radius: int, parts: int) -> DataFrame:
-    """The rows of the ``large`` buckets by a covering of the bits that their masks leave free."""
-    masks = covering_masks((1 << 64) - 1, radius, parts)
-    again = [(t, u, _signed(x)) for t, m in enumerate(masks) for u, x in enumerate(covering_masks(~m & ((1 << 64) - 1), radius, parts))]
-    again = dealt.sparkSession.createDataFrame(again, "t int, t2 int, mask long")  # as many rows as there are tables, squared
-    rows = dealt.join(large, "bucket", "left_semi").join(F.broadcast(again), "t")
-    return rows.select(F.xxhash64("t", "key", "t2", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "node", "fp", "root")
-
-
-def candidates(dealt: DataFrame, radius: int, nearest: int, limit: int | None = None) -> DataFrame:
-    """``dealt`` (bucket, node, fp, root; node distinct in a bucket) -> a, b: pairs a < b within the radius
-    whose roots differ; and rows with null for both, for a bucket that has more pairs to give, or that
-    has over ``limit`` rows, all of them left (large)."""
+def candidates(dealt: DataFrame, radius: int, nearest: int, limit: int) -> DataFrame:
+    """``dealt`` (bucket, fp) -> a, b: pairs of fingerprints within the radius; and rows without b, for each fingerprint
+    that has pairs besides these: more than ``nearest`` in a bucket, or a bucket of over ``limit``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(one: np.ndarray, other: np.ndarray, crowded: np.ndarray) -> pa.RecordBatch:
+            b = pa.concat_arrays([pa.array(np.maximum(one, other)), pa.nulls(len(crowded), pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(one, other), crowded])), b], names=["a", "b"])
+
         def out(rows: np.ndarray) -> pa.RecordBatch:
-            keys, ids, fps, roots = rows
+            keys, fps = rows
             cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
             sizes = np.diff(cuts)
             after = np.repeat(cuts[1:], sizes)
-            bits, found = fps.view(np.uint64), [(ids[:0], ids[:0])]
+            bits, found, crowded = fps.view(np.uint64), [(fps[:0], fps[:0])], [fps[:0]]
             live = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
             for k in range(1, SMALL):  # small buckets all at once, each row against the k-th after it
                 live = live[live + k < after[live]]
                 if not len(live):
                     break
-                pair = live[(np.bitwise_count(bits[live] ^ bits[live + k]) <= radius) & (roots[live] != roots[live + k])]
-                found.append((ids[pair], ids[pair + k]))
-            more, large = [], []
+                pair = live[np.bitwise_count(bits[live] ^ bits[live + k]) <= radius]
+                found.append((fps[pair], fps[pair + k]))
             for i in np.flatnonzero(sizes > SMALL):
-                if limit and sizes[i] > limit:
-                    large.append(keys[cuts[i]])
+                own = fps[cuts[i] : cuts[i + 1]]
+                if sizes[i] > limit:
+                    crowded.append(own)
                     continue
-                one, other, whole = nearest_pairs(fps[cuts[i] : cuts[i + 1]], roots[cuts[i] : cuts[i + 1]], radius, nearest)
-                one, other = ids[cuts[i] + one], ids[cuts[i] + other]
-                found.append(np.unique([np.minimum(one, other), np.maximum(one, other)], axis=1))
-                more += [] if whole else [keys[cuts[i]]]
-            one, other = (np.concatenate(x) for x in zip(*found))
-            pairs, none = len(one), pa.nulls(len(more) + len(large), pa.int64())
-            columns = [pa.concat_arrays([pa.array(x), none]) for x in (one, other)] + [pa.concat_arrays([pa.nulls(pairs, pa.int64()), pa.array(more + large, pa.int64())]), pa.array([False] * (pairs + len(more)) + [True] * len(large), pa.bool_())]
-            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "bucket", "large"])
-
-        rows = np.zeros((4, 0), np.int64)  # of the bucket that isn't complete
+                one, other, more = nearest_pairs(own, radius, nearest)
+                found.append((own[one], own[other]))
+                crowded.append(own[more])
+            return told(*(np.concatenate(x) for x in zip(*found)), np.concatenate(crowded))
+
+        rows, none, full = np.zeros((2, 0), np.int64), np.zeros(0, np.int64), None  # rows of the bucket that isn't complete
         for b in batches:
             new = np.stack([c.to_numpy() for c in b.columns])
-            if limit and rows.shape[1] > 2 * limit:  # it is large already, so its rows needn't be held
-                rows = rows[:, : limit + 1] if new[0, 0] == rows[0, -1] else rows
+            if full is not None:  # the bucket is over the limit already, so its rows aren't held
+                same = new[0] == full
+                yield told(none, none, new[1, same])
+                new = new[:, ~same]
+                full = full if not new.shape[1] else None
             rows = np.concatenate([rows, new], axis=1)
             if rows.shape[1] and (done := int(np.searchsorted(rows[0], rows[0, -1]))):
                 yield out(rows[:, :done])
                 rows = rows[:, done:]
+            if rows.shape[1] > limit:
+                full = rows[0, 0]
+                yield told(none, none, rows[1])
+                rows = rows[:, :0]
         if rows.shape[1]:
             yield out(rows)
 
-    dealt = dealt.select("bucket", "node", "fp", "root").repartition("bucket").sortWithinPartitions("bucket", "node")
-    return dealt.mapInArrow(trimmed(run), "a long, b long, bucket long, large boolean").distinct()
+    dealt = dealt.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
+    return dealt.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
-def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (a, b) with ``alike``: whether the shingles of the two nodes' texts are. A node's text is
-    that of its least doc_id; texts of paired nodes alone are moved."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text of ``nodes`` (node, first), written: a node's text is that of its least doc_id."""
+    first = nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     texts = texts.join(first, texts.doc_id.eqNullSafe(first._id) & (texts.text_hash == first._hash)).groupBy("node").agg(F.min("text").alias("text"))
-    texts = materialise(texts, "linked-texts")
+    return materialise(texts, "node-texts")
+
+
+def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (a, b) with ``alike``: whether the shingles of the two nodes' texts are. Texts of paired nodes alone
+    are moved."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts_of(nodes.join(ends, "node", "left_semi"), docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,36 +325,63 @@ def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: flo
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], names=["a", "b", "alike"])
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long, alike boolean")
+    return materialise(both.select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long, alike boolean"), "checked")
+
+
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """node, n and h: a row for each of the n different shingles of a text, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = np.array([xxhash.xxh3_64_intdigest(x) for x in shingles(text, CHECKED_SHINGLE)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(np.full(len(h), len(h), np.int32)), pa.array(h)], names=["node", "n", "h"])
+
+    return materialise(texts.mapInArrow(trimmed(run), "node long, n int, h long"), "shingles")
+
+
+def rare_pairs(texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``texts`` (node, text), ``roots`` (node, root) -> a, b: every pair of different roots whose shingles can be so
+    alike. Two such texts share one of the first shingles of each, in any order that is one for all texts: of n
+    all but similarity * n, and one. The order is by number of texts, so common passages
+    come last and mostly aren't among the first, and a shingle of a single text pairs with nothing: a
+    text with enough of them drops out at once."""
+    rows = shingle_rows(texts)
+    shared = sized_join(rows, rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), ["h"])
+    listed = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    own = F.col("n") - F.size("s")  # they come first
+    wanted = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - own
+    first = listed.where(wanted > 0).select("node", "n", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), wanted.cast("int"))).alias("i", "x"))
+    first = first.select("node", "n", (F.col("own") + F.col("i")).cast("int").alias("i"), "x.h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = materialise(first, "first-shingles")
+    apart = first.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
+    first = first.join(apart, "h", "left_semi")
+    one, other = (first.select("h", *(F.col(c).alias(c + x) for c in ("node", "n", "i", "root"))) for x in ("1", "2"))
+    # what may still be in common before and after this shingle
+    most = F.least("i1", "i2") + 1 + F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2")) - 1
+    fits = (F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & (most * (1 + similarity) >= similarity * (F.col("n1") + F.col("n2")) - 1e-9)
+    return sized_join(one, other, ["h"]).where(fits).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def alike_groups(docs: DataFrame, radius: int, shingle: int, parts: int, similarity: float) -> DataFrame:
     """doc_id, text_hash and root (equal within a group) of each row of ``docs``; groups are connected by
-    pairs within the radius that are alike."""
+    pairs that are alike: those within the radius, and all those of short texts."""
     prints = materialise(text_prints(docs, shingle), "text-prints")
-    nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n_words").alias("n_words"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     nodes = materialise(nodes, "nodes")
-    dealt = in_buckets(nodes.select("node", "fp", F.col("node").alias("root")), radius, parts)
-    found = materialise(candidates(dealt, radius, NEAREST, WIDE_BUCKET), "candidates")
-    large = found.where("large").select("bucket")
-    rows = dealt.select("bucket", "node", "fp", "root")
-    if not large.isEmpty():
-        again = dealt_again(dealt, large, radius, parts)
-        found, rows = found.where("NOT large").unionByName(materialise(candidates(again, radius, NEAREST), "candidates")), rows.unionByName(again)
-    nearest, tried, crowded = NEAREST, None, None
-    while True:
-        pairs, more = found.where("bucket IS NULL").select("a", "b").distinct(), found.where("bucket IS NOT NULL").select("bucket").distinct()
-        new = pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialise(checked(new, docs, nodes, similarity), "checked")
-        tried = new if tried is None else tried.unionByName(new)
-        roots = materialise(components(tried.where("alike").select("a", "b")), "roots")
-        if more.isEmpty():
-            break
-        # only rows of crowded buckets are dealt once more, with the roots found so far
-        crowded = materialise((rows if crowded is None else crowded).join(more, "bucket", "left_semi").select("bucket", "node", "fp"), "crowded")
-        rooted = crowded.join(roots, "node", "left").select("bucket", "node", "fp", F.coalesce("root", "node").alias("root"))
-        nearest *= MORE
-        found = materialise(candidates(rooted, radius, nearest), "candidates")
+    alone = nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n"))
+    found = materialise(candidates(in_buckets(alone.select("fp"), radius, parts), radius, NEAREST, WIDE_BUCKET), "candidates")
+    a, b = (alone.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n")) for x in ("a", "b"))
+    paired = found.where("b IS NOT NULL").join(a, "a").join(b, "b")
+    sure = paired.where("a_n = 1 AND b_n = 1").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    tried = checked(sure, docs, nodes, similarity)
+    roots = materialise(components(tried.where("alike").select("a", "b")), "roots")
+    # texts with pairs that weren't given: of crowded buckets, of a fingerprint that several have, and short ones
+    crowded = found.where("b IS NULL").select(F.col("a").alias("fp")).unionByName(alone.where("n > 1").select("fp")).unionByName(paired.where("a_n > 1 OR b_n > 1").select(F.explode(F.array("a", "b")).alias("fp")))
+    open_nodes = nodes.join(crowded.distinct(), "fp", "left_semi").unionByName(nodes.where(F.col("n_words") < SHORT).select("fp", "node", "n_words", "first"))
+    rare = rare_pairs(texts_of(open_nodes.dropDuplicates(["node"]), docs), roots, similarity)
+    again = checked(rare.join(tried, ["a", "b"], "left_anti"), docs, nodes, similarity)
+    roots = materialise(components(tried.unionByName(again).where("alike").select("a", "b")), "roots")
     return prints.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
@@ -363,12 +398,14 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, p
 
 
 def deduplicated(docs: DataFrame, radius: int = WIDE, shingle: int = SHINGLE, parts: int = PARTS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group of ``alike_groups``: the one with the least doc_id, and of
-    rows that repeat it the first by text. Rows without doc_id stay."""
-    groups = alike_groups(docs, radius, shingle, parts, similarity)
-    keep = groups.groupBy("root").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL").select("doc_id").distinct()
-    place = fresh(docs, "_place")
+    """``docs`` with one row of each group of ``alike_groups``: the one with the least doc_id, of several the
+    first by a hash of text and of the other columns. Rows without doc_id stay. Rows are told apart by doc_id
+    and text, so unlike texts of one doc_id are in groups of their own."""
+    place, digest = fresh(docs, "_place"), fresh(docs, "_text_hash")
+    groups = alike_groups(docs, radius, shingle, parts, similarity).where("doc_id IS NOT NULL")
+    keep = groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", F.col("k.text_hash").alias(digest))
     others = [c for c, kind in docs.dtypes if not kind.startswith("map") and c not in ("doc_id", "text")]
-    first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(F.lit(0), *others))
-    once = docs.join(keep, "doc_id", "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    first = Window.partitionBy("doc_id", digest).orderBy("text", F.xxhash64(F.lit(0), *others))
+    rows = docs.withColumn(digest, F.xxhash64(F.coalesce("text", F.lit(""))))
+    once = rows.join(keep, ["doc_id", digest], "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
     return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
