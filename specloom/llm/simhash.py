@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specloom.llm import bytesops as B
 from specloom.llm.common import fresh, materialise, small_batches, trimmed
 from specloom.operators.joins import sized_join
 
@@ -198,12 +199,6 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def shingles(text: str, size: int) -> set[bytes]:
-    """As for fingerprints: lower-cased words; one shingle of all of them if there are fewer."""
-    words = text.encode().lower().split()
-    return {b" ".join(words[i : i + size]) for i in range(max(len(words) - size + 1, 1))} if words else set()
-
-
 def text_prints(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, text_hash, node (a hash of the text's words in lower case), n_words and fp of each row."""
     small_batches(docs.sparkSession)
@@ -221,8 +216,8 @@ def text_prints(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def nearest_pairs(fps: np.ndarray, radius: int, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of pairs within the radius, for each place its ``nearest`` ones, of equal ones the first; and the
-    places that have more. A pair may come both ways round. A pair that is left out has more at both ends."""
+    """Places of pairs within the radius: of each place all, or, if it has more than ``nearest``, the nearest one; and
+    the places that have more. A pair may come both ways round. A pair that is left out has more at both ends."""
     n, bits, found, more = len(fps), fps.view(np.uint64), [], []
     step = max(1, (1 << 20) // n)
     for begin in range(0, n, step):
@@ -231,8 +226,9 @@ def nearest_pairs(fps: np.ndarray, radius: int, nearest: int) -> tuple[np.ndarra
         fits[np.arange(len(fits)), begin + np.arange(len(fits))] = False
         over = np.flatnonzero(fits.sum(axis=1) > nearest)
         if len(over):
-            rank = np.where(fits[over], apart[over], 255) * np.int64(n) + np.arange(n)
-            fits[over] &= rank <= np.partition(rank, nearest - 1, axis=1)[:, nearest - 1 : nearest]
+            one = np.where(fits[over], apart[over], 255).argmin(axis=1)
+            fits[over] = False
+            fits[over, one] = True
             more.append(begin + over)
         i, j = np.nonzero(fits)
         found.append((begin + i, j))
@@ -300,67 +296,70 @@ def candidates(dealt: DataFrame, radius: int, nearest: int, limit: int) -> DataF
     return dealt.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
-def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and text of ``nodes`` (node, first), written: a node's text is that of its least doc_id."""
+def shingle_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and hs of ``nodes`` (node, first), written: hashes of the different shingles of a node's text, in order. The
+    text is that of the node's least doc_id; only texts of these nodes are moved."""
     first = nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     texts = texts.join(first, texts.doc_id.eqNullSafe(first._id) & (texts.text_hash == first._hash)).groupBy("node").agg(F.min("text").alias("text"))
-    return materialise(texts, "node-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = B.byte_values(6)
+        for batch in batches:
+            for begin, end in B.pieces(batch.column(1)):
+                data, at = B.utf8(batch.column(1)[begin:end])
+                starts, ends, counts = B.word_spans(data, at)
+                hashes, n = B.shingle_hashes(B.word_hashes(data, starts, ends, values, lower=True), counts, CHECKED_SHINGLE)
+                sets = [np.unique(x.view(np.int64)) for x in np.split(hashes, np.cumsum(n)[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[begin:end], pa.array(sets, pa.list_(pa.int64()))], names=["node", "hs"])
+
+    return materialise(texts.mapInArrow(trimmed(run), "node long, hs array<long>"), "shingles")
 
 
 def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (a, b) with ``alike``: whether the shingles of the two nodes' texts are. Texts of paired nodes alone
-    are moved."""
+    """``pairs`` (a, b) with ``alike``: whether the shingles of the two nodes' texts are. Each text's are hashed once."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = texts_of(nodes.join(ends, "node", "left_semi"), docs)
+    sets = shingle_sets(nodes.join(ends, "node", "left_semi"), docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                one, other = shingles(x, CHECKED_SHINGLE), shingles(y, CHECKED_SHINGLE)
-                common = len(one & other)
-                alike.append(common >= similarity * (len(one) + len(other) - common))
+            for one, other in zip(batch.column(2), batch.column(3)):
+                x, y = one.values.to_numpy(), other.values.to_numpy()
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], names=["a", "b", "alike"])
 
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
     return materialise(both.select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long, alike boolean"), "checked")
 
 
-def shingle_rows(texts: DataFrame) -> DataFrame:
-    """node, n and h: a row for each of the n different shingles of a text, by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = np.array([xxhash.xxh3_64_intdigest(x) for x in shingles(text, CHECKED_SHINGLE)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(np.full(len(h), len(h), np.int32)), pa.array(h)], names=["node", "n", "h"])
-
-    return materialise(texts.mapInArrow(trimmed(run), "node long, n int, h long"), "shingles")
-
-
-def rare_pairs(texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """``texts`` (node, text), ``roots`` (node, root) -> a, b: every pair of different roots whose shingles can be so
+def rare_pairs(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``sets`` (node, hs), ``roots`` (node, root) -> a, b: every pair of different roots whose shingles can be so
     alike. Two such texts share one of the first shingles of each, in any order that is one for all texts: of n
-    all but similarity * n, and one. The order is by number of texts, so common passages
+    all but similarity * n, and one; fewer of the text that has fewer. The order is by number of texts, so common passages
     come last and mostly aren't among the first, and a shingle of a single text pairs with nothing: a
     text with enough of them drops out at once."""
-    rows = shingle_rows(texts)
+    rows = sets.select("node", F.size("hs").alias("n"), F.explode("hs").alias("h"))
     shared = sized_join(rows, rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), ["h"])
     listed = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     own = F.col("n") - F.size("s")  # they come first
     wanted = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - own
     first = listed.where(wanted > 0).select("node", "n", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), wanted.cast("int"))).alias("i", "x"))
-    first = first.select("node", "n", (F.col("own") + F.col("i")).cast("int").alias("i"), "x.h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = first.select("node", "n", "own", "i", "x.h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = materialise(first, "first-shingles")
     apart = first.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
     first = first.join(apart, "h", "left_semi")
-    one, other = (first.select("h", *(F.col(c).alias(c + x) for c in ("node", "n", "i", "root"))) for x in ("1", "2"))
-    # what may still be in common before and after this shingle
-    most = F.least("i1", "i2") + 1 + F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2")) - 1
-    fits = (F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & (most * (1 + similarity) >= similarity * (F.col("n1") + F.col("n2")) - 1e-9)
-    return sized_join(one, other, ["h"]).where(fits).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    # of a pair the one with fewer shingles has more of them in common, so fewer of its own suffice
+    fewer = F.col("own") + F.col("i") < F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1
+    one, other = (x.select("h", *(F.col(c).alias(c + k) for c in ("node", "n", "own", "i", "root"))) for x, k in ((first.where(fewer), "1"), (first, "2")))
+    ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
+    # what may be in common: shared shingles before this one, and all from this one on
+    most = F.least("i1", "i2") + F.least(F.col("n1") - F.col("own1") - F.col("i1"), F.col("n2") - F.col("own2") - F.col("i2"))
+    fits = ordered & (F.col("root1") != F.col("root2")) & (most * (1 + similarity) >= similarity * (F.col("n1") + F.col("n2")) - 1e-9)
+    pairs = sized_join(one, other, ["h"]).where(fits)
+    return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def alike_groups(docs: DataFrame, radius: int, shingle: int, parts: int, similarity: float) -> DataFrame:
@@ -369,17 +368,21 @@ def alike_groups(docs: DataFrame, radius: int, shingle: int, parts: int, similar
     prints = materialise(text_prints(docs, shingle), "text-prints")
     nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n_words").alias("n_words"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     nodes = materialise(nodes, "nodes")
-    alone = nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n"))
+    alone = nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n"), F.min("n_words").alias("n_words"))
     found = materialise(candidates(in_buckets(alone.select("fp"), radius, parts), radius, NEAREST, WIDE_BUCKET), "candidates")
-    a, b = (alone.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n")) for x in ("a", "b"))
+    # texts that are joined by rare shingles: of crowded fingerprints, of one that several have, and short ones
+    crowded = found.where("b IS NULL").select(F.col("a").alias("fp"), F.lit(True).alias("crowded")).distinct()
+    alone = alone.join(crowded, "fp", "left").withColumn("open", F.coalesce("crowded", F.lit(False)) | (F.col("n") > 1) | (F.col("n_words") < SHORT))
+    alone = materialise(alone.select("fp", "node", "n", "open"), "fingerprints")
+    a, b = (alone.select(F.col("fp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "open"))) for x in ("a", "b"))
     paired = found.where("b IS NOT NULL").join(a, "a").join(b, "b")
-    sure = paired.where("a_n = 1 AND b_n = 1").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-    tried = checked(sure, docs, nodes, similarity)
+    # the others' pairs, and of open texts the surest, so that copies are one group before the join
+    sure = paired.where("a_n = 1 AND b_n = 1").where(~(F.col("a_open") & F.col("b_open")) | (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
+    tried = checked(sure.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")), docs, nodes, similarity)
     roots = materialise(components(tried.where("alike").select("a", "b")), "roots")
-    # texts with pairs that weren't given: of crowded buckets, of a fingerprint that several have, and short ones
-    crowded = found.where("b IS NULL").select(F.col("a").alias("fp")).unionByName(alone.where("n > 1").select("fp")).unionByName(paired.where("a_n > 1 OR b_n > 1").select(F.explode(F.array("a", "b")).alias("fp")))
-    open_nodes = nodes.join(crowded.distinct(), "fp", "left_semi").unionByName(nodes.where(F.col("n_words") < SHORT).select("fp", "node", "n_words", "first"))
-    rare = rare_pairs(texts_of(open_nodes.dropDuplicates(["node"]), docs), roots, similarity)
+    beside = paired.where("a_n > 1 OR b_n > 1").select(F.explode(F.array("a", "b")).alias("fp"))
+    open_nodes = nodes.join(alone.where("open").select("fp").unionByName(beside).distinct(), "fp", "left_semi")
+    rare = rare_pairs(shingle_sets(open_nodes, docs), roots, similarity)
     again = checked(rare.join(tried, ["a", "b"], "left_anti"), docs, nodes, similarity)
     roots = materialise(components(tried.unionByName(again).where("alike").select("a", "b")), "roots")
     return prints.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))

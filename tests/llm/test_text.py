@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 import sentencepiece
 import xxhash
 
@@ -348,6 +349,51 @@ def test_simhash_dedup_keeps_one_of_each_group(spark):
     assert ids.pop(50) == 2 and max(v for k, v in ids.items() if k) == 1  # 50 has two unlike texts, one of them repeated
 
 
+def test_unlike_texts_of_one_doc_id_stay(spark):
+    rng = random.Random(9)
+    one, other = words(rng, 80), words(rng, 80)
+    docs = documents(spark, [(3, one, "a"), (7, one, "b"), (7, other, "b"), (7, other, "c"), (7, one.upper(), "d")])
+    kept = [(r.doc_id, r.text) for r in simhash.deduplicated(docs).collect()]
+    assert sorted(kept) == sorted([(3, one), (7, other)])
+
+
+def test_boilerplate_makes_few_pairs(spark, monkeypatch):
+    """Unlike texts with 100 words in common: no more than a few pairs a text are ever compared."""
+    seen = []
+    plain = simhash.checked
+    monkeypatch.setattr(simhash, "checked", lambda pairs, *rest: seen.append(pairs.count()) or plain(pairs, *rest))
+    for n in (300, 600):
+        rng = random.Random(n)
+        common = words(rng, 100)
+        seen.clear()
+        assert simhash.deduplicated(documents(spark, [(i, f"{common} {words(rng, 24)}", "s") for i in range(n)])).count() == n
+        assert sum(seen) <= n
+
+
+def test_rare_shingles_find_every_alike_pair(spark):
+    """Against all pairs, for texts of 1 to 60 words, copies with one to three words changed, cut or moved."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        base = words(rng, rng.randint(1, 60)).split()
+        texts.append(base)
+        for _ in range(rng.randint(0, 4)):
+            other = list(base)
+            for _ in range(rng.randint(1, 3)):
+                k = rng.randrange(len(other))
+                other = rng.choice([other[:k] + [words(rng, 1)] + other[k + 1 :], other[k + 1 :] or other, other[:k] or other, other + words(rng, 2).split()])
+            texts.append(other)
+    texts = sorted({" ".join(t) for t in texts})
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    nodes = docs.select(F.col("doc_id").alias("node"), F.struct(F.lit(False).alias("none"), "doc_id", F.xxhash64("text").alias("text_hash")).alias("first"))
+    rootless = spark.createDataFrame([], "node long, root long")
+    pairs = simhash.rare_pairs(simhash.shingle_sets(nodes, docs), rootless, 0.8)
+    found = {(r.a, r.b) for r in pairs.collect()}
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if alike_by_hand(texts[i], texts[j]) >= 0.8}
+    assert want and want <= found
+    assert {(r.a, r.b) for r in simhash.checked(pairs, docs, nodes, 0.8).where("alike").collect()} == want
+
+
 def fold(i, n):
     return zlib.crc32(str(i).encode()) % n
 
