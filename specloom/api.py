@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specloom import dims
-from specloom.operators import checklist, markup_parse, matching, relations, requirements, text_parse
+from specloom.operators import checklist, markup_parse, matching, relations, requirements, structure, text_parse
 from specloom.operators.parsed import Parsed
 
 log = logging.getLogger("specloom")
@@ -135,21 +135,8 @@ class Engine:
         return {"_source": source} | ({"_sourceNote": dims.TEXT_NOTES[context]} if source == "text" else {})
 
     def get_rfc_structure(self, rfc: int, includeContent: bool = False) -> dict:
-        parsed, source = self.document(rfc)
-        doc = _rows(parsed.docs)[0]
-        blocks: dict[int, list] = {}
-        if includeContent:
-            for b in _rows(parsed.blocks.orderBy("sec_seq", "block_ord")):
-                blocks.setdefault(b["sec_seq"], []).append(_present({k: b[k] for k in ("type", "style", "language", "content", "items")}))
-        nodes, top = {}, []
-        for s in _rows(parsed.sections.orderBy("seq")):
-            node = _present({"number": s["number"], "title": s["title"], "anchor": s["anchor"]}) | ({"content": blocks.get(s["seq"], [])} if includeContent else {})
-            nodes[s["seq"]] = node
-            (top if s["parent_seq"] is None else nodes[s["parent_seq"]].setdefault("subsections", [])).append(node)
-        counts = _rows(relations.reference_counts(parsed.refs))
-        count = counts[0] if counts else {"normative": 0, "informative": 0}
-        meta = _present({"title": doc["title"], "docName": doc["doc_name"], "number": doc["number"]})
-        return {"metadata": meta, "sections": top, "referenceCount": {k: count[k] for k in ("normative", "informative")}} | self._source(source, "structure")
+        parsed, _ = self.document(rfc)
+        return json.loads(structure.structure_json(parsed, includeContent).head()["structure"])
 
     def _requirement(self, r: dict) -> dict:
         names = {"id": "id", "level": "level", "text": "text", "subject": "subject", "action": "action", "condition": "condition", "exception": "exception", "section": "section", "section_title": "sectionTitle", "full_context": "fullContext"}

@@ -88,6 +88,31 @@ def markup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.lit("xml").alias("source"), body.alias("body"))
 
 
+def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, body: a section a user whose paragraphs mix text and elements, with code, drawings and reference
+    groups; a paragraph and a reference for each event."""
+    rows = sentences(table(spark, sf_dir, "events"))
+    said = F.expr("""CASE e % 4 WHEN 0 THEN concat(' pre', e, ' <em>in', k, '</em> post', k) WHEN 1 THEN concat('<em>a', k, '</em> <strong>b', e, '</strong><em>c', k, '</em>')
+        WHEN 2 THEN concat('<span><em>x', e, '</em> <strong>y', k, '</strong><em>z', e, '</em></span>\n<em>w</em>') ELSE concat('<em>q', k, '</em> tail', e) END""")
+    code = F.expr("CASE e % 5 WHEN 0 THEN concat('<sourcecode type=\"t', e % 3, '\">r', e, ' = ', k, '</sourcecode>') WHEN 1 THEN concat('<artwork>+-', k, '-+</artwork>') WHEN 2 THEN '<artwork/>' WHEN 3 THEN concat('<sourcecode>', k, '</sourcecode>') ELSE '' END")
+    cited = F.expr("concat('<reference anchor=\"R', e, '\"><front><title>T', k, '</title></front><seriesInfo name=\"BCP\" value=\"1\"/><seriesInfo name=\"RFC\" value=\"', k, '\"/></reference>')")
+    grouped = F.when(F.expr("e % 3 = 1"), F.concat(F.lit('<referencegroup anchor="g">'), cited, F.lit("</referencegroup>"))).otherwise(cited)
+
+    def gathered(value: Column, only: str) -> Column:
+        return F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.expr(only), F.struct("e", value.alias("v"))))), lambda x: x["v"]), "")
+
+    parts = rows.groupBy("doc_id").agg(gathered(F.concat(F.lit("<t>"), said, F.lit("</t>"), code), "true").alias("t"), gathered(grouped, "e % 3 <> 2").alias("n"), gathered(grouped, "e % 3 = 2").alias("i"))
+    body = F.concat(F.lit('<rfc><front><title>M</title></front><middle><section pn="section-1"><name>One</name>'), "t", F.lit('</section></middle><back><references><references anchor="i"><name>Other</name>'), "i", F.lit('</references><references anchor="n"><name>Normative References</name>'), "n", F.lit("</references></references></back></rfc>"))
+    return parts.select("doc_id", body.alias("body"))
+
+
+def metadata_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, json: an answer for each event, every fourth one broken or of another shape."""
+    answer = F.expr("""CASE e % 8 WHEN 0 THEN concat('{"title": "T', e) WHEN 4 THEN concat('["', e, '"]')
+        ELSE concat('{"title": ', CASE WHEN e % 8 = 1 THEN 'null' ELSE concat('"T', e, '"') END, ', "time": "2024-01-', k, '", "std_level": "', element_at(array('Proposed Standard', 'Best Current Practice', 'Experimental', 'Historic', 'Internet Standard', 'other'), cast(e % 6 + 1 AS int)), '", "stream": "', element_at(array('ietf', 'IAB', 'irtf', 'ISE'), cast(k % 4 + 1 AS int)), '"', CASE WHEN e % 8 = 5 THEN ', "abstract": ""' WHEN e % 8 > 5 THEN concat(', "abstract": "about ', k, '"') ELSE '' END, '}') END""")
+    return sentences(table(spark, sf_dir, "events")).select(F.col("e").alias("doc_id"), answer.alias("json"))
+
+
 def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from specloom import dims
 from specloom.functions import text as X
-from specloom.operators import checklist, markup_parse, matching, relations, requirements, text_parse
+from specloom.operators import checklist, markup_parse, matching, relations, requirements, structure, text_parse
 from specloom.operators.parsed import Parsed
 from specloom.plans import corpus as C
 from specloom.sources import scan
@@ -274,6 +274,32 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).xrefs().select("doc_id", "sec_seq", "block_ord", "type", "target")
 
 
+def _tree_sql() -> str:
+    """tr: the sections of a document as JSON. Level by level, the deepest first: a section's text holds its children's."""
+    parts = [
+        "sp AS (SELECT s.*, (SELECT max(p.seq) FROM sec p WHERE p.doc_id = s.doc_id AND p.seq < s.seq AND p.depth < s.depth) AS parent_seq FROM sec s)",
+        """ct AS (SELECT doc_id, seq, string_agg('{"type":"text","content":' || to_json(content) || '}', ',' ORDER BY block_ord) AS c FROM par GROUP BY doc_id, seq)""",
+        """w0 AS (SELECT sp.doc_id, sp.seq, parent_seq, depth, '{"number":' || to_json(number) || ',"title":' || to_json(title) || ',"content":[' || coalesce(c, '') || ']' AS j FROM sp LEFT JOIN ct ON sp.doc_id = ct.doc_id AND sp.seq = ct.seq)""",
+        f"d{dims.MAX_DEPTH + 1} AS (SELECT doc_id, seq, parent_seq, j FROM w0 WHERE false)",
+    ]
+
+    def union(least: int) -> str:
+        return " UNION ALL ".join(f"SELECT * FROM d{d}" for d in range(least, dims.MAX_DEPTH + 2))
+
+    for d in range(dims.MAX_DEPTH, 0, -1):
+        below = f"SELECT doc_id, parent_seq, string_agg(j, ',' ORDER BY seq) AS s FROM ({union(d + 1)}) GROUP BY doc_id, parent_seq"
+        parts.append(f"""d{d} AS (SELECT w0.doc_id, w0.seq, w0.parent_seq, w0.j || coalesce(',"subsections":[' || k.s || ']', '') || '}}' AS j FROM w0 LEFT JOIN ({below}) k ON k.doc_id = w0.doc_id AND k.parent_seq = w0.seq WHERE w0.depth = {d})""")
+    return ", ".join([*parts, f"tr AS (SELECT doc_id, string_agg(j, ',' ORDER BY seq) AS s FROM ({union(1)}) WHERE parent_seq IS NULL GROUP BY doc_id)"])
+
+
+_STRUCTURE = """'{"metadata":{"title":' || to_json(title) || ',"number":' || ti.doc_id || '},"sections":[' || coalesce(s, '') || '],"referenceCount":{"normative":0,"informative":' || coalesce(n, 0) || '},"_source":"text","_sourceNote":"%s"}'""" % dims.TEXT_NOTES["structure"]
+
+
+@query(f"WITH {C.TEXT_SQL}, {_TITLE}, {_REFS}, {_tree_sql()} SELECT ti.doc_id, {_STRUCTURE} AS structure FROM ti LEFT JOIN tr ON ti.doc_id = tr.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM rf GROUP BY doc_id) r ON ti.doc_id = r.doc_id")
+def structure_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.structure_json(_parsed(spark, sf_dir), with_content=True)
+
+
 # -- sources
 
 
@@ -309,6 +335,15 @@ def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.with_fallback(xml, text).select("doc_id", "source", "body")
 
 
+_ANSWERS = f"""j0 AS (SELECT event_id AS e, json_extract_string(props, '$.k')::INTEGER AS k FROM events), j1 AS (SELECT *, e % 8 IN (0, 4) AS broken, ['Proposed Standard', 'Best Current Practice', 'Experimental', 'Historic', 'Internet Standard', 'other'][(e % 6 + 1)::INTEGER] AS level FROM j0)"""
+
+
+@query(f"""WITH {_ANSWERS} SELECT e AS number, CASE WHEN broken OR e % 8 = 1 THEN 'RFC ' || e ELSE 'T' || e END AS title, CASE WHEN broken THEN '' ELSE '2024-01-' || k END AS date, CASE WHEN broken THEN 'info' WHEN e % 6 IN (0, 4) THEN 'std' WHEN e % 6 = 1 THEN 'bcp' WHEN e % 6 = 2 THEN 'exp' WHEN e % 6 = 3 THEN 'historic' ELSE 'info' END AS category,
+CASE WHEN broken OR k % 4 = 0 THEN 'IETF' WHEN k % 4 = 1 THEN 'IAB' WHEN k % 4 = 2 THEN 'IRTF' ELSE 'independent' END AS stream, CASE WHEN e % 8 > 5 THEN 'about ' || k END AS abstract, CASE e % 8 WHEN 0 THEN '{{"title": "T' || e WHEN 4 THEN '["' || e || '"]' END AS rescued FROM j1""")
+def metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.metadata(C.metadata_answers(spark, sf_dir)).drop("authors")
+
+
 # -- marked-up documents
 
 
@@ -349,6 +384,28 @@ def xml_related_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.related_sections(_markup(spark, sf_dir, once=True)).select("doc_id", "section_id", "related_number", "related_title")
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> Parsed:
+    return markup_parse.parse_markup(C.mixed_documents(spark, sf_dir))
+
+
+#: A paragraph's own text, without what is inside its elements; only without any the elements', tag by tag.
+@query(f"WITH {C.EVENTS_SQL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1)::INTEGER AS block_ord, CASE e % 4 WHEN 0 THEN 'pre' || e || 'post' || k WHEN 1 THEN 'a' || k || ' c' || k || ' b' || e WHEN 2 THEN 'x' || e || ' z' || e || ' y' || k || ' w' ELSE 'tail' || e END AS content FROM ev")
+def xml_mixed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).blocks.where("type = 'text'").select("doc_id", "block_ord", "content")
+
+
+#: After all paragraphs, first code, then drawings; those without content or attributes are left out.
+@query(f"WITH {C.EVENTS_SQL}, n AS (SELECT doc_id, count(*) AS n FROM ev GROUP BY doc_id), b AS (SELECT doc_id, e, k, CASE WHEN e % 5 = 1 THEN 'artwork' ELSE 'sourcecode' END AS type FROM ev WHERE e % 5 IN (0, 1, 3)) SELECT b.doc_id, (n + row_number() OVER (PARTITION BY b.doc_id ORDER BY type DESC, e) - 1)::INTEGER AS block_ord, type, CASE WHEN e % 5 = 0 THEN 't' || e % 3 END AS language, CASE e % 5 WHEN 0 THEN 'r' || e || ' = ' || k WHEN 1 THEN '+-' || k || '-+' ELSE k::VARCHAR END AS content FROM b JOIN n ON b.doc_id = n.doc_id")
+def xml_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).blocks.where("type IN ('sourcecode', 'artwork')").select("doc_id", "block_ord", "type", "language", "content")
+
+
+#: Normative ones first, though their list comes second; of a list those in groups after the others.
+@query(f"WITH {C.EVENTS_SQL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY e % 3 = 2, e % 3 = 1, e) - 1)::INTEGER AS ref_ord, CASE WHEN e % 3 = 2 THEN 'informative' ELSE 'normative' END AS kind, 'R' || e AS anchor, k AS rfc_number, 'T' || k AS title FROM ev")
+def xml_reference_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).refs.select("doc_id", "ref_ord", "kind", "anchor", "rfc_number", "title")
+
+
 _TAGS = " UNION ALL ".join(f"SELECT page_id, '{t}' AS tag, unnest(range(0, len(x))) AS ord, unnest(x) AS y FROM (SELECT page_id, regexp_extract_all(html, '(?s)<{t}>(.*?)</{t}>', 1) AS x FROM pages)" for t in ("h1", "p", "li"))
 
 

@@ -62,12 +62,16 @@ def likely_xml(number: Column) -> Column:
 
 
 def metadata(responses: DataFrame) -> DataFrame:
-    """``responses`` (doc_id, json) -> metadata rows; what can't be read gives the least there is."""
-    j = F.from_json("json", "title string, time string, std_level string, stream string, abstract string")
-    rows = responses.select("doc_id", j.alias("j"))
+    """``responses`` (doc_id, json) -> metadata rows; what can't be read gives the least there is, and is kept in
+    ``rescued`` as it came."""
+    schema = "title string, time string, std_level string, stream string, abstract string, _rescued string"
+    j = F.from_json("json", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_rescued"})
+    rows = responses.select("doc_id", j.alias("j"), "json")
+    broken = F.col("json").isNotNull() & (F.col("j").isNull() | F.col("j._rescued").isNotNull())
+    whole = F.when(~broken, F.col("j"))
     return rows.select(
-        F.col("doc_id").alias("number"), F.coalesce(X.nonempty(F.col("j.title")), F.concat(F.lit("RFC "), F.col("doc_id").cast("string"))).alias("title"), F.array().cast("array<string>").alias("authors"), F.coalesce("j.time", F.lit("")).alias("date"),
-        X.category_of(F.col("j.std_level")).alias("category"), X.stream_of(F.col("j.stream")).alias("stream"), X.nonempty(F.col("j.abstract")).alias("abstract"),
+        F.col("doc_id").alias("number"), F.coalesce(X.nonempty(whole["title"]), F.concat(F.lit("RFC "), F.col("doc_id").cast("string"))).alias("title"), F.array().cast("array<string>").alias("authors"), F.coalesce(whole["time"], F.lit("")).alias("date"),
+        X.category_of(whole["std_level"]).alias("category"), X.stream_of(whole["stream"]).alias("stream"), X.nonempty(whole["abstract"]).alias("abstract"), F.when(broken, F.col("json")).alias("rescued"),
     )
 
 
