@@ -335,26 +335,33 @@ def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: flo
     return materialise(both.select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long, alike boolean"), "checked")
 
 
-def rare_pairs(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """``sets`` (node, hs), ``roots`` (node, root) -> a, b: every pair of different roots whose shingles can be so
-    alike. Two such texts share one of the first shingles of each, in any order that is one for all texts: of n
-    all but similarity * n, and one; fewer of the text that has fewer. The order is by number of texts, so common passages
-    come last and mostly aren't among the first, and a shingle of a single text pairs with nothing: a
-    text with enough of them drops out at once."""
+def first_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """``sets`` (node, hs) -> node, n, own, i, h, written: of each text the first of its n shingles, in an order that is one
+    for all texts: by number of texts, so common passages come last. Two texts that are so alike share one of the
+    first ones of each: all but similarity * n, and one. Shingles of a single text (own of them, in front) pair with
+    nothing, so they are left out, and a text with enough of them drops out at once."""
     rows = sets.select("node", F.size("hs").alias("n"), F.explode("hs").alias("h"))
     shared = sized_join(rows, rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), ["h"])
     listed = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
-    own = F.col("n") - F.size("s")  # they come first
+    own = F.col("n") - F.size("s")
     wanted = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - own
     first = listed.where(wanted > 0).select("node", "n", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), wanted.cast("int"))).alias("i", "x"))
-    first = first.select("node", "n", "own", "i", "x.h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = materialise(first, "first-shingles")
+    return materialise(first.select("node", "n", "own", "i", "x.h"), "first-shingles")
+
+
+def rare_pairs(first: DataFrame, roots: DataFrame, similarity: float, stars: bool = False) -> DataFrame:
+    """``first`` (of first_shingles), ``roots`` (node, root) -> a, b: every pair of different roots whose shingles can be
+    so alike. With ``stars`` of each shingle only the pairs with its least node: as many as there are rows, which
+    bring large groups of near copies together, so that few pairs of different roots are left."""
+    first = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = first.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
     first = first.join(apart, "h", "left_semi")
     # of a pair the one with fewer shingles has more of them in common, so fewer of its own suffice
     fewer = F.col("own") + F.col("i") < F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1
-    one, other = (x.select("h", *(F.col(c).alias(c + k) for c in ("node", "n", "own", "i", "root"))) for x, k in ((first.where(fewer), "1"), (first, "2")))
-    ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
+    columns = ("node", "n", "own", "i", "root")
+    centres = first.groupBy("h").agg(F.min(F.struct(*columns)).alias("x")).select("h", "x.*") if stars else first.where(fewer)
+    one, other = (x.select("h", *(F.col(c).alias(c + k) for c in columns)) for x, k in ((centres, "1"), (first, "2")))
+    ordered = F.col("node1") != F.col("node2") if stars else (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
     # what may be in common: shared shingles before this one, and all from this one on
     most = F.least("i1", "i2") + F.least(F.col("n1") - F.col("own1") - F.col("i1"), F.col("n2") - F.col("own2") - F.col("i2"))
     fits = ordered & (F.col("root1") != F.col("root2")) & (most * (1 + similarity) >= similarity * (F.col("n1") + F.col("n2")) - 1e-9)
@@ -382,9 +389,11 @@ def alike_groups(docs: DataFrame, radius: int, shingle: int, parts: int, similar
     roots = materialise(components(tried.where("alike").select("a", "b")), "roots")
     beside = paired.where("a_n > 1 OR b_n > 1").select(F.explode(F.array("a", "b")).alias("fp"))
     open_nodes = nodes.join(alone.where("open").select("fp").unionByName(beside).distinct(), "fp", "left_semi")
-    rare = rare_pairs(shingle_sets(open_nodes, docs), roots, similarity)
-    again = checked(rare.join(tried, ["a", "b"], "left_anti"), docs, nodes, similarity)
-    roots = materialise(components(tried.unionByName(again).where("alike").select("a", "b")), "roots")
+    first = first_shingles(shingle_sets(open_nodes, docs), similarity)
+    for stars in (True, False):
+        rare = rare_pairs(first, roots, similarity, stars).join(tried, ["a", "b"], "left_anti")
+        tried = tried.unionByName(checked(rare, docs, nodes, similarity))
+        roots = materialise(components(tried.where("alike").select("a", "b")), "roots")
     return prints.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 

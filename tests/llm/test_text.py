@@ -387,11 +387,13 @@ def test_rare_shingles_find_every_alike_pair(spark):
     docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
     nodes = docs.select(F.col("doc_id").alias("node"), F.struct(F.lit(False).alias("none"), "doc_id", F.xxhash64("text").alias("text_hash")).alias("first"))
     rootless = spark.createDataFrame([], "node long, root long")
-    pairs = simhash.rare_pairs(simhash.shingle_sets(nodes, docs), rootless, 0.8)
+    first = simhash.first_shingles(simhash.shingle_sets(nodes, docs), 0.8)
+    pairs = simhash.rare_pairs(first, rootless, 0.8)
     found = {(r.a, r.b) for r in pairs.collect()}
     want = {(i, j) for j in range(len(texts)) for i in range(j) if alike_by_hand(texts[i], texts[j]) >= 0.8}
     assert want and want <= found
     assert {(r.a, r.b) for r in simhash.checked(pairs, docs, nodes, 0.8).where("alike").collect()} == want
+    assert simhash.rare_pairs(first, rootless, 0.8, stars=True).count() <= first.count()
 
 
 def fold(i, n):
