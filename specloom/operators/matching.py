@@ -175,8 +175,13 @@ def conflicts(statements: DataFrame, requirements: DataFrame) -> DataFrame:
 def validity(statements: DataFrame, requirements: DataFrame | Index) -> DataFrame:
     """stmt_id, doc_id, n_matches (up to the limit), n_conflicts, is_valid and suggestions."""
     at = requirements if isinstance(requirements, Index) else index(requirements)
-    matches = scored(statements, at, dims.TOP_MATCHES).groupBy("stmt_id", "doc_id").agg(F.count("*").alias("n_matches"))
-    against = conflicts(statements, at.requirements).groupBy("stmt_id", "doc_id").agg(F.count("*").alias("n_conflicts"))
+    return judged(statements, scored(statements, at, dims.TOP_MATCHES), conflicts(statements, at.requirements))
+
+
+def judged(statements: DataFrame, matches: DataFrame, against: DataFrame) -> DataFrame:
+    """As validity, from what ``scored`` with the limit and ``conflicts`` gave."""
+    matches = matches.groupBy("stmt_id", "doc_id").agg(F.count("*").alias("n_matches"))
+    against = against.groupBy("stmt_id", "doc_id").agg(F.count("*").alias("n_conflicts"))
     rows = analysed(statements).join(matches, ["stmt_id", "doc_id"], "left").join(against, ["stmt_id", "doc_id"], "left").fillna(0, ["n_matches", "n_conflicts"])
     hints = F.array_compact(
         F.array(

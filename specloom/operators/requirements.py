@@ -24,11 +24,24 @@ def in_sections(section: Column, wanted: Sequence[str], with_subsections: bool =
     return found
 
 
-def marked_units(units: DataFrame, level: str | None = None) -> DataFrame:
-    """A row for each keyword of each unit; a level is filtered before anything is exploded."""
+def in_named_sections(section: Column, wanted: Column, with_subsections: Column) -> Column:
+    """As in_sections, where each row has an array of its own; an empty or null one: all."""
+    own = X.section_id(section)
+
+    def named(w: Column) -> Column:
+        w = X.section_id(w)
+        return (own == w) | (with_subsections & own.startswith(F.concat(w, F.lit("."))))
+
+    return (F.coalesce(F.size(wanted), F.lit(0)) <= 0) | F.exists(wanted, named)
+
+
+def marked_units(units: DataFrame, level: str | Column | None = None) -> DataFrame:
+    """A row for each keyword of each unit; a level, or each row's own, is filtered before anything is exploded."""
     found = X.markers(F.col("text"))
     marked = F.transform(found, lambda m, i: F.struct(i.alias("marker_ord"), m["level"].alias("level"), m["pos"].alias("pos")))
-    if level:
+    if isinstance(level, Column):
+        marked = F.filter(marked, lambda m: F.coalesce(m["level"] == level, F.lit(True)))
+    elif level:
         marked = F.filter(marked, lambda m: m["level"] == level)
     return units.select("*", F.explode(marked).alias("m")).select(*units.columns, "m.*")
 
@@ -39,7 +52,7 @@ def extract_requirements(parsed: Parsed, sections: Sequence[str] = (), level: st
     return extract_from(parsed.units().where(in_sections(F.col("section_id"), sections, with_subsections)), level, with_components)
 
 
-def extract_from(units: DataFrame, level: str | None = None, with_components: bool = True) -> DataFrame:
+def extract_from(units: DataFrame, level: str | Column | None = None, with_components: bool = True) -> DataFrame:
     """As extract_requirements, from units with section_id and section_title. One shuffle, by document."""
     rows = marked_units(units, level)
     rows = rows.withColumn("req_text", F.when(F.col("kind") == "text", X.sentence(F.col("text"), F.col("pos"))).otherwise(X.trim(F.col("text"))))
