@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from specloom import dims
 from specloom.functions import text as X
-from specloom.operators import checklist, markup_parse, matching, relations, requirements, structure, text_parse
+from specloom.operators import calls, checklist, markup_parse, matching, relations, requirements, structure, text_parse
 from specloom.operators.parsed import Parsed
 from specloom.plans import corpus as C
 from specloom.sources import scan
@@ -117,12 +117,16 @@ _TITLE = rf"ti AS (SELECT r.doc_id, coalesce(min_by(t, line_no) FILTER (line_no
 _PARTS = " || ".join(f"coalesce('{h}' || chr(10) || chr(10) || (SELECT string_agg('- [ ] ' || text || ' (' || section || ')', chr(10) ORDER BY req_ord) FROM cl WHERE cl.doc_id = ti.doc_id AND class = '{c}' AND {{role}}) || chr(10) || chr(10), '')" for c, h in checklist.HEADINGS.items())
 
 
-def _markdown(role: str | None) -> str:
+def _markdown_cte(role: str | None) -> str:
     only = "true" if not role else "(contains(coalesce(subject, ''), 'client') OR NOT contains(coalesce(subject, ''), 'server'))"
     said = f"'Role: {role}' || chr(10) || chr(10) || " if role else ""
     whole = f"'# RFC ' || doc_id || ' Implementation Checklist' || chr(10) || chr(10) || '**' || title || '**' || chr(10) || chr(10) || {said}'Generated: {STAMP}' || chr(10) || chr(10) || {_PARTS.format(role=only)}"
     # the last line is empty, and no newline follows it
-    return f"WITH {C.TEXT_SQL}, {_CLASSED}, {_TITLE}, md AS (SELECT doc_id, {whole} AS x FROM ti) SELECT doc_id, x[1:length(x) - 1] AS markdown FROM md"
+    return f"{_CLASSED}, {_TITLE}, md AS (SELECT doc_id, {whole} AS x FROM ti), mk AS (SELECT doc_id, x[1:length(x) - 1] AS markdown FROM md)"
+
+
+def _markdown(role: str | None) -> str:
+    return f"WITH {C.TEXT_SQL}, {_markdown_cte(role)} SELECT doc_id, markdown FROM mk"
 
 
 @query(_markdown(None))
@@ -300,6 +304,65 @@ def structure_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.structure_json(_parsed(spark, sf_dir), with_content=True)
 
 
+# -- tables of calls
+
+
+def _note_sql(context: str) -> str:
+    return f""","_source":"text","_sourceNote":"{dims.TEXT_NOTES[context]}\"}}"""
+
+
+def _requirement_sql(of: str, more: str = "''") -> str:
+    named = {"subject": "subject", "action": "action", "condition": "condition", "exception": "exception"}
+    parts = " || ".join(f"""coalesce(',"{n}":' || to_json({of}.{c}), '')""" for c, n in named.items())
+    return f"""'{{"id":' || to_json('R-' || {of}.section || '-' || {of}.n) || ',"level":' || to_json({of}.level) || ',"text":' || to_json({of}.text) || {parts} || ',"section":' || to_json({of}.section) || ',"sectionTitle":' || to_json({of}.section_title) || ',"fullContext":' || to_json({of}.full_context) || {more} || '}}'"""
+
+
+_HINTS = """list_filter([CASE WHEN m.j IS NULL THEN 'No matching requirements found. Try different keywords.' END, CASE WHEN c.j IS NOT NULL THEN 'Potential conflicts detected. Review the requirement levels (MUST/SHOULD/MAY) carefully.' END, CASE WHEN stmt_level IS NOT NULL AND stmt_subject IS NULL THEN 'Consider specifying the subject (e.g., "client", "server") for better matching.' END], lambda x: x IS NOT NULL)"""
+_CALLS = f"""ca AS (SELECT stmt_id AS call_id, doc_id, stmt_id % 9 AS tool, (1 + stmt_id % 7)::VARCHAR AS s, CASE WHEN stmt_id % 2 = 0 THEN 'MUST' END AS lv FROM st),
+q0 AS (SELECT call_id, structure AS text FROM ca JOIN (SELECT ti.doc_id, {_STRUCTURE} AS structure FROM ti LEFT JOIN tr ON ti.doc_id = tr.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM rf GROUP BY doc_id) r ON ti.doc_id = r.doc_id) x ON ca.doc_id = x.doc_id WHERE tool = 0),
+f1r AS (SELECT call_id, req.*, row_number() OVER (PARTITION BY call_id ORDER BY req_ord) AS n FROM ca JOIN req ON ca.doc_id = req.doc_id WHERE tool = 1 AND (section = s OR starts_with(section, s || '.')) AND (lv IS NULL OR level = lv)),
+f1l AS (SELECT call_id, string_agg('"' || level || '":' || k, ',' ORDER BY level) AS l FROM (SELECT call_id, level, count(*) AS k FROM f1r GROUP BY call_id, level) GROUP BY call_id),
+f1j AS (SELECT call_id, count(*) AS k, string_agg({_requirement_sql("f1r")}, ',' ORDER BY n) AS j FROM f1r GROUP BY call_id),
+q1 AS (SELECT ca.call_id, '{{"rfc":' || doc_id || ',"filter":{{"section":"' || s || '","level":"' || coalesce(lv, 'all') || '"}},"stats":{{"total":' || coalesce(k, 0) || ',"byLevel":{{' || coalesce(l, '') || '}}}},"requirements":[' || coalesce(j, '') || ']{_note_sql("requirements")}' AS text FROM ca LEFT JOIN f1l ON ca.call_id = f1l.call_id LEFT JOIN f1j ON ca.call_id = f1j.call_id WHERE tool = 1),
+f2j AS (SELECT doc_id, count(*) AS k, string_agg('{{"term":' || to_json(term) || ',"definition":' || to_json(definition) || ',"section":' || to_json(section) || '}}', ',' ORDER BY def_ord) AS j FROM df WHERE contains(lower(term), 'host') OR contains(lower(definition), 'host') GROUP BY doc_id),
+q2 AS (SELECT call_id, '{{"rfc":' || ca.doc_id || ',"searchTerm":"HOST","count":' || coalesce(k, 0) || ',"definitions":[' || coalesce(j, '') || ']{_note_sql("definitions")}' AS text FROM ca LEFT JOIN f2j ON ca.doc_id = f2j.doc_id WHERE tool = 2),
+f3j AS (SELECT doc_id, string_agg('{{"rfcNumber":' || rfc_number || ',"title":"RFC ' || rfc_number || '","anchor":"RFC' || rfc_number || '"}}', ',' ORDER BY ref_ord) AS j FROM rf GROUP BY doc_id),
+q3 AS (SELECT call_id, '{{"rfc":' || ca.doc_id || ',"normative":[],"informative":[' || coalesce(j, '') || ']{_note_sql("dependencies")}' AS text FROM ca LEFT JOIN f3j ON ca.doc_id = f3j.doc_id WHERE tool = 3),
+f4j AS (SELECT x2.doc_id, x2.seq, string_agg('{{"number":' || to_json(target) || ',"title":' || to_json(coalesce(o2.title, 'Unknown')) || '}}', ',' ORDER BY o) AS j FROM x2 LEFT JOIN ix ON x2.doc_id = ix.doc_id AND x2.target = ix.key LEFT JOIN sec o2 ON ix.doc_id = o2.doc_id AND ix.s = o2.seq GROUP BY x2.doc_id, x2.seq),
+q4 AS (SELECT call_id, CASE WHEN sec.seq IS NULL THEN '{{"error":"Section ' || ca.s || ' not found"}}' ELSE '{{"rfc":' || ca.doc_id || ',"section":"' || ca.s || '","title":' || to_json(sec.title) || ',"relatedSections":[' || coalesce(j, '') || ']{_note_sql("sections")}' END AS text FROM ca LEFT JOIN ix ON ca.doc_id = ix.doc_id AND ca.s = ix.key LEFT JOIN sec ON ix.doc_id = sec.doc_id AND ix.s = sec.seq LEFT JOIN f4j ON sec.doc_id = f4j.doc_id AND sec.seq = f4j.seq WHERE tool = 4),
+f5s AS ({_STATS.format(where="WHERE contains(coalesce(subject, ''), 'client') OR NOT contains(coalesce(subject, ''), 'server')")}),
+q5 AS (SELECT call_id, '{{"rfc":' || ca.doc_id || ',"role":"client","stats":{{"must":' || coalesce(must, 0) || ',"should":' || coalesce(should, 0) || ',"may":' || coalesce(may, 0) || ',"total":' || coalesce(total, 0) || '}},"markdown":' || to_json(markdown) || '{_note_sql("checklist")}' AS text FROM ca JOIN mk ON ca.doc_id = mk.doc_id LEFT JOIN f5s ON ca.doc_id = f5s.doc_id WHERE tool = 5),
+rn AS (SELECT *, req_ord AS n FROM req),
+f6s AS (SELECT stmt_id, doc_id, req_ord, score, matched, coalesce(req_subject = stmt_subject, false) AS sm, coalesce(level = stmt_level, false) AS lm, row_number() OVER (PARTITION BY stmt_id ORDER BY score DESC, req_ord) AS rank FROM sc WHERE score > 0),
+f6m AS (SELECT stmt_id, string_agg({_requirement_sql("rn", """',"_matchScore":' || score || ',"_matchedKeywords":' || CASE matched WHEN '' THEN '[]' ELSE to_json(string_split(matched, ' ')) END || ',"_subjectMatch":' || sm || ',"_levelMatch":' || lm""")}, ',' ORDER BY rank) AS j FROM f6s JOIN rn ON f6s.doc_id = rn.doc_id AND f6s.req_ord = rn.req_ord WHERE rank <= {dims.TOP_MATCHES} GROUP BY stmt_id),
+f6c AS (SELECT stmt_id, string_agg('{{"requirement":' || {_requirement_sql("rn")} || ',"reason":' || to_json(reason) || '}}', ',' ORDER BY rn.req_ord) AS j FROM cf JOIN rn ON cf.doc_id = rn.doc_id AND cf.req_ord = rn.req_ord GROUP BY stmt_id),
+q6 AS (SELECT call_id, '{{"rfc":' || sa.doc_id || ',"statement":' || to_json(statement) || ',"analysis":{{"detectedLevel":' || coalesce(to_json(stmt_level)::VARCHAR, 'null') || ',"detectedSubject":' || coalesce(to_json(stmt_subject)::VARCHAR, 'null') || '}},"isValid":' || (c.j IS NULL) || ',"matchingRequirements":[' || coalesce(m.j, '') || '],"conflicts":[' || coalesce(c.j, '') || ']' || CASE WHEN len({_HINTS}) > 0 THEN ',"suggestions":' || to_json({_HINTS}) ELSE '' END || '{_note_sql("validation")}' AS text
+  FROM ca JOIN sa ON ca.call_id = sa.stmt_id LEFT JOIN f6m m ON sa.stmt_id = m.stmt_id LEFT JOIN f6c c ON sa.stmt_id = c.stmt_id WHERE tool = 6),
+q7 AS (SELECT call_id, CASE tool WHEN 7 THEN '{{"error":"Unknown tool: summarise"}}' ELSE '{{"error":"RFC number must be positive, got ' || -doc_id || '"}}' END AS text FROM ca WHERE tool > 6)"""
+_TOOLS = ("get_rfc_structure", "get_requirements", "get_definitions", "get_rfc_dependencies", "get_related_sections", "generate_checklist", "validate_statement", "summarise", "get_definitions")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call for each statement, by its number one of seven tools, a tool that doesn't exist or a wrong number."""
+    at = F.expr("cast(stmt_id % 9 as int)")
+
+    def only(tool: int, value: str):
+        return F.when(at == tool, F.expr(value))
+
+    section = F.when(at.isin(1, 4), F.expr("cast(1 + stmt_id % 7 as string)"))
+    arguments = F.struct(
+        F.when(at == 8, -F.col("doc_id")).otherwise(F.col("doc_id")).alias("rfc"), only(0, "true").alias("includeContent"), section.alias("section"), only(1, "CASE WHEN stmt_id % 2 = 0 THEN 'MUST' END").alias("level"),
+        only(2, "'HOST'").alias("term"), only(5, "'client'").alias("role"), only(6, "statement").alias("statement"),
+    )
+    return C.statements(spark, sf_dir).select(F.col("stmt_id").alias("call_id"), F.get(F.array(*map(F.lit, _TOOLS)), at).alias("tool"), F.parse_json(F.to_json(arguments)).alias("arguments"))
+
+
+@query(f"WITH {C.TEXT_SQL}, {C.STATEMENTS_SQL}, {C.CONFLICTS_SQL}, {_markdown_cte('client')}, {_DEF}, {_REFS}, {_XREFS}, {_tree_sql()}, {_CALLS} SELECT ca.call_id, {list(_TOOLS)}[ca.tool + 1] AS tool, q.text, ca.tool > 6 AS is_error FROM ca JOIN ({' UNION ALL '.join(f'SELECT * FROM q{i}' for i in range(8))}) q ON ca.call_id = q.call_id")
+def call_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = C.text_documents(spark, sf_dir).withColumn("source", F.lit("text"))
+    return calls.call_batch(_asked(spark, sf_dir), raw, text_parse.parse_text, STAMP)
+
+
 # -- sources
 
 
