@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import urllib.request
+import json
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor, as_completed
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from specloom import dims
 from specloom.functions import text as X
+from specloom.sources.race import race
 
 # Where documents come from, by priority.
 XML_SOURCES = {"rfcEditor": "https://www.rfc-editor.org/rfc/rfc{n}.xml", "ietfTools": "https://xml2rfc.ietf.org/public/rfc/rfc{n}.xml", "datatracker": "https://datatracker.ietf.org/doc/rfc{n}/xml/"}
 TEXT_SOURCES = {"rfcEditor": "https://www.rfc-editor.org/rfc/rfc{n}.txt", "ietfTools": "https://tools.ietf.org/rfc/rfc{n}.txt"}
 METADATA_SOURCE = "https://datatracker.ietf.org/api/v1/doc/document/rfc{n}/"
-TIMEOUT_S = 30
+TIMEOUT_S = 30  # of all sources of a document together
 
 
 def read_folder(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -81,8 +81,11 @@ class _Number(InputPartition):
 
 
 class HttpDocuments(DataSource):
-    """``spark.read.format("spec_http").option("numbers", "1,2").option("kind", "xml")``: a partition
-    for each number; its sources are asked at once and the first valid answer counts."""
+    """``spark.read.format("spec_http").option("kind", "xml").load().where("doc_id IN (1, 2)")``: a partition for
+    each number; its sources are asked at once and the first valid answer counts. Numbers come from filters
+    on doc_id, from the option ``numbers`` ("1,2"), or, where both are given, from what they share. Other
+    options: ``timeout``, the seconds that all sources of a document have together, and ``sources``, JSON of names
+    and addresses with ``{n}``. Filters are pushed down once ``register`` has set what Spark needs for it."""
 
     @classmethod
     def name(cls) -> str:
@@ -95,33 +98,40 @@ class HttpDocuments(DataSource):
         return _HttpReader(self.options)
 
 
+def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(HttpDocuments)
+
+
 class _HttpReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.numbers = [int(x) for x in options["numbers"].split(",")]
+        listed = options.get("numbers")
+        self.numbers = None if listed is None else sorted({int(x) for x in listed.split(",")})
         self.kind = options.get("kind", "xml")
-        self.templates = XML_SOURCES if self.kind == "xml" else TEXT_SOURCES
+        self.timeout = float(options.get("timeout", TIMEOUT_S))
+        named = options.get("sources")
+        self.templates = json.loads(named) if named else XML_SOURCES if self.kind == "xml" else TEXT_SOURCES
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            wanted = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if wanted is None or f.attribute != ("doc_id",):
+                yield f
+            else:
+                wanted.discard(None)
+                self.numbers = sorted(wanted if self.numbers is None else wanted & set(self.numbers))
 
     def partitions(self) -> list[InputPartition]:
+        if self.numbers is None:
+            raise ValueError("spec_http needs numbers: a filter on doc_id (=, IN) or the option numbers")
         return [_Number(n) for n in self.numbers]
 
-    def read(self, partition: _Number) -> Iterator[tuple]:
-        def get(url: str) -> str:
-            with urllib.request.urlopen(url, timeout=TIMEOUT_S) as r:
-                body = r.read().decode(errors="replace")
-            if not any(x in body for x in (("<?xml", "<rfc") if self.kind == "xml" else ("Request for Comments", "RFC "))):
-                raise ValueError("Invalid content")
-            return body
-
-        errors = []
-        with ThreadPoolExecutor(len(self.templates)) as pool:
-            asked = {pool.submit(get, t.format(n=partition.number)): name for name, t in self.templates.items()}
-            for f in as_completed(asked):
-                try:
-                    body = f.result()
-                except Exception as e:  # any failure of one source leaves the others
-                    errors.append(f"{asked[f]}: {e}")
-                else:
-                    pool.shutdown(wait=False, cancel_futures=True)
-                    yield partition.number, asked[f], body, None
-                    return
-        yield partition.number, None, None, f"All sources failed: {'; '.join(errors)}"
+    def _valid(self, body: str) -> bool:
+        return any(x in body for x in (("<?xml", "<rfc") if self.kind == "xml" else ("Request for Comments", "RFC ")))
+
+    def read(self, partition: _Number | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark reads where there are no partitions
+            return
+        n = partition.number
+        answers = race({name: t.format(n=n) for name, t in self.templates.items()}, self.timeout, self._valid)
+        yield n, answers.name, answers.body, None if answers.name else f"All sources failed: {'; '.join(answers.errors)}"

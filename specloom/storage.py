@@ -60,3 +60,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession) -> None:
     """Delete what ``materialise`` wrote for this application, once its results are no longer read."""
     _delete(spark, f"{shared_dir(spark)}/specloom/{spark.sparkContext.applicationId}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
