@@ -6,12 +6,13 @@ learner is FTRL-proximal: a rate for each coordinate and L1, which leaves most w
 is left is sent to the tasks as two short sorted arrays; a document's score needs its features with
 a weight only.
 
-Learning takes a bounded sample of labelled rows (``max_rows``, those with the least hash of doc_id)
-from the training fold: rows whose crc32(doc_id as text) mod 4 is not 2.
+Learning takes a bounded sample of labelled rows from the training fold (rows whose crc32(doc_id as text)
+mod 4 is not 2): those with the least hash of doc_id, ``max_rows`` at most and so many that their texts
+have ``max_bytes`` bytes at most.
 
 Defined cases: a null text is empty and scores as the bias alone; rows with a null label or doc_id
-aren't learnt from; a very long text is learnt from by ``MAX_FEATURES`` features and scored by all;
-repeated labels of a doc_id count once, the lowest; without labelled rows every
+aren't learnt from; a text is learnt from and scored by all its features, however many, but one of over a 16th
+of ``max_bytes`` isn't learnt from; repeated labels of a doc_id count once, the lowest; without labelled rows every
 score is 0.5; repeated rows score alike; an empty table gives an empty result; only doc_id and text
 are read.
 """
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom.llm import bytesops as B
@@ -32,8 +33,8 @@ from specloom.llm.quality_classifier import in_fold, sampled_labels
 
 BITS = 20
 MAX_ROWS = 6_000
-#: Features of a row that are learnt from, those with the least place: bounds what the driver gets.
-MAX_FEATURES = 16_384
+#: Bytes of the texts that are learnt from, together: bounds what the driver gets (three features a word, four bytes each).
+MAX_BYTES = 64 << 20
 #: Chosen by log loss inside the training fold: learnt on crc32 mod 4 in (0, 1), measured on 3.
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 12.0, 1.0, 5
 _VALUES = B.byte_values(9)
@@ -93,9 +94,18 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray) -> Weights:
     return Weights(place, weight.astype(np.float32), -zb / ((BETA + nb**0.5) / ALPHA))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Weights:
+def sampled(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
+    """doc_id, y of the rows to learn from. One task gets max_rows sizes of texts, and no texts."""
+    rows = sampled_labels(labels, "toxic", in_fold(4, 2), max_rows)
+    size = F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")
+    sizes = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "y").agg(size)
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return sizes.where(F.col("size") <= max_bytes // 16).withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).select("doc_id", "y")
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Weights:
     small_batches(docs.sparkSession)
-    sample = sampled_labels(labels, "toxic", in_fold(4, 2), max_rows)
+    sample = sampled(docs, labels, max_rows, max_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,7 +114,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Weigh
                 pairs = np.unique((rows << BITS) | found)
                 cuts = np.searchsorted(pairs >> BITS, np.arange(int(pairs[-1] >> BITS) + 2)) if len(pairs) else [0]
                 for i, (a, c) in enumerate(zip(cuts, cuts[1:])):
-                    own[begin + i] = (pairs[a : min(c, a + MAX_FEATURES)] & ((1 << BITS) - 1)).astype(np.int32)
+                    own[begin + i] = (pairs[a:c] & ((1 << BITS) - 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
 
     # max_rows bounds what is broadcast; a doc_id's first row by features is the one learnt from

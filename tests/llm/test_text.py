@@ -463,6 +463,24 @@ def test_statistics_by_hand():
     assert (got[1] == got[2]).all() and np.isfinite(got).all()
 
 
+def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
+    ids = [i for i in range(200) if fold(i, 4) != 2][:6]
+    long, seen = " ".join(f"w{i}" for i in range(30_000)), []
+    docs = documents(spark, [(ids[0], long, "s"), *[(i, f"plain text number {i}", "s") for i in ids[1:5]], (ids[5], None, "s")])
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "ftrl", lambda rows, y: seen.append(rows))
+    toxicity.learn(docs, labels)
+    got = sorted(map(len, seen.pop()))
+    assert len(got) == 6 and got[0] == 0 and got[-1] > 80_000  # 89,997 features, a few of them in one place
+    toxicity.learn(docs, labels, max_bytes=16 * 60)  # too little for the long one
+    assert max(map(len, seen[-1])) < 20 and len(seen.pop()) == 5
+    toxicity.learn(docs, labels, max_bytes=16 * len(long))
+    assert len(seen.pop()) == 6
+    sizes = [len(f"plain text number {i}") for i in ids[1:5]]
+    few = toxicity.sampled(docs.where("doc_id <> %d" % ids[0]), labels, 100, 16 * max(sizes)).count()
+    assert few == 5 and toxicity.sampled(docs, labels, 2, 1 << 30).count() == 2
+
+
 def test_toxicity_holds_out(spark):
     rows, truth, labels = labelled(spark, random.Random(2), "toxic")
     docs = documents(spark, rows + [(900, None, None), (901, "", None), (902, "x " * 100_000 + "foul", None)])
