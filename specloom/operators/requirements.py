@@ -52,18 +52,27 @@ def extract_requirements(parsed: Parsed, sections: Sequence[str] = (), level: st
     return extract_from(parsed.units().where(in_sections(F.col("section_id"), sections, with_subsections)), level, with_components)
 
 
-def extract_from(units: DataFrame, level: str | Column | None = None, with_components: bool = True) -> DataFrame:
-    """As extract_requirements, from units with section_id and section_title. One shuffle, by document."""
+def unnumbered(units: DataFrame, level: str | Column | None = None, with_components: bool = True) -> DataFrame:
+    """The columns of ``units`` and ORDER, with level, req_text and components: made row by row."""
     rows = marked_units(units, level)
     rows = rows.withColumn("req_text", F.when(F.col("kind") == "text", X.sentence(F.col("text"), F.col("pos"))).otherwise(X.trim(F.col("text"))))
     parts = X.components(F.when(F.col("kind") == "text", F.col("req_text")).otherwise(F.col("text")), F.col("level")) if with_components else {c: F.lit(None).cast("string") for c in ("subject", "action", "condition", "exception")}
-    order = Window.partitionBy("doc_id").orderBy(*ORDER)
-    rows = rows.withColumns(parts).withColumn("req_ord", F.row_number().over(order))
+    return rows.withColumns(parts)
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """Requirements of rows that have their number in req_ord."""
     return rows.select(
         "doc_id", "req_ord", F.concat(F.lit("R-"), "section_id", F.lit("-"), F.col("req_ord").cast("string")).alias("id"), "level", F.col("req_text").alias("text"), "subject", "action", "condition", "exception", F.col("section_id").alias("section"), "section_title", F.col("text").alias("full_context"),
     )
 
 
+def extract_from(units: DataFrame, level: str | Column | None = None, with_components: bool = True) -> DataFrame:
+    """As extract_requirements, from units with section_id and section_title. One shuffle, by document."""
+    order = Window.partitionBy("doc_id").orderBy(*ORDER)
+    return named(unnumbered(units, level, with_components).withColumn("req_ord", F.row_number().over(order)))
+
+
 def count_by_level(requirements: DataFrame) -> DataFrame:
     """doc_id, level, n; only levels that occur."""
     return requirements.groupBy("doc_id", "level").agg(F.count("*").alias("n"))
