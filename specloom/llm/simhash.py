@@ -57,6 +57,8 @@ WIDE_BUCKET, NEAREST = 1 << 14, 8
 #: Texts of fewer words all go by rare shingles: a few changed words move their fingerprints too far. Of texts
 #: that are alike the longer one has at most a quarter more shingles, so pairs of up to 128 words are whole.
 SHORT = 164
+#: Words of 64 bits that hold the parities of a text's shingles.
+PARITY = 8
 #: Fingerprints of a bucket that is compared with others at once.
 SMALL = 24
 #: Shingles whose bits are unpacked at once.
@@ -297,7 +299,8 @@ def candidates(dealt: DataFrame, radius: int, nearest: int, limit: int) -> DataF
 
 
 def shingle_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and hs of ``nodes`` (node, first), written: hashes of the different shingles of a node's text, in order. The
+    """node, hs and parity of ``nodes`` (node, first), written: hashes of the different shingles of a node's text, in order,
+    and for each remainder of these by 64 * PARITY a bit that tells whether an odd number has it. The
     text is that of the node's least doc_id; only texts of these nodes are moved."""
     first = nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     text = F.coalesce("text", F.lit(""))
@@ -312,9 +315,11 @@ def shingle_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 starts, ends, counts = B.word_spans(data, at)
                 hashes, n = B.shingle_hashes(B.word_hashes(data, starts, ends, values, lower=True), counts, CHECKED_SHINGLE)
                 sets = [np.unique(x.view(np.int64)) for x in np.split(hashes, np.cumsum(n)[:-1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[begin:end], pa.array(sets, pa.list_(pa.int64()))], names=["node", "hs"])
+                odd = [np.bincount((x.view(np.uint64) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY).astype(np.uint8) & 1 for x in sets]
+                parity = [np.packbits(x).view(np.int64) for x in odd]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[begin:end], *(pa.array(x, pa.list_(pa.int64())) for x in (sets, parity))], names=["node", "hs", "parity"])
 
-    return materialise(texts.mapInArrow(trimmed(run), "node long, hs array<long>"), "shingles")
+    return materialise(texts.mapInArrow(trimmed(run), "node long, hs array<long>, parity array<long>"), "shingles")
 
 
 def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -336,7 +341,7 @@ def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: flo
 
 
 def first_shingles(sets: DataFrame, similarity: float) -> DataFrame:
-    """``sets`` (node, hs) -> node, n, own, i, h, written: of each text the first of its n shingles, in an order that is one
+    """``sets`` (node, hs, parity) -> node, n, own, i, h, parity, written: of each text the first of its n shingles, in an order that is one
     for all texts: by number of texts, so common passages come last. Two texts that are so alike share one of the
     first ones of each: all but similarity * n, and one. Shingles of a single text (own of them, in front) pair with
     nothing, so they are left out, and a text with enough of them drops out at once."""
@@ -345,8 +350,8 @@ def first_shingles(sets: DataFrame, similarity: float) -> DataFrame:
     listed = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     own = F.col("n") - F.size("s")
     wanted = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - own
-    first = listed.where(wanted > 0).select("node", "n", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), wanted.cast("int"))).alias("i", "x"))
-    return materialise(first.select("node", "n", "own", "i", "x.h"), "first-shingles")
+    first = listed.where(wanted > 0).join(sets.select("node", "parity"), "node").select("node", "n", "parity", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), wanted.cast("int"))).alias("i", "x"))
+    return materialise(first.select("node", "n", "own", "i", "x.h", "parity"), "first-shingles")
 
 
 def rare_pairs(first: DataFrame, roots: DataFrame, similarity: float, stars: bool = False) -> DataFrame:
@@ -358,13 +363,17 @@ def rare_pairs(first: DataFrame, roots: DataFrame, similarity: float, stars: boo
     first = first.join(apart, "h", "left_semi")
     # of a pair the one with fewer shingles has more of them in common, so fewer of its own suffice
     fewer = F.col("own") + F.col("i") < F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1
-    columns = ("node", "n", "own", "i", "root")
+    columns = ("node", "n", "own", "i", "root", "parity")
     centres = first.groupBy("h").agg(F.min(F.struct(*columns)).alias("x")).select("h", "x.*") if stars else first.where(fewer)
     one, other = (x.select("h", *(F.col(c).alias(c + k) for c in columns)) for x, k in ((centres, "1"), (first, "2")))
     ordered = F.col("node1") != F.col("node2") if stars else (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
+    fits = ordered & (F.col("root1") != F.col("root2"))
     # what may be in common: shared shingles before this one, and all from this one on
-    most = F.least("i1", "i2") + F.least(F.col("n1") - F.col("own1") - F.col("i1"), F.col("n2") - F.col("own2") - F.col("i2"))
-    fits = ordered & (F.col("root1") != F.col("root2")) & (most * (1 + similarity) >= similarity * (F.col("n1") + F.col("n2")) - 1e-9)
+    rest = F.least(F.col("n1") - F.col("own1") - F.col("i1"), F.col("n2") - F.col("own2") - F.col("i2"))
+    enough = similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-9
+    # bits of parity that differ: at most as many as there are shingles of one text only
+    differ = sum((F.bit_count(F.col("parity1")[k].bitwiseXOR(F.col("parity2")[k])) for k in range(1, PARITY)), F.bit_count(F.col("parity1")[0].bitwiseXOR(F.col("parity2")[0])))
+    fits &= (F.least("i1", "i2") + rest >= enough) & ((F.col("n1") + F.col("n2") - differ) / 2 >= enough)
     pairs = sized_join(one, other, ["h"]).where(fits)
     return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
@@ -382,9 +391,15 @@ def alike_groups(docs: DataFrame, radius: int, shingle: int, parts: int, similar
     alone = alone.join(crowded, "fp", "left").withColumn("open", F.coalesce("crowded", F.lit(False)) | (F.col("n") > 1) | (F.col("n_words") < SHORT))
     alone = materialise(alone.select("fp", "node", "n", "open"), "fingerprints")
     a, b = (alone.select(F.col("fp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "open"))) for x in ("a", "b"))
-    paired = found.where("b IS NOT NULL").join(a, "a").join(b, "b")
+    # two crowded ones are open both, so only the surest of their pairs are of use
+    far = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > RADIUS
+    pairs = found.where("b IS NOT NULL")
+    for x in ("a", "b"):
+        pairs = pairs.join(crowded.select(F.col("fp").alias(x), F.col("crowded").alias(f"{x}_crowded")), x, "left")
+    pairs = pairs.where(~far | F.col("a_crowded").isNull() | F.col("b_crowded").isNull()).select("a", "b")
+    paired = materialise(pairs.join(a, "a").join(b, "b"), "paired")
     # the others' pairs, and of open texts the surest, so that copies are one group before the join
-    sure = paired.where("a_n = 1 AND b_n = 1").where(~(F.col("a_open") & F.col("b_open")) | (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
+    sure = paired.where("a_n = 1 AND b_n = 1").where(~(far & F.col("a_open") & F.col("b_open")))
     tried = checked(sure.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")), docs, nodes, similarity)
     roots = materialise(components(tried.where("alike").select("a", "b")), "roots")
     beside = paired.where("a_n > 1 OR b_n > 1").select(F.explode(F.array("a", "b")).alias("fp"))
