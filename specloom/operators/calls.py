@@ -2,7 +2,8 @@
 
 Calls of one tool with the same document and arguments are answered once. Only documents that somebody
 asks for are parsed, and each tool parses those of its own calls. A call's filters come from columns, so a
-tool's calls go through one plan, however many there are. A call of ``get_requirements`` or
+tool's calls go through one plan, however many there are, whose answers are written before the next tool's: the driver
+never holds what several tools broadcast. A call of ``get_requirements`` or
 ``generate_checklist`` is handled as a document of its own, made of the units its filters leave.
 
 Defined cases: an unknown tool, a number that isn't one, isn't whole or is out of range, a missing argument and
@@ -22,7 +23,7 @@ from specloom.functions import text as X
 from specloom.operators import checklist, matching, relations, requirements, structure
 from specloom.operators.joins import sized_join
 from specloom.operators.parsed import Parsed
-from specloom.storage import materialise
+from specloom.storage import written
 
 #: Arguments of each tool besides the document's number: name -> (column, type).
 ARGUMENTS: dict[str, dict[str, tuple[str, str]]] = {
@@ -165,8 +166,8 @@ def _checklists(mine: DataFrame, parsed: Parsed, stamp: str) -> DataFrame:
 def _validations(mine: DataFrame, parsed: Parsed) -> DataFrame:
     said = mine.select(F.col("call_id").alias("stmt_id"), "doc_id", "statement")
     at = matching.index(requirements.extract_requirements(parsed))
-    best = materialise(matching.best_matches(matching.scored(said, at, dims.TOP_MATCHES)), "best")
-    against = materialise(matching.conflicts(said, at.requirements), "conflicts")
+    best = written(matching.best_matches(matching.scored(said, at, dims.TOP_MATCHES)), "best")
+    against = written(matching.conflicts(said, at.requirements), "conflicts")
     extra = [F.col(c).alias(n) for c, n in {"score": "_matchScore", "matched_keywords": "_matchedKeywords", "subject_match": "_subjectMatch", "level_match": "_levelMatch"}.items()]
     matches = best.groupBy("stmt_id").agg(_listed(["rank"], _requirement(*extra)).alias("matches"))
     one = F.concat(F.lit('{"requirement":'), _requirement(), F.lit(","), F.expr("substring(to_json(struct(reason)), 2)"))
@@ -181,18 +182,18 @@ def _validations(mine: DataFrame, parsed: Parsed) -> DataFrame:
 def call_batch(calls: DataFrame, raw: DataFrame, parse: Callable[[DataFrame], Parsed], generated_at: str) -> DataFrame:
     """``calls`` (call_id, tool, arguments VARIANT) over ``raw`` (doc_id, source, body, and optionally error) ->
     call_id, tool, text, is_error. ``text`` is the answer or ``{"error": message}`` as JSON."""
-    said = materialise(checked(calls), "calls")
+    said = written(checked(calls), "calls")
     wanted = said.where("error IS NULL").select("doc_id").distinct()
     own = raw.select(F.col("doc_id").cast("int").alias("doc_id"), "source", "body", *(["error"] if "error" in raw.columns else []))
     if "error" not in raw.columns:
         own = own.withColumn("error", F.lit(None).cast("string"))
-    docs = materialise(own.join(wanted, "doc_id", "left_semi"), "asked")
+    docs = written(own.join(wanted, "doc_id", "left_semi"), "asked")
     status = docs.select("doc_id", F.col("source").isNotNull().alias("_there"), F.col("error").alias("_why"))
     failure = F.coalesce("error", F.when(~F.coalesce("_there", F.lit(False)), F.coalesce("_why", F.concat(F.lit("Could not fetch RFC "), F.col("doc_id").cast("string"), F.lit(".")))))
-    said = said.join(status, "doc_id", "left").withColumn("error", failure).drop("_there", "_why")
+    said = written(said.join(status, "doc_id", "left").withColumn("error", failure).drop("_there", "_why"), "known")
     # calls that ask the same are answered once, under the least call_id
     asked = ["tool", "doc_id", *_COLUMNS]
-    good = materialise(said.where("error IS NULL").groupBy(*asked).agg(F.min("call_id").alias("request")), "requests")
+    good = written(said.where("error IS NULL").groupBy(*asked).agg(F.min("call_id").alias("request")), "requests")
     answers: dict[str, Callable[[DataFrame, Parsed], DataFrame]] = {
         "get_rfc_structure": _structures, "get_requirements": _requirements, "get_definitions": _definitions, "get_rfc_dependencies": _dependencies,
         "get_related_sections": _related, "generate_checklist": lambda m, p: _checklists(m, p, generated_at), "validate_statement": _validations,
@@ -201,9 +202,10 @@ def call_batch(calls: DataFrame, raw: DataFrame, parse: Callable[[DataFrame], Pa
     for tool, answer in answers.items():
         mine = good.where(F.col("tool") == tool).withColumnRenamed("request", "call_id")
         texts = answer(mine, parse(docs.drop("error").join(mine.select("doc_id").distinct(), "doc_id", "left_semi"))).select(F.col("call_id").alias("request"), "text")
+        texts = written(texts, f"answers-{tool}")
         found = texts if found is None else found.unionByName(texts)
     named = good.select("request", *[F.col(c).alias(f"_{c}") for c in asked])
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in asked]
-    rest = said.where("error IS NULL").join(named, same).select("call_id", "tool", "request").join(found, "request").select("call_id", "tool", "text", F.lit(False).alias("is_error"))
+    rest = written(said.where("error IS NULL").join(named, same).select("call_id", "tool", "request"), "answered").join(found.hint("merge"), "request").select("call_id", "tool", "text", F.lit(False).alias("is_error"))
     failed = said.where("error IS NOT NULL").select("call_id", "tool", _object("error").alias("text"), F.lit(True).alias("is_error"))
     return rest.unionByName(failed)
