@@ -1,9 +1,32 @@
 """Best matches from blocks and slices, and what joins broadcast."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from specloom import storage
-from specloom.operators import joins
+from specloom import dims, storage
+from specloom.operators import joins, matching
+from tests.test_matching import SCHEMA, by_hand, made
+
+SAID = "stmt_id int, doc_id int, statement string"
+
+
+def best_by_hand(want):
+    best = {}
+    for (s, d, i), (score, found) in want.items():
+        best.setdefault(s, []).append((-score, d, i, found))
+    return {(s, d, i): (-score, found) for s, rows in best.items() for score, d, i, found in sorted(rows)[: dims.TOP_MATCHES]}
+
+
+def test_slices_and_chunks_of_the_corpus(spark, monkeypatch):
+    for name, value in (("BLOCK", 7), ("SLICE", 20), ("CHUNK", 5)):
+        monkeypatch.setattr(matching, name, value)
+    rows, said = made(random.Random(8), docs=4, reqs=30)
+    said += [(200 + k, d, s) for k, (_, d, s) in enumerate(said)]  # each twice
+    statements = spark.createDataFrame(said, SAID)
+    got = {(r.stmt_id, r.doc_id, r.req_ord): (r.score, r.matched_keywords) for r in matching.scored(statements, spark.createDataFrame(rows, SCHEMA), dims.TOP_MATCHES, True).collect()}
+    assert got == best_by_hand(by_hand(spark, rows, said, True))
+    assert matching.scored(statements, spark.createDataFrame([], SCHEMA), 10, True).count() == matching.scored(statements.limit(0), spark.createDataFrame(rows, SCHEMA), 10, True).count() == 0
 
 
 def _plan(df):
