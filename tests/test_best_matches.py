@@ -29,6 +29,15 @@ def test_slices_and_chunks_of_the_corpus(spark, monkeypatch):
     assert matching.scored(statements, spark.createDataFrame([], SCHEMA), 10, True).count() == matching.scored(statements.limit(0), spark.createDataFrame(rows, SCHEMA), 10, True).count() == 0
 
 
+def test_blocks_parts_and_masks(spark, monkeypatch):
+    for name, value in (("BLOCK", 7), ("SIDE", 3), ("BITS", 5)):
+        monkeypatch.setattr(matching, name, value)
+    rows, said = made(random.Random(9), docs=2, reqs=60)
+    found = matching.ranked(storage.written(matching.analysed(spark.createDataFrame(said, SAID)), "said"), matching.index(spark.createDataFrame(rows, SCHEMA)), dims.TOP_MATCHES)
+    got = {(r.stmt_id, r.doc_id, r.req_ord): (r.score, r.matched_keywords) for r in found.collect()}
+    assert got == best_by_hand(by_hand(spark, rows, said, False))
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
