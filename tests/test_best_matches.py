@@ -38,6 +38,13 @@ def test_blocks_parts_and_masks(spark, monkeypatch):
     assert got == best_by_hand(by_hand(spark, rows, said, False))
 
 
+def test_validity_counts_the_best(spark):
+    rows, said = made(random.Random(10))
+    want = best_by_hand(by_hand(spark, rows, said, False))
+    got = {r.stmt_id: r.n_matches for r in matching.validity(spark.createDataFrame(said, SAID), spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {s: sum(k[0] == s for k in want) for s, _, _ in said}
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
