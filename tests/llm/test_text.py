@@ -147,6 +147,55 @@ def test_run_length_index_statistics():
         assert stats[p] == best
 
 
+def windows_by_hand(strings, counts, length, words):
+    """Windows that occur elsewhere: string, begin, end."""
+    units = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+" if words else rb"(?s).", s)] for s in strings]
+    spans = [[(u[i][0], u[i + length - 1][1]) for i in range(len(u) - length + 1)] for u in units]
+    seen = Counter()
+    for s, n, own in zip(strings, counts, spans):
+        for x, y in own:
+            seen[s[x:y]] += n
+    return {(i, x, y) for i, (s, own) in enumerate(zip(strings, spans)) for x, y in own if seen[s[x:y]] > 1}
+
+
+def repeated(strings, counts, length, words):
+    found = suffix_dedup.repeated_windows([np.frombuffer(s, np.uint8) for s in strings], counts, length, words)
+    return set(zip(*(x.tolist() for x in found)))
+
+
+def test_strings_that_begin_alike():
+    """The middle one of three in order isn't sampled for a change of the byte before it."""
+    rng = random.Random(23)
+    shared = words(rng, 40).encode()
+    strings = [shared[:100] + b"c" + words(rng, 30).encode(), shared[:40] + b"a" + words(rng, 30).encode(), shared[:100] + b"b" + words(rng, 30).encode()]
+    assert repeated(strings, [1, 1, 1], 60, False) == windows_by_hand(strings, [1, 1, 1], 60, False) != set()
+
+
+@pytest.mark.parametrize("by_words", [False, True])
+def test_repeated_windows_equal_brute_force(by_words):
+    rng = random.Random(29)
+    for _ in range(400):
+        pool = ["".join(rng.choice("ab  \n" if by_words else "ab") for _ in range(rng.randint(6, 120))) for _ in range(3)]
+        cuts = [(rng.choice(pool), rng.randint(0, 5), rng.choice(["", "a", "bab", "ab ba"])) for _ in range(rng.randint(1, 8))]
+        strings = list(dict.fromkeys((x[i : rng.randint(i, len(x))] + end).strip().encode() or b"a" for x, i, end in cuts))
+        counts, length = [rng.choice([1, 1, 2]) for _ in strings], rng.choice([1, 2, 3, 5, 9, 28])
+        assert repeated(strings, counts, length, by_words) == windows_by_hand(strings, counts, length, by_words)
+
+
+def test_an_index_orders_only_what_can_match(monkeypatch):
+    """Passages are indexed by words, not by bytes; suffixes shorter than a window aren't sorted to its end."""
+    built = []
+    whole = suffix_dedup.RunLengthIndex.__init__
+    monkeypatch.setattr(suffix_dedup.RunLengthIndex, "__init__", lambda self, *args: (whole(self, *args), built.append(self))[0])
+    rng = random.Random(31)
+    shared = words(rng, 60)
+    strings = [f"{shared} {words(rng, 60)}".encode() for _ in range(3)]
+    for length, by_words in ((51, True), (400, False)):
+        assert repeated(strings, [1] * 3, length, by_words) == windows_by_hand(strings, [1] * 3, length, by_words)
+    assert built[0].n == 3 * 120
+    assert built[1].run_heads.max() < sum(len(s) - 399 for s in strings)
+
+
 def shingles(text, n=5):
     w = (text or "").split()
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
