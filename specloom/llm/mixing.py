@@ -118,5 +118,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     taken = middle.join(slots.select("skey", "block"), ["skey", "block"]).groupBy("doc_id", "_text").agg(F.count("*").alias("_taken"))
     alike = rows.where("size > 0").groupBy("doc_id", "_text").agg(F.count("*").alias("_rows"))
     plan = taken.join(alike, taken.doc_id.eqNullSafe(alike.doc_id) & (taken._text == alike._text)).select(taken.doc_id.alias(key), taken._text.alias(text), F.round(F.col("_taken") / F.col("_rows")).cast("int").alias(n)).where(F.col(n) > 0)
+    plan = materialise(plan, "mix-plan")  # so that no plan on the driver holds the passes and the texts
     found = docs.withColumn(same, F.xxhash64("text")).join(plan, docs["doc_id"].eqNullSafe(plan[key]) & (F.col(same) == F.col(text)))
     return found.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -357,10 +357,11 @@ def first_shingles(sets: DataFrame, similarity: float) -> DataFrame:
 def rare_pairs(first: DataFrame, roots: DataFrame, similarity: float, stars: bool = False) -> DataFrame:
     """``first`` (of first_shingles), ``roots`` (node, root) -> a, b: every pair of different roots whose shingles can be
     so alike. With ``stars`` of each shingle only the pairs with its least node: as many as there are rows, which
-    bring large groups of near copies together, so that few pairs of different roots are left."""
+    bring large groups of near copies together, so that few pairs of different roots are left. The shingles that
+    are in texts of different roots are written first, as both sides of the join read them, and twice."""
     first = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = first.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
-    first = first.join(apart, "h", "left_semi")
+    first = materialise(first.join(apart, "h", "left_semi"), "apart-shingles")
     # of a pair the one with fewer shingles has more of them in common, so fewer of its own suffice
     fewer = F.col("own") + F.col("i") < F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1
     columns = ("node", "n", "own", "i", "root", "parity")
@@ -406,7 +407,8 @@ def alike_groups(docs: DataFrame, radius: int, shingle: int, parts: int, similar
     open_nodes = nodes.join(alone.where("open").select("fp").unionByName(beside).distinct(), "fp", "left_semi")
     first = first_shingles(shingle_sets(open_nodes, docs), similarity)
     for stars in (True, False):
-        rare = rare_pairs(first, roots, similarity, stars).join(tried, ["a", "b"], "left_anti")
+        # written, as the check reads them twice: joined once, and no plan on the driver holds the join and the check
+        rare = materialise(rare_pairs(first, roots, similarity, stars).join(tried, ["a", "b"], "left_anti"), "rare-pairs")
         tried = tried.unionByName(checked(rare, docs, nodes, similarity))
         roots = materialise(components(tried.where("alike").select("a", "b")), "roots")
     return prints.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))

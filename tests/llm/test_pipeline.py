@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from specloom.llm import registry
+from specloom.llm import mixing, registry, simhash
 
 from .helpers import awkward, documents, rows_of
 
@@ -53,3 +53,20 @@ def test_pipeline_run(spark):
     bad = {i for i, y in labels.items() if y == 0}
     assert len(ids & bad) <= 0.05 * len(bad) and len(ids - bad) > 300
     assert all(len(r.ids) == r.n_tokens for r in out)
+
+
+def test_plans_of_the_pipeline_are_small(spark, monkeypatch):
+    """Every update of an adaptive plan goes over all of it on the driver, so shuffles of one plan cost it their square."""
+    seen = []
+
+    def shuffles(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    plain = simhash.materialise
+    for module in (simhash, mixing):
+        monkeypatch.setattr(module, "materialise", lambda df, name, *by: seen.append((shuffles(df), name)) or plain(df, name, *by))
+    docs = documents(spark, awkward())
+    for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources):
+        seen.append((shuffles(stage(spark, docs, SF)), stage.__name__))
+    assert len({name for _, name in seen}) > 12
+    assert max(seen)[0] <= 10, sorted(seen)[-5:]
